@@ -179,5 +179,10 @@ def quality_rules(docs: DataFrame, policy: str = "v2") -> DataFrame:
 
 
 def filtered(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The rows of ``docs``, columns unchanged, that the policy keeps; no shuffle."""
-    return apply_policy(ledger(docs, carry=True), policy).where("kept").select("_row.*")
+    """The rows of ``docs``, columns unchanged, that the policy keeps; no shuffle.
+
+    The partition's number, which the optimizer can't move a filter past, keeps the verdict from
+    being written out again and again inside the filter.
+    """
+    judged = apply_policy(ledger(docs, carry=True), policy).select("_row", "kept", F.spark_partition_id().alias("_p"))
+    return judged.where("kept and _p >= 0").select("_row.*")
