@@ -107,7 +107,7 @@ def _search(k: int):
 
         rows: list[tuple[list[int], np.ndarray]] = []
         for batch in batches:
-            dims, shards, asks = (batch.column(i).to_numpy() for i in range(3))
+            dims, shards, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             vec_ids, flat = batch.column(3).to_numpy(), batch.column(4)
             starts = flat.offsets.to_numpy()
             values = flat.values.to_numpy()
