@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import chunk_queries, retrieval_queries, text_queries
+from .plans.registry import QUERIES, SQL, Query, whole
 
-def queries() -> dict:
-    return {}
+__all__ = ["chunk_queries", "oracle_sql", "queries", "retrieval_queries", "text_queries"]
+
+
+def queries() -> dict[str, Query]:
+    return {name.rstrip("_"): f for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name.rstrip("_"): whole(sql) for name, sql in SQL.items()}
