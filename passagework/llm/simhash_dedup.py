@@ -69,13 +69,13 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         f = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), "<u8", b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view("<i8"))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f.view("<i8"))], ["doc_id", "content", "fp"])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text))
-    return mapped(rows, _fingerprints, "doc_id long, fp long")
+    """(doc_id, content, fp): a hash of the text, and the fingerprint's bits as a signed long."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text), F.xxhash64(text).alias("content"))
+    return mapped(rows, _fingerprints, "doc_id long, content long, fp long")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -92,14 +92,16 @@ def variants(fps: DataFrame) -> DataFrame:
 
 
 def _spread(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Lowers ``label`` until both ends of each link (a, b) agree."""
+    """Joins the components of both ends of each link (a, b); ``label`` holds each place's first member."""
     while True:
-        low = np.minimum(label[a], label[b])
-        if (low == label[a]).all() and (low == label[b]).all():
+        x, y = label[a], label[b]
+        if (x == y).all():
             return
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label[:] = label[label]
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while not np.array_equal(up := label[label], label):
+            label[:] = up
 
 
 def _balls(fp: np.ndarray, label: np.ndarray) -> None:
@@ -218,17 +220,17 @@ def _keys(docs: DataFrame, doc_id: str) -> Column:
 
 
 def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(staged (doc_id, fp) of all rows; fp -> component_id), ids as made by ``_keys``."""
+    """(staged fingerprints of all rows; fp -> (label, component_id)), ids as made by ``_keys``."""
     rows = staged(fingerprints(docs.select(_keys(docs, doc_id).alias("doc_id"), F.col(text).alias("text"))), "fingerprints")
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     edges = staged(links(fps.select("fp")), "links")
     if edges.isEmpty():
-        return rows, fps.select("fp", F.col("first_id").alias("component_id"))
+        return rows, fps.select("fp", F.col("fp").alias("label"), F.col("first_id").alias("component_id"))
     named = fps.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", F.coalesce("label", "fp").alias("label")
     )
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    return rows, named.join(least, "label").select("fp", "component_id")
+    return rows, named.join(least, "label").select("fp", "label", "component_id")
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,10 +245,12 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, one for each component: that of the smallest doc_id.
 
-    Rows that repeat the chosen doc_id are resolved by content, so one stays.
+    Rows that bear the same id with other texts are told apart by a hash of the text; of equal rows one stays.
     """
     rows, named = labelled(docs, doc_id, text)
-    keep = rows.join(named, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    chosen = docs.withColumn("_keep", _keys(docs, doc_id)).join(keep, "_keep", "left_semi")
-    order = Window.partitionBy("_keep").orderBy(*(F.col(f"`{c}`") for c in docs.columns))
-    return chosen.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", "_keep")
+    first = rows.join(named, "fp").groupBy("label").agg(F.min(F.struct("doc_id", "content")).alias("k"))
+    keep = first.select(F.col("k.doc_id").alias("_keep"), F.col("k.content").alias("_content"))
+    keyed = docs.withColumns({"_keep": _keys(docs, doc_id), "_content": F.xxhash64(text)})
+    order = Window.partitionBy("_keep", "_content").orderBy(*(F.col(f"`{c}`") for c in docs.columns))
+    chosen = keyed.join(keep, ["_keep", "_content"], "left_semi").withColumn("_nth", F.row_number().over(order))
+    return chosen.where("_nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
