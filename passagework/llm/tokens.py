@@ -8,17 +8,20 @@ might be classed differently by another Unicode version go to the library whole.
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
-import regex
-
 END_ID = 2
 #: Pre-tokens in each half of a worker's cache; bounds its memory.
-CACHED = 400_000
-# Fixed value: the pattern by which this kind of byte-level BPE splits a text.
-SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-#: Blocks that have been settled for long: Latin, Greek, Cyrillic, punctuation, currency.
-SETTLED = regex.compile(r"[\x00-ʯΑ-ΡΣ-ϿЀ-ҁ‐-‧‰-⁞€]*+")
+CACHED = 250_000
+#: Characters on which Python's classes and the library's agree: old blocks of Latin, Greek, Cyrillic,
+#: punctuation and the euro sign, without U+001C to U+001F, which only Python takes for blanks.
+SETTLED = re.compile("[\x00-\x1b\x20-\u02af\u0391-\u03a1\u03a3-\u0481\u2010-\u2027\u2030-\u205e\u20ac]*+")
+# Fixed value: how this kind of byte-level BPE splits a text (contractions, letters, numbers, the rest, blanks),
+# for settled characters; the six signs are numbers that Python counts among its word characters.
+SPLIT = re.compile(
+    r" ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+)
 
 
 def default_path() -> str:
