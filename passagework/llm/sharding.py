@@ -10,7 +10,7 @@ task that is run again after a loss repeats the same order. The hash covers the
 repeated ids make a bucket larger than twice its intended size, its rows are dealt on by
 their number into as many parts as needed.
 
-Defined results. Null text: size 8, and a null checksum. Null ids hash together and are dealt on
+Defined results. Null text: no bytes, so size 8 and checksum 0. Null ids hash together and are dealt on
 like any repeated id. Repeated rows stay as often as they come. Ties: rows that are equal in
 all carried columns are interchangeable. Empty table: no rows. Extra columns, whatever their
 names, are carried inside one struct if asked for.
@@ -79,7 +79,7 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(8)).cast("long").alias("size"),
-        F.crc32(F.encode(F.col(text), "UTF-8")).alias("text_crc32"),
+        F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("text_crc32"),
     )
 
 

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import make
+from llm_rows import make
 from pyspark.sql import functions as F
 
 from passagework.llm import exact_topk as e

@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import pytest
-from conftest import make
+from llm_rows import make
 
 from passagework.llm import secret_scan as s
 

@@ -3,7 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import make
+from llm_rows import make
 from pyspark.sql import functions as F
 
 from passagework.llm import mixing as m

@@ -3,7 +3,6 @@ import random
 import numpy as np
 import pytest
 import xxhash
-from conftest import make  # noqa: F401  (pytest puts this folder on the path)
 
 from passagework.llm import simhash_dedup as s
 
