@@ -4,7 +4,8 @@ Each document should appear target / source size times on average. The whole par
 given; the fraction is rounded by the pivotal method: two documents of a source are
 paired, and words are moved between their fractions, at random but without bias, until
 one is zero or one. Pairing conserves the source's expected words exactly, so that only
-the last unpaired fraction of each source can miss its target, by less than one document.
+the last unpaired fraction of each source can miss its target, by less than one document. Large
+documents come first, so that this last one is small.
 
 Documents are dealt to buckets by their id, so that a hot source is spread over all of
 them. A bucket leaves at most one fraction per source; these residuals are paired again
@@ -152,7 +153,7 @@ def copies(sizes: DataFrame, seed: int = 42) -> DataFrame:
     salt = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)).cast("long")
     while True:
         last = groups == 1
-        dealt = rows.withColumn("salt", salt).repartition("salt").sortWithinPartitions("salt", "doc_id", "source", "size")
+        dealt = rows.withColumn("salt", salt).repartition("salt").sortWithinPartitions("salt", F.desc("size"), "doc_id", "source")
         out = staged(mapped(dealt, _round(seed, level, last), SCHEMA), "rounded")
         if last:
             done.append(out)
