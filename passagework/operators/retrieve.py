@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import TOKEN, tokens
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -22,7 +22,7 @@ def term_counts(rows: DataFrame, key: str) -> DataFrame:
 
 
 def mean_length(rows: DataFrame) -> DataFrame:
-    return rows.select(F.avg(F.size(tokens(F.coalesce(F.col("text"), F.lit(""))))).alias("avgdl"))
+    return rows.select(F.avg(F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(TOKEN))).alias("avgdl"))
 
 
 def weight() -> Column:
