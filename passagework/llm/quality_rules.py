@@ -27,7 +27,7 @@ from .common import words
 SYMBOLS = "#*$%&|<>"
 
 MEASURES = (
-    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
+    "n_words", "word_chars", "n_symbols", "n_upper", "n_lines", "n_dup_lines", "n_repeat_words",
 )
 
 
@@ -47,6 +47,7 @@ RULES: tuple[Rule, ...] = (
     Rule("duplicate_lines", "10 * n_dup_lines > 5 * n_lines"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 20 * n_words"),
+    Rule("shouting", "10 * n_upper > 5 * word_chars"),
 )
 
 BASE = ("too_few_words", "repeated_windows")
@@ -55,6 +56,7 @@ BASE = ("too_few_words", "repeated_windows")
 POLICIES: Mapping[str, Sequence[str]] = {
     "v1": BASE,
     "v2": (*BASE, "symbol_heavy", "duplicate_lines", "short_words", "long_words"),
+    "v3": (*BASE, "symbol_heavy", "duplicate_lines", "short_words", "long_words", "shouting"),
 }
 
 
@@ -80,11 +82,13 @@ def measure(
         *[F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] * carry,
         words(F.col(text)).alias("_words"),
         F.length(F.regexp_replace(body, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace(body, "[^A-Z]+", "")).cast("long").alias("n_upper"),
         F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("_lines"),
     )
     hashed = base.select(
         *kept,
         "n_symbols",
+        "n_upper",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.size("_lines").cast("long").alias("n_lines"),
@@ -140,7 +144,7 @@ def ledger(
 
 
 def apply_policy(
-    entries: DataFrame, policy: str = "v2", rules: Sequence[Rule] = RULES,
+    entries: DataFrame, policy: str = "v3", rules: Sequence[Rule] = RULES,
     policies: Mapping[str, Sequence[str]] = POLICIES,
 ) -> DataFrame:
     """Adds ``base_failed`` and ``kept`` under one version of the policy."""
@@ -151,7 +155,7 @@ def apply_policy(
 
 
 def ablations(
-    entries: DataFrame, policy: str = "v2", rules: Sequence[Rule] = RULES,
+    entries: DataFrame, policy: str = "v3", rules: Sequence[Rule] = RULES,
     policies: Mapping[str, Sequence[str]] = POLICIES,
 ) -> DataFrame:
     """Per rule of a policy: documents that fail it, and those that only it rejects.
@@ -175,11 +179,11 @@ def ablations(
     )
 
 
-def quality_rules(docs: DataFrame, policy: str = "v2") -> DataFrame:
+def quality_rules(docs: DataFrame, policy: str = "v3") -> DataFrame:
     """The ledger with its verdicts: one row for each row of ``docs``."""
     return apply_policy(ledger(docs), policy)
 
 
-def filtered(docs: DataFrame, policy: str = "v2") -> DataFrame:
+def filtered(docs: DataFrame, policy: str = "v3") -> DataFrame:
     """The rows of ``docs``, columns unchanged, that the policy keeps; no shuffle."""
     return apply_policy(ledger(docs, carry=True), policy).where("kept").select("_row.*")

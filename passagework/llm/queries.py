@@ -80,6 +80,7 @@ p AS (SELECT r, count(DISTINCT i + k) AS n FROM c, range(3) AS x(k) WHERE n > 1
 m AS (
   SELECT d.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+         length(regexp_replace(text, '[^A-Z]+', '', 'g')) AS n_upper,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
          coalesce(p.n, 0) AS n_repeat_words
   FROM d LEFT JOIN p USING (r)),
@@ -88,10 +89,11 @@ f AS (
 b AS (
   SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
          + 4 * (100 * n_symbols > 50 * n_words)::BIGINT + 8 * (10 * n_dup_lines > 5 * n_lines)::BIGINT
-         + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT AS failed FROM f)
+         + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT
+         + 64 * (10 * n_upper > 5 * word_chars)::BIGINT AS failed FROM f)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-       failed & 3 <> 0 AS base_failed, failed & 63 = 0 AS kept, failed
+       failed & 3 <> 0 AS base_failed, failed & 127 = 0 AS kept, failed
 FROM b
 """
 

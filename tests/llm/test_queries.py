@@ -19,7 +19,7 @@ def test_pipeline_stage_by_stage(spark, data):
     kept = p.quality(spark, docs, data)
     n = {r["doc_id"]: brute(r["text"]) for r in docs.collect()}
     left = {r["doc_id"] for r in kept.collect()}
-    assert all(n[d][0] >= 50 and 100 * n[d][5] <= 50 * n[d][0] for d in left)
+    assert all(n[d][0] >= 50 and 100 * n[d][6] <= 50 * n[d][0] for d in left)
     once = p.near_duplicates(spark, kept, data)
     rows = kept.orderBy("doc_id").collect()
     label = brute_components([brute_print(r["text"]) for r in rows])
