@@ -170,9 +170,9 @@ def candidates(index: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """
     terms = vocabulary(rules)
     sets = [
-        F.bit_or(F.when(F.col("term").between(w, w + 62), F.shiftleft(F.lit(1).cast("long"), 0) * F.expr(f"shiftleft(1L, term - {w})")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}")
+        F.bit_or(F.expr(f"if(term between {w} and {w + 62}, shiftleft(1L, term - {w}), 0L)")).alias(f"w{w}")
         for w in range(0, len(terms), 63)
-    ]
+    ]
 
     def has(places: list[int]) -> Column:
         ok = F.lit(True)
