@@ -36,6 +36,8 @@ from .common import mapped, staged
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
+#: Parts into which the rows of one node or label are dealt in the joins of ``components``.
+SALTS = 8
 #: Rows without an id are numbered from here on; ids must be smaller.
 NO_ID = 1 << 62
 #: Members of one key up to which all pairs are compared in tiles; above it each
@@ -192,20 +194,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     labels = staged(
         both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels"
     )
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).alias("salt")
     for _ in range(max_rounds):
         near = (
-            both.join(labels.withColumnRenamed("node", "v"), "v")
-            .groupBy(F.col("u").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
+            both.select("u", "v", salt("u"))
+            .join(labels.select(F.col("node").alias("v"), "label", each), ["v", "salt"])
+            .groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        )
         seen = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         hooks = seen.groupBy(F.col("label").alias("node")).agg(F.min("low").alias("hook"))
-        hooked = seen.join(hooks, "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("low", "hook").alias("label")
+        hooked = staged(
+            seen.join(hooks, "node", "left").select("node", F.col("label").alias("old"), F.least("low", "hook").alias("label")),
+            "hooked",
         )
-        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"), each)
         new = staged(
-            hooked.join(up, "label", "left").select("node", "old", F.least("label", "up").alias("label")), "labels"
+            hooked.select("*", salt("node")).join(up, ["label", "salt"], "left").select("node", "old", F.least("label", "up").alias("label")),
+            "labels",
         )
         labels = new.select("node", "label")
         if new.where("label <> old").isEmpty():
