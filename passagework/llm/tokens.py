@@ -14,6 +14,8 @@ from functools import lru_cache
 END_ID = 2
 #: Pre-tokens in each half of a worker's cache; bounds its memory.
 CACHED = 250_000
+#: Characters from which on a text's pre-tokens are not listed but taken one by one.
+LONG = 4_000_000
 #: Characters on which Python's classes and the library's agree: old blocks of Latin, Greek, Cyrillic,
 #: punctuation and the euro sign, without U+001C to U+001F, which only Python takes for blanks.
 SETTLED = re.compile("[\x00-\x1b\x20-\u02af\u0391-\u03a1\u03a3-\u0481\u2010-\u2027\u2030-\u205e\u20ac]*+")
@@ -30,6 +32,18 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Pieces(dict):
+    """Pre-token -> ids; a missing one comes from the half before this one or from the library."""
+
+    def __init__(self, make, older: dict[str, bytes]) -> None:
+        super().__init__()
+        self.make, self.older = make, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.older.get(piece) or self.make(piece)
+        return ids
+
+
 class Encoder:
     """Encodes whole texts into little-endian unsigned 32-bit ids."""
 
@@ -44,8 +58,7 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = sorted(set(range(256)).difference(plain))
         self.chars = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Pieces(self._piece, {})
 
     def _piece(self, piece: str) -> bytes:
         """The library's merges on one pre-token."""
@@ -62,13 +75,10 @@ class Encoder:
             return b""
         if not SETTLED.fullmatch(text):
             return self._whole(text)
-        pieces = SPLIT.findall(text)
-        new = set(pieces).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > CACHED:  # frequent pieces come back from the older half
-                self.older, self.known, new = self.known, {}, set(pieces)
-            for piece in new:
-                self.known[piece] = self.older.get(piece) or self._piece(piece)
+        if len(self.known) > CACHED:  # frequent pieces come back from the older half
+            self.known.older = {}
+            self.known = Pieces(self._piece, self.known)
+        pieces = SPLIT.findall(text) if len(text) < LONG else (m[0] for m in SPLIT.finditer(text))
         return b"".join(map(self.known.__getitem__, pieces))
 
     def document(self, text: str | None) -> bytes:

@@ -32,6 +32,7 @@ def test_document_ends_with_the_end_id(enc):
 
 def test_full_cache_changes_nothing(enc, monkeypatch):
     monkeypatch.setattr(tokens, "CACHED", 20)
+    monkeypatch.setattr(tokens, "LONG", 50)
     small = tokens.Encoder(tokens.default_path())
     for k in range(30):
         t = " ".join(f"w{k}x{i}" for i in range(15))
