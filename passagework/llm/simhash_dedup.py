@@ -134,7 +134,10 @@ def bucket_links(fp: np.ndarray) -> np.ndarray:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by (key, fp). Small keys are compared all at once, by distance in the order."""
+    """Rows arrive sorted by key. Small keys are compared all at once, by distance in the order.
+
+    A large key is sorted here as unsigned: Spark's order of signed longs is another one.
+    """
 
     def work(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         cut = np.flatnonzero(np.diff(key)) + 1
@@ -151,6 +154,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if a:
             _spread(label, np.concatenate(a), np.concatenate(b))
         for s, e in zip(start[big], end[big], strict=True):
+            fp[s:e].sort()
             label[s:e] = s + bucket_links(fp[s:e])
         i = np.flatnonzero(label != np.arange(len(key)))
         pairs = np.unique(np.stack([fp[label[i]], fp[i]], axis=1), axis=0).view(np.int64)

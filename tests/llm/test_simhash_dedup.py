@@ -55,6 +55,30 @@ def test_links_of_any_three_bits_are_found(spark):
     assert all((x ^ y).bit_count() <= 3 for x, y in map(tuple, got))
 
 
+def test_large_keys_keep_links_of_both_signs(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(150)]
+    prints = np.array(sorted({*base, *(x ^ sum(1 << k for k in rng.sample(range(64), 3)) for x in base)}), np.uint64)
+    rows = np.sort(prints.view(np.int64))  # as Spark sorts them
+    batch = lambda r: pa.RecordBatch.from_arrays([pa.array(np.full(len(r), 7)), pa.array(r)], ["key", "fp"])
+
+    def parts():
+        place = {int(x): i for i, x in enumerate(rows)}
+        label = list(range(len(rows)))
+        for out in s._links(iter([batch(rows[:100]), batch(rows[100:])])):
+            for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True):
+                x, y = label[place[a]], label[place[b]]
+                label = [min(x, y) if z in (x, y) else z for z in label]
+        return label
+
+    expected = brute_components([int(x) & (1 << 64) - 1 for x in rows])
+    assert parts() == expected  # by tiles
+    monkeypatch.setattr(s, "TILED", 8)
+    assert parts() == expected  # by value
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(201, 200)]
     got = {r["node"]: r["label"] for r in s.components(spark.createDataFrame(edges, "a long, b long")).collect()}
