@@ -2,7 +2,8 @@
 
 A byte-level BPE splits a text into pre-tokens by a fixed pattern and encodes each
 by itself, so a pre-token's ids can be kept and reused. Texts whose characters
-might be classed differently by another Unicode version go to the library whole.
+might be classed differently by another Unicode version, and texts that hold an added
+token such as ``<|endoftext|>``, which gets its own id, go to the library whole.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         # Bytes stand for themselves where they print, else for characters from U+0100 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -73,7 +74,7 @@ class Encoder:
         """The ids of ``text``; none for a null or empty one."""
         if not text:
             return b""
-        if not SETTLED.fullmatch(text):
+        if not SETTLED.fullmatch(text) or any(map(text.__contains__, self.added)):
             return self._whole(text)
         if len(self.known) > CACHED:  # frequent pieces come back from the older half
             self.known.older = {}

@@ -26,6 +26,15 @@ def test_agrees_with_the_library(enc):
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == expected, repr(t)
 
 
+def test_added_tokens_agree_with_an_untouched_library(enc):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.default_path())
+    assert np.frombuffer(enc.encode("x <|endoftext|> y"), "<u4").tolist() == [87, 220, 50256, 331]
+    for t in ["<|endoftext|>", "a<|endoftext|>b  <|endoftext|>\n", "日本 <|endoftext|>x", "<|endoftext| >", "w " * 99 + "<|endoftext|>", *CASES]:
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_document_ends_with_the_end_id(enc):
     assert enc.document(None) == enc.document("") == (2).to_bytes(4, "little")
 
