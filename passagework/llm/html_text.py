@@ -3,7 +3,9 @@
 A tolerant tokenizer feeds a tree builder that opens and closes the tags that HTML implies
 (paragraphs, list items, table rows and cells, options, definitions). The tree is rendered with
 spacing between blocks, bullets or numbers for list items, preformatted text as it is, and table
-cells aligned in columns.
+cells aligned in columns. MathML and the text elements of SVG are rendered as running text, each SVG
+text and each row of a formula on its own line; what browsers don't render in them is not (SVG title,
+desc, defs, metadata; MathML annotations). SVG text drawn by reference (use) is not followed.
 
 Nothing recurses, so depth is bounded by memory only.
 
@@ -29,7 +31,19 @@ from .common import mapped
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object datalist title audio video canvas svg math".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object datalist title audio video canvas".split())
+#: Not rendered inside svg and math; text in svg is drawn inside the elements of SVG_TEXT only.
+UNSEEN_IN = {
+    "svg": frozenset("desc defs metadata symbol clippath mask pattern marker filter lineargradient radialgradient".split()),
+    "math": frozenset("annotation annotation-xml mphantom".split()),
+}
+SVG_TEXT = frozenset("text tspan textpath a".split())
+#: Elements of svg and math whose content is HTML again, and HTML tags that end svg and math.
+HTML_IN = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split())
 BLOCK = SPACED | frozenset(
     "address article aside body caption center dd details dialog dir div dt figcaption footer form header hgroup "
@@ -74,6 +88,11 @@ class Node:
     tag: str
     attrs: dict[str, str]
     children: list = field(default_factory=list)
+    space: str = ""  # svg or math, for an element of theirs
+
+    def inside(self) -> str:
+        """The space of its children."""
+        return "" if self.space and self.tag in HTML_IN[self.space] else self.space
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -97,7 +116,7 @@ class Builder:
         del self.path[n:]
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, space=tag if tag in UNSEEN_IN else self.path[-1].inside())
         self.path[-1].children.append(node)
         self.path.append(node)
         self.open[tag] = self.open.get(tag, 0) + 1
@@ -116,6 +135,14 @@ class Builder:
             self._pop(at)
 
     def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
+        if self.path[-1].inside():
+            if tag not in BREAKS_OUT:
+                self._push(tag, attrs)
+                if closed:
+                    self._pop(len(self.path) - 1)
+                return
+            while self.path[-1].inside():
+                self._pop(len(self.path) - 1)
         if tag == "body" and self.open.get("body") or tag == "html" and self.open.get("html"):
             return
         if self.path[-1].tag == "head" and tag in BLOCK:
@@ -162,13 +189,17 @@ def parse(source: str) -> Node:
         at = m.end()
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
+            if b.path[-1].inside() and source.startswith("<![CDATA[", m.start()):
+                stop = source.find("]]>", m.start())
+                b.text(source[m.start() + 9 : stop if stop >= 0 else len(source)])
+                at = stop + 3 if stop >= 0 else len(source)
             continue
         if m["end"] or m["end2"]:
             b.end(tag)
             continue
         raw = m["attrs"] or m["attrs2"] or ""
         b.start(tag, attributes(raw) if raw.strip() else {}, raw.rstrip().endswith("/"))
-        if tag in RAW or tag in ("title", "textarea"):
+        if (tag in RAW or tag in ("title", "textarea")) and not b.path[-1].space:
             stop = closing.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)).search(source, at)
             body = source[at : stop.start() if stop else len(source)]
             b.path[-1].children.append(body if tag in RAW else html.unescape(body))
@@ -279,7 +310,11 @@ def _visible(node: Node, seen: bool) -> tuple[bool, bool]:
     """(shown, its descendants may be shown)."""
     if node.tag in UNSEEN or "hidden" in node.attrs or node.tag == "input":
         return False, False
+    if node.tag in UNSEEN_IN.get(node.space, ()):
+        return False, False
     style = node.attrs.get("style", "")
+    if node.space == "svg":
+        style = ";".join(f"{k}:{node.attrs[k]}" for k in ("display", "visibility") if k in node.attrs and k not in style) + ";" + style
     if style:
         if re.search(r"(?:^|;)\s*display\s*:\s*none\b", style, re.I):
             return False, False
@@ -349,11 +384,22 @@ def render(root: Node) -> str:
             elif tag == "blockquote":
                 flow.block(2)
                 flow.indent.append("> ")
+            elif node.space:
+                if tag in ("text", "mtr") or tag == "tspan" and ("x" in node.attrs or "y" in node.attrs):
+                    flow.block(1)
             elif tag in BLOCK:
                 flow.block(2 if tag in SPACED else 1)
             pre += tag in ("pre", "textarea", "listing")
             stack.append(("leave", node, shown))
-            stack.extend(("enter" if isinstance(c, Node) else "text", c, shown) for c in reversed(node.children))
+            drawn = node.space != "svg" or tag in SVG_TEXT or not node.inside()
+            apart = tag in ("mfrac", "mtr") and node.space == "math"
+            for c in reversed(node.children):
+                if isinstance(c, Node):
+                    stack.append(("enter", c, shown))
+                    if apart:
+                        stack.append(("text", " ", shown))
+                elif drawn:
+                    stack.append(("text", c, shown))
             continue
         pre -= tag in ("pre", "textarea", "listing")
         if tag == "table":
@@ -377,6 +423,9 @@ def render(root: Node) -> str:
             flow.indent.pop()
             flow.bullet = ""
             flow.block(2 if tag == "blockquote" else 1)
+        elif node.space:
+            if tag in ("text", "mtr"):
+                flow.block(1)
         elif tag in BLOCK:
             flow.block(2 if tag in SPACED else 1)
     return flows[0].finish()

@@ -26,6 +26,22 @@ def test_rendering(html, text):
     assert html_to_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b", "a x=2 b"), ("<math><mfrac><mn>1</mn><mn>2</mn></mfrac></math>", "1 2"),
+        ("<math><semantics><mi>y</mi><annotation encoding='t'>no</annotation><annotation-xml><p>no</p></annotation-xml></semantics></math>z", "yz"),
+        ("<p>c</p><svg><title>no</title><desc>no</desc><g><text x=1>Jan</text><text>Feb</text></g></svg><p>d</p>", "c\n\nJan\nFeb\n\nd"),
+        ("<svg><defs><text>no</text></defs><metadata>no</metadata><text>yes</text></svg>", "yes"), ("<desc>shown</desc> outside", "shown outside"),
+        ("<svg><style/><title/><path d='M0'><text>yes</text></svg> after", "yes\nafter"), ("<svg><text display=none>no</text></svg>x", "x"),
+        ("<svg><text><![CDATA[a < b > c]]></text></svg>", "a < b > c"), ("<svg><foreignObject><p>in</p></foreignObject></svg>", "in"),
+        ("<svg><defs><p>out", "out"), ("<svg><text><tspan x=0>a</tspan><tspan x=0>b</tspan></text></svg>", "a\nb"),
+    ],
+)
+def test_formulas_and_charts(html, text):
+    assert html_to_text(html) == text
+
+
 def test_depth_and_length_are_no_problem():
     assert html_to_text("<div>" * 20000 + "x") == "x"
     assert html_to_text("<b>" * 20000 + "x" + "</i>" * 2000) == "x"
