@@ -10,8 +10,9 @@ desc, defs, metadata; MathML annotations). SVG text drawn by reference (use) is
 Nothing recurses, so depth is bounded by memory only.
 
 Defined results. Null html: null text. Empty html, or html without visible text: the empty
-text. Very long pages: time and memory in proportion to the page, but for a table's padding, which is
-dropped (cells joined by one tab) where it would make the table over eight times as long. Repeated rows
+text. Very long pages: time and memory in proportion to the page; where a table's padding would make it
+over eight times as long (and 4,096 characters), its longest cells don't count for the columns' widths, as
+few as suffice, and stand out of their column; the others stay aligned. Repeated rows
 and ties: each row is rendered by itself. Empty table: no rows. Extra columns are ignored; the
 result's names are fixed.
 """
@@ -20,8 +21,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -278,26 +281,42 @@ class Grid:
         self.column += span
 
     def lines(self) -> list[str]:
-        rows = [r for r in self.rows if any(t for t, _ in r)]
-        width: dict[int, int] = {}
-        for r in rows:
-            c = 0
-            for t, span in r:
-                if span == 1:
-                    width[c] = max(width.get(c, 0), max(map(len, t.split("\n"))))
-                c += span
-        plain = sum(len(t) + 1 for r in rows for t, _ in r)
-        padded = sum(sum(width.values()) * max((t.count("\n") + 1 for t, _ in r), default=1) for r in rows)
-        if padded > 8 * plain + 4096:
-            return ["\t".join(t.replace("\n", " ") for t, _ in r) for r in rows]
+        laid = []  # rows of (column, span, lines, longest line)
+        for r in self.rows:
+            if any(t for t, _ in r):
+                laid.append([])
+                c = 0
+                for t, span in r:
+                    laid[-1].append((c, span, parts := t.split("\n"), max(map(len, parts))))
+                    c += span
+        plain = sum(len(x) + 1 for r in laid for _, _, parts, _ in r for x in parts)
+
+        def sized(most: int) -> list[list[int]]:
+            """The width of each cell, when columns are as wide as their widest cell of at most ``most``."""
+            width: dict[int, int] = {}
+            for r in laid:
+                for c, span, _, n in r:
+                    if span == 1 and n <= most:
+                        width[c] = max(width.get(c, 0), n)
+            columns = sorted(width)
+            upto = list(accumulate((width[c] for c in columns), initial=0))
+            return [
+                [upto[bisect_left(columns, c + span)] - upto[bisect_left(columns, c)] + 2 * (span - 1) for c, span, _, _ in r]
+                for r in laid
+            ]
+
+        def fits(sizes: list[list[int]]) -> bool:
+            """The last cell of a row isn't padded."""
+            return sum(sum(s[:-1]) * max(len(x[2]) for x in r) for r, s in zip(laid, sizes, strict=True)) <= 8 * plain + 4096
+
+        lengths = sorted({n for r in laid for _, span, _, n in r if span == 1} | {0})
+        sizes = sized(lengths[-1])
+        if not fits(sizes):
+            sizes = sized(lengths[max(0, bisect_left(lengths, True, key=lambda n: not fits(sized(n))) - 1)])
         out = []
-        for r in rows:
-            cells, sizes, c = [t.split("\n") for t, _ in r], [], 0
-            for _, span in r:
-                sizes.append(sum(width.get(c + i, 0) for i in range(span)) + 2 * (span - 1))
-                c += span
-            for k in range(max(map(len, cells))):
-                out.append("  ".join((x[k] if k < len(x) else "").ljust(s) for x, s in zip(cells, sizes, strict=True)).rstrip())
+        for r, s in zip(laid, sizes, strict=True):
+            for k in range(max(len(x[2]) for x in r)):
+                out.append("  ".join((x[2][k] if k < len(x[2]) else "").ljust(n) for x, n in zip(r, s, strict=True)).rstrip())
         return out
 
 

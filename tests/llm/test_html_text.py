@@ -42,6 +42,16 @@ def test_formulas_and_charts(html, text):
     assert html_to_text(html) == text
 
 
+def test_one_overlong_cell_leaves_the_others_aligned():
+    cells = [["a" * 20, "b" * 20, "c"] for _ in range(20)]
+    cells[3] = ["z" * 9000, "one<br>two", "d"]
+    cells[5][0] = "short"
+    got = html_to_text("<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in cells) + "</table>").split("\n")
+    assert len(got) == 21 and got[0] == f"{'a' * 20}  {'b' * 20}  c"
+    assert got[3] == f"{'z' * 9000}  {'one':20}  d" and got[4] == f"{'':20}  two"
+    assert got[6] == f"{'short':20}  {'b' * 20}  c"
+
+
 def test_depth_and_length_are_no_problem():
     assert html_to_text("<div>" * 20000 + "x") == "x"
     assert html_to_text("<b>" * 20000 + "x" + "</i>" * 2000) == "x"
