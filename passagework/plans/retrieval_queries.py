@@ -11,7 +11,7 @@ from ..sources.tables import table
 from ..streaming import ingest
 from .chunk_queries import TOKENS, chunks
 from .registry import PARTS, query
-from .text_queries import ROUTE_SQL, TERMS_SQL, TYPE_SQL, _docs
+from .text_queries import ROUTE_SQL, TERMS_SQL, TYPE_SQL, _docs, query_expand
 
 K, FUSED, RERANKED = 10, 10, 4
 E = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
@@ -146,8 +146,31 @@ round(CASE WHEN len(list_distinct({E.format('question')})) > 0 THEN len(list_int
 FROM hits)) WHERE rank <= {RERANKED}"""
 
 
-def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = hits(spark, sf_dir).withColumn("score", retrieve.overlap(F.col("question"), F.col("text"))).withColumnRenamed("rank", "fused_rank")
+def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, sub_query, id, rank: each row of ``query_expand`` is searched, and a question's results are united.
+
+    Every sub-query has its sparse list; only the question itself has a vector, so its list alone is fused with a dense one.
+    """
+    subs = query_expand(spark, sf_dir)
+    keyed = subs.select(F.struct("query_id", "sub_query").alias("query_id"), "text")
+    found = retrieve.sparse(keyed, _docs(spark, sf_dir), K)
+    own = subs.groupBy("query_id").agg(F.max("sub_query").alias("sub_query"))  # the question comes last
+    vectored = dense_topk(spark, sf_dir).join(own, "query_id").withColumn("query_id", F.struct("query_id", "sub_query")).drop("sub_query")
+    lists = retrieve.rrf(vectored, found).select("query_id.query_id", "query_id.sub_query", "id", "rank")
+    return retrieve.union_subqueries(lists)
+
+
+def united(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of ``searched`` with their texts, ranked by sub-query and place."""
+    order = Window.partitionBy("query_id").orderBy("sub_query", "rank")
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source", "lang")
+    ids = searched(spark, sf_dir).select("query_id", "id", F.row_number().over(order).cast("long").alias("rank"))
+    return ids.join(docs, "id").join(asked(spark, sf_dir).withColumnRenamed("text", "question"), "query_id")
+
+
+def reranked(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    found = hits(spark, sf_dir) if found is None else found
+    scored = found.withColumn("score", retrieve.overlap(F.col("question"), F.col("text"))).withColumnRenamed("rank", "fused_rank")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "fused_rank")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= RERANKED)
 
@@ -163,9 +186,9 @@ PARTS["expanded"] = """SELECT c.*, CASE WHEN length(p.text) > 0 THEN p.text ELSE
 FROM child_hits c LEFT JOIN parents p ON p.doc_id = c.doc_id AND p.page = c.page"""
 
 
-def expanded(spark: SparkSession, sf_dir: str, strict: bool = False) -> DataFrame:
+def expanded(spark: SparkSession, sf_dir: str, strict: bool = False, found: DataFrame | None = None) -> DataFrame:
     page = F.when(F.col("id") % 4 == 3, 99).otherwise(0).cast("long")
-    found = reranked(spark, sf_dir).withColumn("doc_id", F.col("id")).withColumn("page", page)
+    found = reranked(spark, sf_dir, found).withColumn("doc_id", F.col("id")).withColumn("page", page)
     return context.expand_to_parents(found, chunk.parents(chunks(spark, sf_dir)), strict)
 
 
@@ -268,7 +291,7 @@ def answer(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", "text", understand.language(F.col("text")).alias("language"), understand.route(F.col("text")).alias("route"),
         understand.query_type(F.col("text")).alias("query_type"),
     )
-    found = expanded(spark, sf_dir)
+    found = expanded(spark, sf_dir, found=united(spark, sf_dir))
     cited = found.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", *context.citation(F.col("source"), F.col("page").cast("string"), F.col("text"))))).alias("citations")
     )
