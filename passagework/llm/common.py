@@ -1,11 +1,12 @@
-"""Helpers that every training-data operator shares: staging and text basics."""
+"""Helpers that every training-data operator shares: staging, running sums and text basics."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -15,30 +16,55 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 #: Everything that is not part of a word, negated: one word.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+#: Application -> the shared folders that it has made and not removed yet, oldest first.
+_made: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests,
-    a single machine) a temporary folder of this process is used instead.
+    Where that is unset, a local session (tests, a single machine) gets a temporary
+    folder; a cluster, whose executors would write to disks of their own, an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="passagework-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh shared folder that is removed when the driver's JVM ends."""
+    """A fresh shared folder; removed by ``remove``, or else when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    fs, hadoop = _file_system(spark, path)
+    fs.deleteOnExit(hadoop)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
+def folders(spark: SparkSession) -> list[str]:
+    """The shared folders that are there now."""
+    return list(_made.get(spark.sparkContext.applicationId, []))
+
+
+def remove(spark: SparkSession, paths: Sequence[str]) -> None:
+    """Deletes folders whose rows nobody reads any more."""
+    made = _made.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        fs, hadoop = _file_system(spark, path)
+        fs.delete(hadoop, True)
+        if path in made:
+            made.remove(path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again.
 
@@ -50,6 +76,35 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_struct(df: DataFrame) -> Column:
+    """The whole row as one column, so that no name of its own can clash."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns; maps, which Spark doesn't hash, count by their JSON."""
+    of = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
+    return F.xxhash64(*map(of, df.schema.fields))
+
+
+def running(df: DataFrame, order: Sequence[Column], **sums: Column) -> DataFrame:
+    """``df`` with the sum of each expression over all rows before, in the total order ``order``.
+
+    Rows are range-partitioned and summed inside their range; only one row for each
+    partition is ever ordered in a single task.
+    """
+    ranged = staged(df.repartitionByRange(*order).select("*", F.spark_partition_id().alias("_range")), "ranges")
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    per = ranged.groupBy("_range").agg(*(F.sum(e).alias(f"_{n}") for n, e in sums.items()))
+    bases = per.select("_range", *(zero(F.sum(f"_{n}").over(before)).alias(f"_{n}") for n in sums))
+    local = ranged.select("*", *(zero(F.sum(e).over(inside)).alias(n) for n, e in sums.items()))
+    return local.join(bases, "_range").select(
+        *(F.col(f"`{c}`") for c in df.columns), *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums)
+    )
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")

@@ -15,8 +15,8 @@ from passagework.llm.tokens import default_path, encoder
 
 def test_token_files_round_trip(spark, awkward, empty):
     enc, at, expected = encoder(default_path()), 0, []
-    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] is not None, (r["text"] or "").encode())
-    for r in sorted(awkward.collect(), key=key):
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["tie"])
+    for r in sorted(awkward.withColumn("tie", F.xxhash64("text")).collect(), key=key):
         ids = enc.document(r["text"])
         expected.append((str(r["doc_id"]), at, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
@@ -25,6 +25,18 @@ def test_token_files_round_trip(spark, awkward, empty):
     assert t.round_trip(spark, empty).count() == 0
 
 
+def test_hot_and_null_ids_are_split_over_shards(spark, awkward):
+    docs = awkward.select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("doc_id"), "text", F.lit(1).alias("tie"), F.lit(2).alias("shard"))
+    docs = docs.union(spark.createDataFrame([(None, "the same row", 1, 2)] * 3000, docs.schema))
+    manifest = t.write_token_files(docs, new_folder(spark, "hot"), shard_bytes=10_000)
+    rows = manifest.orderBy("shard").collect()
+    assert len(rows) > 20 and max(r["n_tokens"] for r in rows) < 0.9 * sum(r["n_tokens"] for r in rows)
+    got = sorted(tuple(r) for r in t.read_documents(manifest).select("start", "n_tokens", "doc_id").collect())
+    assert [a + n for a, n, _ in got[:-1]] == [a for a, _, _ in got[1:]] and len(got) == docs.count()
+    ids = [d for _, _, d in got]
+    assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
+
+
 def test_sequences_are_equal_in_length_and_views_of_the_file(spark, tmp_path):
     folder = new_folder(spark, "one")
     docs = make(spark, [(i, "word " * 300, "s") for i in range(40)])
@@ -34,7 +46,9 @@ def test_sequences_are_equal_in_length_and_views_of_the_file(spark, tmp_path):
     with pa.memory_map(path) as source:
         before, reader = pa.total_allocated_bytes(), t.ShardReader(source, 128, 4)
         ids, mask = reader.sequence(5)
-        assert len(ids) == len(mask) == 128 and mask.all() and not ids.flags.owndata
+        assert len(ids) == len(mask) == 128 and mask.all() and not ids.flags.owndata and not mask.flags.owndata
+        last = reader.sequence(-(-rows[0]["n_tokens"] // 128) - 1)[1]
+        assert mask.dtype == np.uint8 and int(last.sum()) == (rows[0]["n_tokens"] - 1) % 128 + 1
         assert pa.total_allocated_bytes() - before < 4096
 
 
