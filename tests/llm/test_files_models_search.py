@@ -79,27 +79,47 @@ def test_classifier_edges(spark, awkward, empty):
     assert all(np.isfinite(r["score"]) for r in c.classify(awkward, many).collect())
 
 
-def brute_top(rows, queries, k):
-    ok = [(i, np.floor(256 * np.array(v, float)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+def brute_top(rows, queries, k, others=None):
+    """``queries``: which rows ask; or, with ``others``, the rows that ask of another table."""
+    usable = lambda i, v: i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ints = lambda v: np.floor(256 * np.array(v, float)).astype(np.int64)
+    ok = [(i, ints(v)) for i, v in rows if usable(i, v)]
+    asking = [(n, i, v) for n, (i, v) in enumerate(ok) if i in queries] if others is None else [(-1, i, ints(v)) for i, v in others if usable(i, v)]
     out = []
-    for qi, q in ((i, v) for i, v in ok if i in queries):
-        scored = sorted((-int(q @ v), i) for i, v in ok if i != qi and len(v) == len(q))
+    for at, qi, q in asking:
+        scored = sorted((-int(q @ v), i) for n, (i, v) in enumerate(ok) if n != at and len(v) == len(q))
         out += [(qi, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize(("shard", "block", "tile", "fan"), [(16384, 2048, 512, 16), (7, 3, 4, 2)])
-def test_top_k_against_brute_force(spark, monkeypatch, shard, block, tile, fan):
-    for n, v in (("SHARD", shard), ("BLOCK", block), ("TILE", tile), ("FAN_IN", fan)):
+@pytest.mark.parametrize(
+    ("held", "group", "block", "tile", "fan"), [(64 << 20, 262_144, 2048, 512, 16), (200, 7, 3, 4, 2), (64, 1000, 4, 1, 2)]
+)
+def test_top_k_against_brute_force(spark, monkeypatch, held, group, block, tile, fan):
+    for n, v in (("QUERY_BYTES", held), ("GROUP", group), ("BLOCK", block), ("TILE", tile), ("FAN_IN", fan)):
         monkeypatch.setattr(e, n, v)
     rng = np.random.default_rng(1)
     same = [0.5] * 8
     rows = [(int(i), rng.normal(size=8).astype(np.float32).tolist()) for i in range(150)]
     rows += [(200 + i, same) for i in range(30)] + [(400, [1.0, 2.0]), (450, [0.5, 0.5]), (500, None), (None, same), (550, [None, 1.0]), (600, [float("nan")] * 8), (650, [float("inf")] + same[1:])]
-    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
+    rows += [(50, same), (50, [-0.5] * 8), (100, same), (7, same), (700, []), (750, []), (200, same)]
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, score string, row int")
     got = sorted(tuple(r) for r in e.search_embeddings(df).collect())
     assert got == brute_top(rows, {i for i, _ in rows if i is not None and i % 50 == 0}, 5)
     assert e.search_embeddings(df.limit(0)).count() == 0
+    others = [(7, same), (7, rows[0][1]), (None, same), (8, [1.0, 1.0])]
+    asked = spark.createDataFrame(others, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in e.top_k(df, asked, 3).collect()) == brute_top(rows, (), 3, others)
+
+
+def test_rows_that_share_an_id_are_each_others_candidates(spark):
+    df = spark.createDataFrame([(50, [1.0, 0.0]), (50, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, e.search_embeddings(df).collect())) == [(50, 1, 50, 0), (50, 1, 50, 0)]
+
+
+def test_grid_bounds_what_a_query_is_sent_to():
+    assert e.grid(20_000_000, 1_000_000_000, 128, 8000) == (306, 3815)
+    assert e.grid(0, 0, 0, 8) == (1, 1)
 
 
 def test_products_beyond_53_bits_stay_exact():
