@@ -5,17 +5,19 @@ contain. The index holds a posting (trigram, document) for each trigram that som
 asks about; intersecting postings gives each rule's candidate documents, and only those
 are searched with the regex. A rule without mandatory trigrams is run over every text.
 
-If the candidates are few enough to be broadcast (a checked bound) they are joined to the
-texts; otherwise the same postings are intersected document by document in the pass that
-verifies, so that texts are never shuffled.
+A clause's rarest trigram is its anchor: the clause's other trigrams are looked for, and
+posted, only in documents that hold an anchor, since no other posting can be in an
+intersection. Candidates meet their texts by an equality join on a hash of id and text,
+whatever their number; Spark broadcasts them where their measured size allows.
 
 Main path: DataFrame functions only. Trigrams are taken from the lower-cased text, which
 can only add candidates. Positions are code points.
 
 Defined results. Null or empty text: no spans. Null ids and repeated rows: each row is scanned
-by itself; rows that share an id share candidates, which verification makes exact. Ties:
-spans are ordered by start, then by the rule's place, then by end. Empty table: no rows.
-Extra columns are carried inside one struct where whole rows are returned.
+by itself; equal rows share candidates. Very long texts and texts with many secrets: positions
+come from running sums taken in blocks, and masks are put between cuts of the text, so that nothing
+grows with the square of either. Ties: spans are ordered by start, then by the rule's place, then by
+end. Empty table: no rows. Extra columns are carried inside one struct where whole rows are returned.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import row_struct, staged
 
 
 @dataclass(frozen=True)
@@ -57,8 +59,10 @@ BASE = ("assign", "access", "hex")
 
 #: Strings that one stretch of literals may stand for.
 EXPAND = 64
-#: Candidates that are broadcast at most: (id, bits), about 40 MB as a hash table.
-BROADCAST_ROWS = 1_000_000
+#: Elements in a block of running sums, and code points in a block of text.
+STEP, CUT = 128, 1024
+#: Fixed value: letters of English from the most to the least frequent, by which anchors are chosen.
+FREQUENT = " etaoinshrdlucmfwypvbgkjqxz"
 
 #: A query in disjunctive form: a match contains all trigrams of at least one of the sets.
 #: None: nothing is mandatory.
@@ -121,9 +125,16 @@ def _walk(tree) -> tuple[set[str] | None, Query]:
 
 
 def trigram_query(regex: str) -> Query:
-    """The trigrams, in lower case, that any match of ``regex`` must contain."""
+    """The trigrams, in lower case, that any match of ``regex`` must contain; a set that holds another one is left out."""
     exact, query = _walk(parser.parse(regex))
-    return query if exact is None else _of(exact)
+    query = query if exact is None else _of(exact)
+    return query and frozenset(c for c in query if not any(d < c for d in query))
+
+
+def anchor(clause: frozenset[str]) -> str:
+    """The trigram of a clause that is likely to be the rarest."""
+    rank = lambda t: sum(FREQUENT.find(c) % 30 for c in t)  # other characters count as rarer than all letters
+    return max(sorted(clause), key=rank)
 
 
 def vocabulary(rules: Sequence[Rule] = RULES) -> list[str]:
@@ -131,21 +142,30 @@ def vocabulary(rules: Sequence[Rule] = RULES) -> list[str]:
     return sorted({t for r in rules for terms in trigram_query(r.regex) or () for t in terms})
 
 
-def present(text: Column, terms: Sequence[str]) -> list[Column]:
-    """For each term, whether the text contains it."""
-    folded = F.lower(text)
-    return [F.contains(folded, F.lit(t)) for t in terms]
-
-
-def _key(doc_id: str) -> Column:
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-1).cast("long"))
+def _key(docs: DataFrame, doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
 def build_index(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The inverted index's postings (term, key), term being a place in ``vocabulary``."""
-    found = [F.when(p, F.lit(i)) for i, p in enumerate(present(F.col("_text"), vocabulary(rules)))]
+    """The inverted index's postings (term, key), term being a place in ``vocabulary``, where a clause's anchor is present."""
+    terms, clauses = vocabulary(rules), [c for r in rules for c in trigram_query(r.regex) or ()]
+    anchors = sorted({anchor(c) for c in clauses})
+    bit, has = {t: 1 << k % 30 for k, t in enumerate(anchors)}, lambda t: F.contains("_folded", F.lit(t))
+    seen = F.array(*(sum((F.when(has(t), F.lit(bit[t])).otherwise(0) for t in anchors[w : w + 30]), F.lit(0)) for w in range(0, len(anchors), 30)))
+
+    def near(term: str) -> Column:
+        """Whether an anchor of one of the term's clauses is present."""
+        ok = F.lit(False)
+        for w in range(0, len(anchors), 30):
+            if m := sum(bit[t] for t in anchors[w : w + 30] if any(anchor(c) == t and term in c for c in clauses)):
+                ok = ok | (F.get("_seen", F.lit(w // 30)).bitwiseAND(F.lit(m)) != 0)
+        return ok
+
+    found = [F.when(near(t) & has(t), F.lit(i)) for i, t in enumerate(terms)]
     return (
-        docs.select(_key(doc_id).alias("key"), F.col(text).alias("_text"))
+        docs.select(_key(docs, doc_id, text).alias("key"), F.lower(text).alias("_folded"))
+        .withColumn("_seen", seen)
+        .where(F.exists("_seen", lambda x: x != 0))
         .select("key", F.explode(F.array_compact(F.array(*found))).alias("term"))
         .select("term", "key")
     )
@@ -184,34 +204,45 @@ def candidates(index: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     return index.groupBy("key").agg(*sets).select("key", _bits(terms, rules, has).alias("rules")).where("rules <> 0")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)``, the value being taken once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def prefixes(values: Column, zero: Column, op) -> Column:
+    """``op`` over all elements before each one, in blocks: an element costs ``STEP`` steps and no array is grown."""
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    fold = lambda x: F.aggregate(x, zero, op)
+
+    def inside(blocks: Column) -> Column:
+        totals = F.transform(blocks, fold)
+        bases = let(totals, lambda t: F.transform(upto(F.size(t)), lambda c: fold(F.slice(t, F.lit(1), c))))
+        each = lambda b, base: F.transform(upto(F.size(b)), lambda i: op(base, fold(F.slice(b, F.lit(1), i))))
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), bases.alias("base")), lambda x: each(x["b"], x["base"])))
+
+    cut = lambda v: F.transform(upto(F.ceil(F.size(v) / STEP).cast("int")), lambda c: F.slice(v, c * STEP + 1, F.lit(STEP)))
+    return let(values, lambda v: let(cut(v), inside))
+
+
 def _spans(text: Column, rule: Rule, place: int) -> Column:
     """The rule's spans as (start, place, end, kind), by the lengths of matches and of what lies between."""
-    pattern = F.lit(rule.regex)
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, rule.regex, -1)
-    judged = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else hits
-    ends = F.aggregate(
-        F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), judged.alias("judged")),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,place:int,end:int,kind:string>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.when(
-                F.length(x["judged"]) >= rule.least,
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["gap"])).alias("start"),
-                            F.lit(place).alias("place"),
-                            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-                            F.lit(rule.kind).alias("kind"),
-                        )
-                    ),
-                ),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-    )
-    return ends["out"]
+    pattern, none = F.lit(rule.regex), F.expr("cast(array() as array<int>)")
+    sizes = lambda x: F.transform(x, F.length)
+    hits = sizes(F.regexp_extract_all(text, pattern, F.lit(0)))
+    judged = sizes(F.regexp_extract_all(text, pattern, F.lit(rule.group))) if rule.group else hits
+    gaps = sizes(F.split(text, rule.regex, -1))
+
+    def of(m: Column) -> Column:
+        lengths = F.zip_with(m["hit"], F.slice(m["gap"], F.lit(1), F.size(m["hit"])), lambda h, g: h + g)
+        before = prefixes(lengths, F.lit(0), lambda a, b: a + b)
+        rows = F.arrays_zip(m["hit"].alias("hit"), m["gap"].alias("gap"), m["judged"].alias("judged"), before.alias("at"))
+        start = lambda x: x["at"] + x["gap"]
+        return F.transform(
+            F.filter(rows, lambda x: x["judged"] >= rule.least),
+            lambda x: F.struct(start(x).alias("start"), F.lit(place).alias("place"), (start(x) + x["hit"]).alias("end"), F.lit(rule.kind).alias("kind")),
+        )
+
+    return let(F.struct(F.coalesce(hits, none).alias("hit"), gaps.alias("gap"), judged.alias("judged")), of)
 
 
 def _gate(rule: Rule) -> str:
@@ -223,15 +254,9 @@ def _gate(rule: Rule) -> str:
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``docs`` as the struct ``row``, with ``found``: its spans, sorted."""
-    terms, row = vocabulary(rules), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    texts = docs.select(row, _key(doc_id).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    texts = docs.select(row_struct(docs).alias("row"), _key(docs, doc_id, text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     listed = staged(candidates(build_index(docs, rules, doc_id, text), rules), "candidates")
-    if listed.count() <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(listed), "key", "left").withColumn("rules", F.coalesce("rules", F.lit(0)))
-    else:
-        has = present(F.col("_text"), terms)
-        both = lambda places: F.expr("true") if not places else F.forall(F.array(*(has[p] for p in places)), lambda x: x)
-        texts = texts.withColumn("rules", _bits(terms, rules, both))
+    texts = texts.join(listed, "key", "left").withColumn("rules", F.coalesce("rules", F.lit(0)))
     none = F.expr("cast(array() as array<struct<start:int,place:int,end:int,kind:string>>)")
     parts = []
     for k, r in enumerate(rules):
@@ -259,21 +284,23 @@ def secret_spans(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     )
 
 
+def _between(blocks: Column, a: Column, b: Column) -> Column:
+    """Code points ``a`` to ``b`` of the text that ``blocks`` make up."""
+    part = lambda k: F.substring(F.get(blocks, k), F.greatest(a - k * CUT, F.lit(0)) + 1, F.least(b - k * CUT, F.lit(CUT)) - F.greatest(a - k * CUT, F.lit(0)))
+    return F.when(b <= a, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.floor(a / CUT).cast("int"), F.floor((b - 1) / CUT).cast("int")), part), ""))
+
+
 def redacted(docs: DataFrame, mask: str = "[SECRET]", rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, columns unchanged, with every span of a secret replaced; a null text stays null."""
-    done = F.aggregate(
-        "found",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.when(s["start"] < acc["at"], acc["out"])
-                .otherwise(F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
-                .alias("out"),
-            )
-        ),
-    )
-    clean = F.concat(done["out"], F.substring(F.col("_text"), done["at"] + 1, F.length("_text")))
+    """The rows of ``docs``, columns unchanged, with every span of a secret replaced; a null text stays null.
+
+    Spans that overlap make one mask.
+    """
+    reached = prefixes(F.transform("found", lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+    # A span that begins where all before it have ended opens a mask; what lies before it is kept.
+    cuts = F.filter(F.zip_with("found", reached, lambda s, m: F.struct(m.alias("a"), s["start"].alias("b"))), lambda x: x["b"] >= x["a"])
+    blocks = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    last = F.struct(F.array_max(F.transform("found", lambda s: s["end"])).alias("a"), F.length("_text").alias("b"))
+    clean = let(blocks, lambda t: F.array_join(F.transform(F.concat(cuts, F.array(last)), lambda x: _between(t, x["a"], x["b"])), mask))
     cleaned = F.when(F.size("found") > 0, clean).otherwise(F.col(f"row.`{text}`"))
     return scan(docs, rules, text=text).select(
         *(cleaned.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns)
