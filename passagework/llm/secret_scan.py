@@ -146,41 +146,41 @@ def _key(docs: DataFrame, doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
 
 
+def _sql(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def build_index(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The inverted index's postings (term, key), term being a place in ``vocabulary``, where a clause's anchor is present."""
     terms, clauses = vocabulary(rules), [c for r in rules for c in trigram_query(r.regex) or ()]
     anchors = sorted({anchor(c) for c in clauses})
-    bit, has = {t: 1 << k % 30 for k, t in enumerate(anchors)}, lambda t: F.contains("_folded", F.lit(t))
-    seen = F.array(*(sum((F.when(has(t), F.lit(bit[t])).otherwise(0) for t in anchors[w : w + 30]), F.lit(0)) for w in range(0, len(anchors), 30)))
+    words = [anchors[w : w + 30] for w in range(0, len(anchors), 30)]
+    has = lambda t: f"contains(_folded, {_sql(t)})"
+    seen = ", ".join(" | ".join(f"if({has(t)}, {1 << k}, 0)" for k, t in enumerate(word)) for word in words)
 
-    def near(term: str) -> Column:
+    def near(term: str) -> str:
         """Whether an anchor of one of the term's clauses is present."""
-        ok = F.lit(False)
-        for w in range(0, len(anchors), 30):
-            if m := sum(bit[t] for t in anchors[w : w + 30] if any(anchor(c) == t and term in c for c in clauses)):
-                ok = ok | (F.get("_seen", F.lit(w // 30)).bitwiseAND(F.lit(m)) != 0)
-        return ok
+        masks = [sum(1 << k for k, t in enumerate(word) if any(anchor(c) == t and term in c for c in clauses)) for word in words]
+        return " or ".join(f"_seen[{w}] & {m} != 0" for w, m in enumerate(masks) if m)
 
-    found = [F.when(near(t) & has(t), F.lit(i)) for i, t in enumerate(terms)]
+    found = ", ".join(f"if(({near(t)}) and {has(t)}, {i}, null)" for i, t in enumerate(terms))
     return (
         docs.select(_key(docs, doc_id, text).alias("key"), F.lower(text).alias("_folded"))
-        .withColumn("_seen", seen)
-        .where(F.exists("_seen", lambda x: x != 0))
-        .select("key", F.explode(F.array_compact(F.array(*found))).alias("term"))
-        .select("term", "key")
+        .select("*", F.expr(f"array({seen})").alias("_seen"))
+        .where("exists(_seen, x -> x != 0)")
+        .selectExpr(f"explode(array_compact(array({found}))) as term", "key")
     )
 
 
-def _bits(terms: Sequence[str], rules: Sequence[Rule], has) -> Column:
-    """Bit k is set if rule k's query holds; ``has(terms)`` tests for a set of terms."""
-    place, out = {t: i for i, t in enumerate(terms)}, F.lit(0)
+def _bits(rules: Sequence[Rule], has) -> Column:
+    """Bit k is set if rule k's query holds; ``has(places)`` is the SQL that tests for a set of terms."""
+    place, parts = {t: i for i, t in enumerate(vocabulary(rules))}, ["0"]
     for k, r in enumerate(rules):
         if (query := trigram_query(r.regex)) is not None:
-            ok = F.lit(False)
-            for clause in sorted(query, key=sorted):
-                ok = ok | has(sorted(place[t] for t in clause))
-            out = out.bitwiseOR(F.when(ok, F.lit(1 << k)).otherwise(F.lit(0)))
-    return out
+            ok = " or ".join(f"({has(sorted(place[t] for t in clause))})" for clause in sorted(query, key=sorted))
+            parts.append(f"if({ok}, {1 << k}, 0)")
+    return F.expr(" | ".join(parts))
 
 
 def candidates(index: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -188,61 +188,49 @@ def candidates(index: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
     A task holds all postings of its documents, so they are combined before the shuffle.
     """
-    terms = vocabulary(rules)
-    sets = [
-        F.bit_or(F.expr(f"if(term between {w} and {w + 62}, shiftleft(1L, term - {w}), 0L)")).alias(f"w{w}")
-        for w in range(0, len(terms), 63)
-    ]
-
-    def has(places: list[int]) -> Column:
-        ok = F.lit(True)
-        for w in range(0, len(terms), 63):
-            if m := sum(1 << p - w for p in places if w <= p < w + 63):
-                ok = ok & (F.col(f"w{w}").bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long"))
-        return ok
-
-    return index.groupBy("key").agg(*sets).select("key", _bits(terms, rules, has).alias("rules")).where("rules <> 0")
-
+    starts = range(0, len(vocabulary(rules)), 63)
+    sets = [F.expr(f"bit_or(if(term between {w} and {w + 62}, shiftleft(1L, term - {w}), 0L)) as w{w}") for w in starts]
 
-def let(value: Column, use) -> Column:
-    """``use(value)``, the value being taken once however often it is used."""
-    return F.get(F.transform(F.array(value), use), 0)
+    def has(places: list[int]) -> str:
+        masks = {w: sum(1 << p - w for p in places if w <= p < w + 63) for w in starts}
+        return " and ".join(f"w{w} & {m}L = {m}L" for w, m in masks.items() if m)
 
+    return index.groupBy("key").agg(*sets).select("key", _bits(rules, has).alias("rules")).where("rules <> 0")
 
-def prefixes(values: Column, zero: Column, op) -> Column:
-    """``op`` over all elements before each one, in blocks: an element costs ``STEP`` steps and no array is grown."""
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    fold = lambda x: F.aggregate(x, zero, op)
 
-    def inside(blocks: Column) -> Column:
-        totals = F.transform(blocks, fold)
-        bases = let(totals, lambda t: F.transform(upto(F.size(t)), lambda c: fold(F.slice(t, F.lit(1), c))))
-        each = lambda b, base: F.transform(upto(F.size(b)), lambda i: op(base, fold(F.slice(b, F.lit(1), i))))
-        return F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), bases.alias("base")), lambda x: each(x["b"], x["base"])))
+def _let(value: str, name: str, use: str) -> str:
+    """SQL for ``use``, in which ``name`` is the value, taken once however often it is used."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
 
-    cut = lambda v: F.transform(upto(F.ceil(F.size(v) / STEP).cast("int")), lambda c: F.slice(v, c * STEP + 1, F.lit(STEP)))
-    return let(values, lambda v: let(cut(v), inside))
 
+def _upto(n: str) -> str:
+    return f"if({n} > 0, sequence(0, cast({n} as int) - 1), cast(array() as array<int>))"
 
-def _spans(text: Column, rule: Rule, place: int) -> Column:
-    """The rule's spans as (start, place, end, kind), by the lengths of matches and of what lies between."""
-    pattern, none = F.lit(rule.regex), F.expr("cast(array() as array<int>)")
-    sizes = lambda x: F.transform(x, F.length)
-    hits = sizes(F.regexp_extract_all(text, pattern, F.lit(0)))
-    judged = sizes(F.regexp_extract_all(text, pattern, F.lit(rule.group))) if rule.group else hits
-    gaps = sizes(F.split(text, rule.regex, -1))
 
-    def of(m: Column) -> Column:
-        lengths = F.zip_with(m["hit"], F.slice(m["gap"], F.lit(1), F.size(m["hit"])), lambda h, g: h + g)
-        before = prefixes(lengths, F.lit(0), lambda a, b: a + b)
-        rows = F.arrays_zip(m["hit"].alias("hit"), m["gap"].alias("gap"), m["judged"].alias("judged"), before.alias("at"))
-        start = lambda x: x["at"] + x["gap"]
-        return F.transform(
-            F.filter(rows, lambda x: x["judged"] >= rule.least),
-            lambda x: F.struct(start(x).alias("start"), F.lit(place).alias("place"), (start(x) + x["hit"]).alias("end"), F.lit(rule.kind).alias("kind")),
-        )
+def prefixes(values: str, op: str) -> str:
+    """SQL for ``op`` ({} of two ints, from 0) over all elements before each one.
 
-    return let(F.struct(F.coalesce(hits, none).alias("hit"), gaps.alias("gap"), judged.alias("judged")), of)
+    It works in blocks: an element costs ``STEP`` steps and no array is grown.
+    """
+    fold = lambda x: f"aggregate({x}, 0, (p, q) -> {op.format('p', 'q')})"
+    blocks = f"transform({_upto(f'ceil(size(v) / {STEP})')}, c -> slice(v, c * {STEP} + 1, {STEP}))"
+    bases = _let(f"transform(blocks, b -> {fold('b')})", "t", f"transform({_upto('size(t)')}, c -> {fold('slice(t, 1, c)')})")
+    each = f"transform({_upto('size(b)')}, i -> {op.format('base', fold('slice(b, 1, i)'))})"
+    return _let(values, "v", _let(blocks, "blocks", f"flatten(zip_with(blocks, {bases}, (b, base) -> {each}))"))
+
+
+def _spans(text: str, rule: Rule, place: int) -> str:
+    """SQL for the rule's spans as (start, place, end, kind), by the lengths of matches and of what lies between."""
+    sizes = lambda x: f"transform({x}, x -> length(x))"
+    found = lambda group: sizes(f"regexp_extract_all({text}, {_sql(rule.regex)}, {group})")
+    hits, gaps = found(0), sizes(f"split({text}, {_sql(rule.regex)}, -1)")
+    before = prefixes("zip_with(m.hit, slice(m.gap, 1, size(m.hit)), (h, g) -> h + g)", "{} + {}")
+    hit_gap = "zip_with(m.hit, slice(m.gap, 1, size(m.hit)), (h, g) -> struct(h as hit, g as gap))"
+    judged_at = f"zip_with(m.judged, {before}, (j, a) -> struct(j as judged, a as at))"
+    rows = f"zip_with({hit_gap}, {judged_at}, (x, y) -> struct(y.at + x.gap as start, x.hit as hit, y.judged as judged))"
+    good = f"transform(filter({rows}, r -> r.judged >= {rule.least}), r -> struct(r.start as start, {place} as place, r.start + r.hit as end, {_sql(rule.kind)} as kind))"
+    judged = found(rule.group) if rule.group else "h.hit"
+    return _let(_let(f"struct({hits} as hit, {gaps} as gap)", "h", f"struct(h.hit as hit, h.gap as gap, {judged} as judged)"), "m", good)
 
 
 def _gate(rule: Rule) -> str:
@@ -257,13 +245,11 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id",
     texts = docs.select(row_struct(docs).alias("row"), _key(docs, doc_id, text).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     listed = staged(candidates(build_index(docs, rules, doc_id, text), rules), "candidates")
     texts = texts.join(listed, "key", "left").withColumn("rules", F.coalesce("rules", F.lit(0)))
-    none = F.expr("cast(array() as array<struct<start:int,place:int,end:int,kind:string>>)")
-    parts = []
+    none, parts = "cast(array() as array<struct<start:int,place:int,end:int,kind:string>>)", []
     for k, r in enumerate(rules):
-        full = trigram_query(r.regex) is None
-        may = F.col("_text").rlike(_gate(r)) if full else F.col("rules").bitwiseAND(F.lit(1 << k)) != 0
-        parts.append(F.when(may, _spans(F.col("_text"), r, k)).otherwise(none))
-    return texts.select("row", "_text", F.sort_array(F.concat(*parts)).alias("found"))
+        may = f"_text rlike {_sql(_gate(r))}" if trigram_query(r.regex) is None else f"rules & {1 << k} != 0"
+        parts.append(f"if({may}, {_spans('_text', r, k)}, {none})")
+    return texts.selectExpr("row", "_text", f"sort_array(concat({', '.join(parts)})) as found")
 
 
 def _joined(spans: Column) -> Column:
@@ -284,24 +270,23 @@ def secret_spans(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     )
 
 
-def _between(blocks: Column, a: Column, b: Column) -> Column:
-    """Code points ``a`` to ``b`` of the text that ``blocks`` make up."""
-    part = lambda k: F.substring(F.get(blocks, k), F.greatest(a - k * CUT, F.lit(0)) + 1, F.least(b - k * CUT, F.lit(CUT)) - F.greatest(a - k * CUT, F.lit(0)))
-    return F.when(b <= a, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.floor(a / CUT).cast("int"), F.floor((b - 1) / CUT).cast("int")), part), ""))
-
-
 def redacted(docs: DataFrame, mask: str = "[SECRET]", rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, with every span of a secret replaced; a null text stays null.
 
     Spans that overlap make one mask.
     """
-    reached = prefixes(F.transform("found", lambda s: s["end"]), F.lit(0), lambda a, b: F.greatest(a, b))
+    ends = "transform(found, s -> s.end)"
     # A span that begins where all before it have ended opens a mask; what lies before it is kept.
-    cuts = F.filter(F.zip_with("found", reached, lambda s, m: F.struct(m.alias("a"), s["start"].alias("b"))), lambda x: x["b"] >= x["a"])
-    blocks = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
-    last = F.struct(F.array_max(F.transform("found", lambda s: s["end"])).alias("a"), F.length("_text").alias("b"))
-    clean = let(blocks, lambda t: F.array_join(F.transform(F.concat(cuts, F.array(last)), lambda x: _between(t, x["a"], x["b"])), mask))
-    cleaned = F.when(F.size("found") > 0, clean).otherwise(F.col(f"row.`{text}`"))
+    cuts = f"filter(zip_with(found, {prefixes(ends, 'greatest({}, {})')}, (s, m) -> struct(m as a, s.start as b)), x -> x.b >= x.a)"
+    kept = f"concat({cuts}, array(struct(array_max({ends}) as a, length(_text) as b)))"
+    first = f"greatest(x.a - k * {CUT}, 0)"
+    part = f"substring(get(blocks, k), {first} + 1, least(x.b - k * {CUT}, {CUT}) - {first})"
+    place = lambda n: f"cast(floor({n} / {CUT}) as int)"
+    piece = f"if(x.b <= x.a, '', array_join(transform(sequence({place('x.a')}, {place('(x.b - 1)')}), k -> {part}), ''))"
+    clean = _let(
+        f"regexp_extract_all(_text, {_sql(f'(?s).{{1,{CUT}}}')}, 0)", "blocks", f"array_join(transform({kept}, x -> {piece}), {_sql(mask)})"
+    )
+    cleaned = F.when(F.size("found") > 0, F.expr(clean)).otherwise(F.col(f"row.`{text}`"))
     return scan(docs, rules, text=text).select(
         *(cleaned.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns)
     )
