@@ -7,7 +7,8 @@ one is zero or one. Pairing conserves the source's expected words exactly, so th
 the last unpaired fraction of each source can miss its target, by less than one document. Large
 documents come first, so that this last one is small.
 
-Documents are dealt to buckets by their id, so that a hot source is spread over all of
+Equal rows are one item with a count: all but a fraction of their copies is certain. Items
+are dealt to buckets by id and content, so that a hot source or a missing id is spread over all of
 them. A bucket leaves at most one fraction per source; these residuals are paired again
 up a reduction tree.
 
@@ -15,9 +16,10 @@ Random numbers come from the seed, round and bucket, and a bucket is sorted befo
 reruns agree for any layout of the input.
 
 Defined results. Null or empty text: size 0, taken 0. Null source: a source of its own, last in
-order. Null ids: one bucket holds them, in order of size. Repeated rows are documents of their
-own. Ties: equal rows are interchangeable. Empty table: no rows. Extra columns are carried
-inside one struct by ``mixed``.
+order. Null ids: told apart by a hash of the row. Very long texts: counted in the scan. Repeated
+rows and ties: rows that are equal in all columns are interchangeable; ``mixture`` gives the first of
+them one copy more than the others where their copies don't divide. Empty table: no rows. Extra columns
+are carried inside one struct by ``mixed``.
 """
 
 from __future__ import annotations
@@ -29,17 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, staged, word_count
+from .common import mapped, row_hash, row_struct, running, staged, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 BUCKET = 4096
 FAN_IN = 32
-#: Sources up to which their table is broadcast.
-BROADCAST_ROWS = 100_000
+#: Parts into which the rows of one source are dealt where they meet its target.
+SALTS = 16
 
-SCHEMA = "doc_id long, source string, size long, source_size long, target double, whole int, part double, salt long"
+SCHEMA = "doc_id long, source string, size long, content long, n long, source_size long, target double, sure long, part double, salt long"
 
 
 def targets(
@@ -51,23 +53,20 @@ def targets(
     one at which the targets add up. Sources are ordered by code point, null last.
     """
     named = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # a row for each source
-    weight = F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("double")
-    ready = named.select("source", "source_size", weight.alias("weight")).select(
+    by_name = [F.col("source").asc_nulls_last()]
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("double")
+    ready = running(named, by_name, place=F.lit(1)).select("source", "source_size", weight.alias("weight")).select(
         "*", (F.col("source_size") * most).alias("cap"), (F.col("source_size") * most / F.col("weight")).alias("full_at")
     )
-    upto = Window.orderBy("full_at", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    # The level if all sources that fill up before this one are full and this one isn't.
-    level = (F.sum("source_size").over(everything) * share - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))) / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(upto), F.lit(0.0))
-    )
-    leveled = ready.select("*", level.alias("level"))
-    highest = F.max("level").over(everything)  # rises up to the first source that isn't full, then falls
-    return leveled.select(
+    upto = staged(running(ready, [F.col("full_at"), *by_name], caps=F.col("cap"), weights=F.col("weight")), "levels")
+    all_sizes, all_weights = upto.agg(F.sum("source_size"), F.sum("weight")).first()
+    # The level if all sources that fill up before this one are full and this one isn't; it rises up to
+    # the first source that isn't full, then falls.
+    level = (F.lit(float(all_sizes or 0) * share) - F.col("caps")) / (F.lit(all_weights or 0.0) - F.col("weights"))
+    highest = upto.agg(F.max(level)).first()[0] or 0.0
+    return upto.select(
         "source", "source_size",
-        F.when(F.col("source_size") == 0, F.lit(0.0))
-        .otherwise(F.least("cap", F.col("weight") * highest)).alias("target"),
+        F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least("cap", F.col("weight") * highest)).alias("target"),
     )
 
 
@@ -95,7 +94,7 @@ def _round(seed: int, level: int, last: bool):
             def leave(rows=out) -> None:
                 for row in held.values():
                     if last:
-                        row[6] = float(random.random() < row[6])
+                        row[8] = float(random.random() < row[8])
                     rows.append(row)
                 held.clear()
 
@@ -113,9 +112,9 @@ def _round(seed: int, level: int, last: bool):
                 if other is None:
                     held[names[i]] = row
                     continue
-                other[6], row[6] = pivot(other[6], other[2], p, sizes[i], random.random())
+                other[8], row[8] = pivot(other[8], other[2], p, sizes[i], random.random())
                 for r in (other, row):
-                    if 0.0 < r[6] < 1.0 and names[i] not in held:
+                    if 0.0 < r[8] < 1.0 and names[i] not in held:
                         held[names[i]] = r
                     else:
                         out.append(r)
@@ -127,7 +126,7 @@ def _round(seed: int, level: int, last: bool):
             rest = []
             for row in held.values():
                 if last:
-                    row[6] = float(random.random() < row[6])
+                    row[8] = float(random.random() < row[8])
                 rest.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rest, strict=True), schema.types, strict=True)], names=schema.names)
 
@@ -135,25 +134,28 @@ def _round(seed: int, level: int, last: bool):
 
 
 def copies(sizes: DataFrame, seed: int = 42) -> DataFrame:
-    """(doc_id, source, size) with source_size, target and ``copies``, the times that each row is taken."""
-    sizes = staged(sizes.select("doc_id", "source", F.col("size").cast("long").alias("size")), "sizes")
-    named = staged(targets(sizes), "targets")
-    right = named.select(F.col("source").alias("_source"), "source_size", "target")
-    if named.count() <= BROADCAST_ROWS:
-        right = F.broadcast(right)
+    """From (doc_id, source, size, content): one row for all equal ones, with their number ``n``, source_size, target and ``copies`` in all."""
+    keys = ["doc_id", "source", "size", "content"]
+    items = staged(sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    named = staged(targets(items.select("source", (F.col("size") * F.col("n")).alias("size"))), "targets")
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    right = named.select(F.struct("source").alias("_source"), "source_size", "target", each)
     share = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    # Each row's fraction apart, n rows have n times the whole part and the whole part of n fractions for certain.
     rows = (
-        sizes.join(right, F.col("source").eqNullSafe(F.col("_source")))
-        .withColumn("whole", F.floor(share).cast("int"))
-        .withColumn("part", share - F.col("whole"))
-        .drop("_source")
+        items.withColumns({"_source": F.struct("source"), "_salt": F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")})
+        .join(right, ["_source", "_salt"])
+        .withColumn("part", share - F.floor(share))
+        .withColumn("sure", F.col("n") * F.floor(share) + F.floor(F.col("n") * F.col("part")))
+        .withColumn("part", F.col("n") * F.col("part") - F.floor(F.col("n") * F.col("part")))
+        .select(*keys, "n", "source_size", "target", "sure", "part")
     )
-    total = sizes.count()
+    total = items.count()
     groups, level, done = max(1, -(-total // BUCKET)), 0, []
-    salt = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)).cast("long")
+    salt = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "content"), F.lit(groups)).cast("long")
     while True:
         last = groups == 1
-        dealt = rows.withColumn("salt", salt).repartition("salt").sortWithinPartitions("salt", F.desc("size"), "doc_id", "source")
+        dealt = rows.withColumn("salt", salt).repartition("salt").sortWithinPartitions("salt", F.desc("size"), *keys)
         out = staged(mapped(dealt, _round(seed, level, last), SCHEMA), "rounded")
         if last:
             done.append(out)
@@ -164,43 +166,42 @@ def copies(sizes: DataFrame, seed: int = 42) -> DataFrame:
     whole = done[0]
     for d in done[1:]:
         whole = whole.union(d)
-    return whole.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("part").cast("int")).alias("copies")
-    )
+    return whole.select(*keys, "n", "source_size", "target", (F.col("sure") + F.col("part").cast("int")).alias("copies"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), row_hash(docs).alias("content")
+    )
 
 
 def mixture(docs: DataFrame, seed: int = 42) -> DataFrame:
     """doc_id, size, source_size, target, taken: one row per document."""
-    return copies(sized(docs), seed).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    nth = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("nth")
+    times = F.floor(F.col("copies") / F.col("n")) + (F.col("nth") < F.col("copies") % F.col("n")).cast("long")
+    return copies(sized(docs), seed).select("*", nth).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken")
     )
 
 
 def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    keys = ["_id", "_source", "_size"]
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Texts meet their counts by a hash of the whole row and the id. Of n equal rows each is taken as often
+    as n divides their copies; what is left over, if any, is taken of one of them.
+    """
+    keys = ["_id", "_content"]
     left = docs.select(
-        row, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"),
-        F.struct("source").alias("_source"), word_count(F.col("text")).alias("_size"),
-    )
-    # Rows that agree in these are interchangeable; their copies differ by one at most.
-    right = (
-        copies(sized(docs), seed)
-        .select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.struct("source").alias("_source"), F.col("size").alias("_size"), "copies")
-        .groupBy(*keys)
-        .agg(F.max("copies").alias("most"), F.count(F.lit(1)).alias("n"), F.sum("copies").alias("all"))
-    )
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1)))
-    times = F.when(nth <= F.col("n") - (F.col("most") * F.col("n") - F.col("all")), F.col("most")).otherwise(F.col("most") - 1)
-    return (
-        left.join(right, keys)
-        .select("row", times.alias("times"))
-        .where("times > 0")
-        .select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
-        .select("row.*")
+        row_struct(docs).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), row_hash(docs).alias("_content")
     )
+    found = staged(copies(sized(docs), seed), "copies")
+    each = found.select(
+        F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("content").alias("_content"),
+        F.floor(F.col("copies") / F.col("n")).alias("times"), (F.col("copies") % F.col("n")).alias("more"),
+    )
+    repeat = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
+    whole = left.join(each.where("times > 0").hint("shuffle_hash"), keys).select("row", repeat(F.col("times"))).select("row.*")
+    if each.where("more > 0").isEmpty():
+        return whole
+    one = left.join(each.where("more > 0"), keys).dropDuplicates(keys)
+    return whole.union(one.select("row", repeat(F.col("more"))).select("row.*"))

@@ -102,7 +102,50 @@ def test_sources_hit_their_targets(spark, monkeypatch, bucket):
     assert all(abs(taken[s] - goal[s]) <= 61 for s in goal)
 
 
-def test_mixed_repeats_rows(spark, awkward):
+def test_mixed_repeats_rows(spark, awkward, empty):
     got = Counter(str(r) for r in m.mixed(awkward).collect())
     assert set(got) <= {str(r) for r in awkward.collect()}
     assert sum(got.values()) == m.copies(m.sized(awkward)).agg(F.sum("copies")).first()[0]
+    assert m.mixed(empty).count() == 0
+
+
+def test_rows_of_one_id_agree_in_any_layout(spark):
+    rows = [(7 if i % 2 else None, f"a{i % 40} b c", "ab"[i % 2]) for i in range(400)] + [(1, "one text", "c")] * 33
+    df = make(spark, rows)
+    again = df.repartition(7).orderBy("text", "doc_id")
+    found = [Counter(str(r) for r in m.mixed(x).collect()) for x in (df, again)]
+    assert found[0] == found[1]
+    assert Counter(map(str, m.mixture(df).collect())) == Counter(map(str, m.mixture(again).collect()))
+    check_mix(m.mixture(df).collect(), df.collect())
+
+
+def test_a_hot_missing_id_is_spread(spark):
+    df = make(spark, [(None, f"text {i}", "s") for i in range(20_000)])
+    sizes = m.sized(df)
+    salts = sizes.select(F.pmod(F.xxhash64(F.lit(42), "doc_id", "content"), F.lit(5)).alias("salt")).groupBy("salt").count().collect()
+    assert len(salts) == 5 and max(r["count"] for r in salts) < 5000
+    check_mix(m.mixture(df).collect(), df.collect())
+
+
+def test_equal_rows_are_one_item(spark):
+    df = make(spark, [(None, "same words", "s")] * 5000 + [(i, "w " * (i % 9 + 1), "t") for i in range(300)])
+    assert m.copies(m.sized(df)).count() == 301
+    check_mix(m.mixture(df).collect(), df.collect())
+    assert m.mixed(df).count() == m.copies(m.sized(df)).agg(F.sum("copies")).first()[0]
+
+
+def test_clashing_names(spark):
+    df = make(spark, [(i, f"w{i} x", "s") for i in range(9)])
+    for n in ("size", "content", "n", "row", "times", "more", "_id", "_content", "salt"):
+        df = df.withColumn(n, F.lit("mine"))
+    rows = m.mixed(df).collect()
+    assert rows and m.mixed(df).columns == df.columns and all(r["_content"] == r["n"] == "mine" for r in rows)
+
+
+@pytest.mark.parametrize("n", [1, 7, 3000])
+def test_targets_of_many_sources(spark, n):
+    rng = random.Random(n)
+    sizes = {f"s{i:04d}": rng.randint(0, 500) for i in range(n)} | {None: 40}
+    got = m.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+    goal = water(sizes)
+    assert {r["source"]: round(r["target"], 3) for r in got} == {s: round(x, 3) for s, x in goal.items()}
