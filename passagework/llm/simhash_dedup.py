@@ -9,15 +9,21 @@ Hamming distance. Within a key no list of pairs leaves the task: a key yields at
 most one link per fingerprint, to the first member of its connected part, which
 keeps the same components. Copies meet as one fingerprint before any of this.
 
+A segment value that more than half of ``TILED`` distinct fingerprints share makes hot keys, which are
+indexed once more in the same way: the other segment is cut into two halves of 16 bits, one of which
+differs by at most one bit, so 32 one-wildcard variants of the halves split the key. What agrees in a key
+and a variant of it differs in 18 bits only, so no more than 2**18 fingerprints ever meet in one task's group.
+
 Components are found by label propagation with hooking and pointer jumping: joins
 and pre-aggregated minima over the links only, each round written to the shared
 folder. Nothing about documents or links is collected by the driver.
 
 Defined results. Null or empty text: fingerprint zero, linked like any other.
-Fewer than three words: the whole sequence is the one shingle. A null doc_id keeps
-its row; its component_id is the smallest id of the others, or null. Repeated rows:
-one result row each. Empty table: empty result. Extra columns are ignored by
-``simhash_components`` and kept by ``deduplicated``.
+Fewer than three words: the whole sequence is the one shingle. Very long texts: hashed in
+parts. A null doc_id keeps its row; its component_id is the smallest id of the others, or null; any
+long is an id. Repeated rows and ties: one result row each; ``deduplicated`` keeps the smallest id, null ids
+last, of several rows with that id the one with the least row hash, and of equal rows one. Empty table: empty
+result. Extra columns are ignored by ``simhash_components`` and kept by ``deduplicated``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,20 +34,19 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, staged
+from .common import folders, mapped, remove, row_hash, row_struct, staged
 
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 3
 #: Parts into which the rows of one node or label are dealt in the joins of ``components``.
 SALTS = 8
-#: Rows without an id are numbered from here on; ids must be smaller.
-NO_ID = 1 << 62
 #: Members of one key up to which all pairs are compared in tiles; above it each
-#: member looks its neighbours up by value, which is linear in the members.
+#: member looks its neighbours up by value, which is linear in the members. Keys that
+#: may have more are split.
 TILED = 16384
 
 
@@ -75,21 +80,42 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, content, fp): a hash of the text, and the fingerprint's bits as a signed long."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text), F.xxhash64(text).alias("content"))
+    """(doc_id, content, fp): a hash of the row, and the fingerprint's bits as a signed long."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text), row_hash(docs).alias("content"))
     return mapped(rows, _fingerprints, "doc_id long, content long, fp long")
 
 
+def _segments(fps: DataFrame) -> DataFrame:
+    """(fp, s, v, o): for both segments s its value v and the other one's o."""
+    low, high = "fp & 4294967295L", "shiftrightunsigned(fp, 32)"
+    return fps.selectExpr("fp", f"inline(array(struct(0 as s, {low} as v, {high} as o), struct(1 as s, {high} as v, {low} as o)))")
+
+
+def _hot(segments: DataFrame) -> DataFrame:
+    """(s, v, hot): bit b of ``hot`` is set if the key of segment value v without bit b may be a hot one."""
+    shared = staged(segments.groupBy("s", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILED // 2), "shared")
+    near = "concat(array(struct(v, 4294967295L as hot)), transform(sequence(0, 31), b -> struct(v ^ shiftleft(1L, b) as v, shiftleft(1L, b) as hot)))"
+    return shared.select("s", F.expr(f"inline({near})")).groupBy("s", "v").agg(F.bit_or("hot").alias("hot"))
+
+
 def variants(fps: DataFrame) -> DataFrame:
-    """(key, fp) for the 64 one-wildcard segment variants of each fingerprint.
+    """(key, fp) for the 64 one-wildcard segment variants of each fingerprint, hot ones split by 32 more.
 
-    The key holds the masked bit's place (0 to 63) over the masked segment.
+    The key holds the masked bit's place (0 to 63) over the masked segment over the second variant, or 0.
     """
-    segment = F.when(F.col("bit") < 32, F.col("fp")).otherwise(F.shiftrightunsigned("fp", 32))
-    low = segment.bitwiseAND(F.lit(0xFFFFFFFF))
-    off = F.expr("~shiftleft(1L, cast(bit % 32 as int))")
-    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select(
-        low.bitwiseAND(off).bitwiseOR(F.expr("shiftleft(cast(bit as bigint), 32)")).alias("key"), "fp"
+    segments = _segments(fps)
+    hot = _hot(segments)
+    if hot.isEmpty():
+        marked = segments.withColumn("hot", F.lit(0).cast("long"))
+    else:  # the values to look up are the ones with the most rows
+        each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        salted = segments.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+        marked = salted.join(hot.select("*", each), ["s", "v", "salt"], "left").withColumn("hot", F.coalesce("hot", F.lit(0).cast("long")))
+    plain = "shiftleft(cast(s * 32 + b as bigint), 32) | (v & ~shiftleft(1L, b))"
+    half = "if(c < 16, o & 65535L, shiftrightunsigned(o, 16)) & ~shiftleft(1L, c % 16)"
+    more = f"if(hot & shiftleft(1L, b) != 0, transform(sequence(0, 31), c -> 1L + (shiftleft(cast(c as bigint), 16) | ({half}))), array(0L))"
+    return marked.select("*", F.expr("explode(sequence(0, 31)) as b")).selectExpr("fp", f"shiftleft({plain}, 22) as k", f"explode({more}) as second").selectExpr(
+        "k | second as key", "fp"
     )
 
 
@@ -195,12 +221,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .union(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))),
         "edges",
     )
+    spark = edges.sparkSession
     labels = staged(
         both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels"
     )
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).alias("salt")
     for _ in range(max_rounds):
+        before = folders(spark)
         near = (
             both.select("u", "v", salt("u"))
             .join(labels.select(F.col("node").alias("v"), "label", each), ["v", "salt"])
@@ -217,21 +245,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             hooked.select("*", salt("node")).join(up, ["label", "salt"], "left").select("node", "old", F.least("label", "up").alias("label")),
             "labels",
         )
+        # What this round has read: the labels of the one before and those without their jumps.
+        remove(spark, [before[-1], *folders(spark)[len(before) : -1]])
         labels = new.select("node", "label")
         if new.where("label <> old").isEmpty():
             return labels
     raise RuntimeError("components did not settle")
 
 
-def _keys(docs: DataFrame, doc_id: str) -> Column:
-    """The id, or for a row without one a number from 2**62 on, made from its content."""
-    content = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    return F.coalesce(F.col(doc_id).cast("long"), F.shiftrightunsigned(content, 2) + F.lit(NO_ID))
-
-
 def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(staged fingerprints of all rows; fp -> (label, component_id)), ids as made by ``_keys``."""
-    rows = staged(fingerprints(docs.select(_keys(docs, doc_id).alias("doc_id"), F.col(text).alias("text"))), "fingerprints")
+    """(staged fingerprints of all rows; fp -> (label, component_id))."""
+    rows = staged(fingerprints(docs, doc_id, text), "fingerprints")
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     edges = staged(links(fps.select("fp")), "links")
     if edges.isEmpty():
@@ -246,21 +270,23 @@ def labelled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tup
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id."""
     rows, named = labelled(docs, doc_id, text)
-    known = lambda c: F.when(F.col(c) < NO_ID, F.col(c)).alias(c)
-    return rows.join(named, "fp").select(
-        known("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), known("component_id")
-    )
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, columns unchanged, one for each component: that of the smallest doc_id.
 
-    Rows that bear the same id with other texts are told apart by a hash of the text; of equal rows one stays.
+    Rows are chosen by id and row hash; texts are shuffled once, to the chosen keys, and not sorted.
     """
     rows, named = labelled(docs, doc_id, text)
-    first = rows.join(named, "fp").groupBy("label").agg(F.min(F.struct("doc_id", "content")).alias("k"))
-    keep = first.select(F.col("k.doc_id").alias("_keep"), F.col("k.content").alias("_content"))
-    keyed = docs.withColumns({"_keep": _keys(docs, doc_id), "_content": F.xxhash64(text)})
-    order = Window.partitionBy("_keep", "_content").orderBy(*(F.col(f"`{c}`") for c in docs.columns))
-    chosen = keyed.join(keep, ["_keep", "_content"], "left_semi").withColumn("_nth", F.row_number().over(order))
-    return chosen.where("_nth = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    first = rows.join(named, "fp").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("k"))
+    key = lambda c: F.struct(F.col(c).cast("long").alias("doc_id"))  # a struct that holds a null equals another one
+    keep = staged(first.select(key("k.doc_id").alias("_id"), F.col("k.content").alias("_content")), "kept")
+    keyed = docs.select(row_struct(docs).alias("row"), key(f"`{doc_id}`").alias("_id"), row_hash(docs).alias("_content"))
+    keys = ["_id", "_content"]
+    repeated = rows.groupBy(key("doc_id").alias("_id"), F.col("content").alias("_content")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = staged(keep.join(repeated, keys, "left_semi"), "repeated")
+    if twice.isEmpty():
+        return keyed.join(keep.hint("shuffle_hash"), keys, "left_semi").select("row.*")
+    once = keyed.join(keep.join(twice, keys, "left_anti").hint("shuffle_hash"), keys, "left_semi").select("row.*")
+    return once.union(keyed.join(twice, keys, "left_semi").dropDuplicates(keys).select("row.*"))

@@ -55,6 +55,54 @@ def test_links_of_any_three_bits_are_found(spark):
     assert all((x ^ y).bit_count() <= 3 for x, y in map(tuple, got))
 
 
+def test_hot_keys_are_split_and_lose_no_link(spark, monkeypatch):
+    rng = random.Random(11)
+    base = rng.getrandbits(64)
+    prints = {base ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 5))) for _ in range(500)}
+    fps = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+
+    def parts():
+        unsigned = sorted(prints)
+        place = {p: i for i, p in enumerate(unsigned)}
+        found = list(range(len(unsigned)))
+        for r in s.links(fps).collect():
+            x, y = (found[place[v & (1 << 64) - 1]] for v in (r["a"], r["b"]))
+            found = [min(x, y) if z in (x, y) else z for z in found]
+        return found
+
+    expected = brute_components(sorted(prints))
+    assert s._hot(s._segments(fps)).isEmpty() and parts() == expected
+    monkeypatch.setattr(s, "TILED", 6)
+    assert not s._hot(s._segments(fps)).isEmpty() and parts() == expected
+    sizes = s.variants(fps).groupBy("key").count()
+    plain = sizes.where("key & 4194303 = 0").agg({"count": "max"}).first()[0]
+    assert plain <= 6 and sizes.where("key & 4194303 <> 0").count() > 0
+
+
+def test_any_long_is_an_id(spark):
+    from llm_rows import make
+
+    ids = [1 << 62, (1 << 62) + 5, (1 << 63) - 1, -(1 << 63), None]
+    docs = make(spark, [(i, f"alone {i} with words of its own", "s") for i in ids] + [((1 << 63) - 1, "twin text here", "s"), ((1 << 62) + 7, "twin text here", "s")])
+    got = [(r["doc_id"], r["component_id"]) for r in s.simhash_components(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(i, i) for i in ids] + [((1 << 63) - 1, (1 << 62) + 7), ((1 << 62) + 7, (1 << 62) + 7)]))
+    assert sorted(str(r["doc_id"]) for r in s.deduplicated(docs).collect()) == sorted(map(str, [*ids, (1 << 62) + 7]))
+
+
+def test_deduplicated_keeps_clashing_columns_and_one_of_equal_rows(spark):
+    from llm_rows import make
+    from pyspark.sql import functions as F
+
+    docs = make(spark, [(None, "same text again", "s")] * 3 + [(4, "x y z w", "s")] * 2 + [(3, "x y z w", "s"), (9, "lone words", "s")])
+    for n in ("_keep", "_content", "_id", "row", "fp", "content", "label"):
+        docs = docs.withColumn(n, F.lit("mine"))
+    got = s.deduplicated(docs)
+    assert got.columns == docs.columns and all(r["_content"] == r["_keep"] == "mine" for r in got.collect())
+    assert sorted(str(r["doc_id"]) for r in got.collect()) == ["3", "9", "None"]
+    other = docs.withColumn("extra", F.create_map(F.lit("a"), F.lit(1)))
+    assert s.deduplicated(other).count() == 3
+
+
 def test_large_keys_keep_links_of_both_signs(monkeypatch):
     import pyarrow as pa
 
