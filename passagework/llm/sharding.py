@@ -1,97 +1,97 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters the rows by a seeded hash into buckets that fit in memory. Pass two
-shuffles each bucket by Fisher-Yates (Spark's seeded ``shuffle``) and lays the buckets
-end to end. That order is cut into shards whose row counts differ by one at most
-(law ``rows``).
-
-Main path: DataFrame functions only. Buckets are written before they are shuffled, so a
-task that is run again after a loss repeats the same order. The hash covers the id; if
-repeated ids make a bucket larger than twice its intended size, its rows are dealt on by
-their number into as many parts as needed.
-
-Defined results. Null text: no bytes, so size 8 and checksum 0. Null ids hash together and are dealt on
-like any repeated id. Repeated rows stay as often as they come. Ties: rows that are equal in
-all carried columns are interchangeable. Empty table: no rows. Extra columns, whatever their
-names, are carried inside one struct if asked for.
+Pass one scatters the rows by a seeded hash into buckets of bounded size. Pass two
+shuffles each bucket by Fisher-Yates (Spark's seeded ``shuffle``, over the places of the bucket's rows, 4 bytes
+each, so that a bucket's memory doesn't depend on what its rows hold) and writes it in that order. The buckets laid
+end to end are cut into shards whose row counts differ by one at most (law ``rows``).
+
+Main path: DataFrame functions only. Everything follows from the seed and the rows' contents: the hash
+covers the whole row, a bucket's rows are numbered in the order of their hashes, and the permutations are drawn with
+the buckets at fixed places. So another layout of the input, or a task that is run again, gives the
+same order. A row that comes more than ``HOT`` times is kept once on its way and its copies are dealt evenly over
+all buckets, so that no bucket and no task gets them all.
+
+Defined results. Null text: no bytes, so size 8 and checksum 0. Null ids: told apart by the rest of the
+row. Very long texts: moved once, sorted with spilling. Repeated rows stay as often as they come. Ties: equal rows are
+interchangeable. Empty table: no rows. Extra columns, whatever their names, are carried inside one struct.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import new_folder, row_hash, row_struct, running, staged
 
 SHARDS = 24
-#: Rows and bytes that a bucket is meant to hold.
+#: Rows that a bucket is meant to hold, and copies of one row beyond which they are dealt by number.
 BUCKET_ROWS = 16_384
-BUCKET_BYTES = 32 << 20
+HOT = 1_024
+
+
+def _dealt(counts: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """(h, bucket, m): how many of the rows of hash h go to a bucket. Rows that aren't hot go to one bucket all."""
+    first = F.xxhash64(F.lit(seed), "h")
+    spread = F.when(F.col("n") > HOT, F.least("n", F.lit(buckets).cast("long"))).otherwise(F.lit(1).cast("long"))
+    many = F.expr("n div parts + if(i < n % parts, 1, 0)")
+    return counts.select("h", "n", spread.alias("parts")).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i")
+    ).select("h", F.pmod(F.pmod(first, F.lit(buckets)) + F.col("i"), F.lit(buckets)).alias("bucket"), many.alias("m"))
+
+
+def external_shuffle(df: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFrame:
+    """(shard, bucket, slot, row): every row of ``df`` as a struct, at its place; a bucket's rows are in one task."""
+    counts = staged(df.select(row_hash(df).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")), "hashes")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(1, -(-total // BUCKET_ROWS))
+    dealt = _dealt(counts, buckets, seed)
+    sizes = running(dealt.groupBy("bucket").agg(F.sum("m").alias("size")), [F.col("bucket")], base=F.col("size"))
+    # The partitions' number and their rows' order are fixed, and with them the numbers that are drawn.
+    fixed = sizes.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    order = F.shuffle(F.sequence(F.lit(0), F.col("size").cast("int") - 1), seed)
+    orders = staged(fixed.select("bucket", "base", order.alias("order")), "orders")
+    rows, hot = df.select(row_struct(df).alias("row"), row_hash(df).alias("h")), staged(counts.where(F.col("n") > HOT), "hot")
+    place = F.pmod(F.xxhash64(F.lit(seed), "h"), F.lit(buckets)).alias("bucket")
+    if hot.isEmpty():
+        scattered = rows.select("h", place, "row")
+    else:
+        once = rows.join(hot, "h", "left_semi").dropDuplicates(["h"])
+        copies = once.join(_dealt(hot, buckets, seed), "h").select("h", "bucket", "row", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+        scattered = rows.join(hot, "h", "left_anti").select("h", place, "row").union(copies.select("h", "bucket", "row"))
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("h")) - 1
+    ranked = scattered.repartition(buckets, "bucket").select("bucket", nth.alias("nth"), "row")
+    at = F.col("base") + F.get("order", F.col("nth"))
+    n = F.lit(max(1, total)).cast("long")
+    return (
+        ranked.join(orders, "bucket").select("bucket", at.alias("at"), "row")
+        .select(F.expr(f"cast((at * {shards}) div {max(1, total)} as int) as shard"), "bucket", "at", "row")
+        .select("shard", "bucket", (F.col("at") - F.floor((F.col("shard") * n + (shards - 1)) / shards)).alias("slot"), "row")
+    )
 
 
-def external_shuffle(
-    df: DataFrame, key: str, shards: int = SHARDS, seed: int = 42, carry: Sequence[str] | None = None,
-    row_bytes: int = 64,
-) -> DataFrame:
-    """The columns ``carry`` (default: all) of every row, with ``_shard`` and ``_slot``.
+def write_shards(df: DataFrame, path: str, shards: int = SHARDS, seed: int = 42) -> None:
+    """Whole rows as Parquet: a folder for each shard, in it one for each bucket, with its rows by slot.
 
-    ``row_bytes`` is the mean size of what is carried; it sets the number of buckets.
+    The folders of a shard, by the number of their buckets, are one run in the order of the slots.
     """
-    total = df.count()
-    per = max(1, min(BUCKET_ROWS, BUCKET_BYTES // row_bytes))
-    buckets = max(1, -(-total // per))
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(buckets)).cast("long")
-    row = F.struct(*(F.col(f"`{c}`") for c in carry or df.columns)).alias("row")
-    large = (
-        df.groupBy(place.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 2 * per).select("bucket", F.ceil(F.col("n") / per).alias("parts"))
-    )
-    large = {r["bucket"]: r["parts"] for r in large.collect()} if total else {}
-    part = F.lit(0).cast("long")
-    if large:  # at most total / (2 * per) entries: the few buckets with repeated ids
-        listed = F.create_map(*(F.lit(x) for kv in large.items() for x in kv))
-        part = F.pmod(F.monotonically_increasing_id(), F.coalesce(F.try_element_at(listed, place), F.lit(1)))
-    filled = staged(
-        df.select(place.alias("bucket"), part.alias("part"), row)
-        .groupBy("bucket", "part")
-        .agg(F.sort_array(F.collect_list("row")).alias("rows"))
-        .select("bucket", "part", F.size("rows").cast("long").alias("n"), "rows"),
-        "buckets",
-    )
-    before = Window.orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
-    base = filled.select("bucket", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    mixed = F.shuffle("rows", seed)
-    at = F.col("base") + F.col("i")
-    return (
-        filled.join(base, ["bucket", "part"])
-        .select("base", F.posexplode(mixed).alias("i", "row"))
-        .select("row.*", at.alias("_at"))
-        .withColumn("_shard", F.expr(f"cast((_at * {shards}) div {max(1, total)} as int)"))
-        .withColumn("_slot", F.expr(f"_at - (cast(_shard as bigint) * {total} + {shards - 1}) div {shards}"))
-        .drop("_at")
-    )
+    out = external_shuffle(df, shards, seed).sortWithinPartitions("shard", "bucket", "slot")
+    out.write.partitionBy("shard", "bucket").parquet(path)
 
 
-def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text plus 8) and text_crc32."""
-    return docs.select(
-        F.col(doc_id).alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(8)).cast("long").alias("size"),
-        F.crc32(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")).alias("text_crc32"),
-    )
+def read_shards(spark: SparkSession, path: str, schema) -> DataFrame:
+    """(shard, bucket, slot, row) of what ``write_shards`` has written, ``schema`` being that of the rows."""
+    from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+    fields = [StructField("slot", LongType()), StructField("row", schema), StructField("shard", IntegerType()), StructField("bucket", LongType())]
+    return spark.read.schema(StructType(fields)).parquet(path)
 
-def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per document."""
-    return external_shuffle(sized(docs), "doc_id", shards, seed).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_shard").alias("shard"),
-        F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
 
-
-def write_shards(df: DataFrame, path: str, key: str, shards: int = SHARDS, seed: int = 42, row_bytes: int = 4096) -> None:
-    """Whole rows as Parquet, a folder for each shard, ordered by slot within their files."""
-    out = external_shuffle(df, key, shards, seed, row_bytes=row_bytes)
-    out.sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
+def assign_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, size (UTF-8 bytes of the text plus 8), text_crc32, law, shard, slot, grown_shard of the rows, read from written shards."""
+    path, body = new_folder(docs.sparkSession, "shards"), F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
+    write_shards(docs, path, shards, seed)
+    return read_shards(docs.sparkSession, path, docs.schema).select(
+        F.col(f"row.`{doc_id}`").alias("doc_id"), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"),
+        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

@@ -1,7 +1,9 @@
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from llm_rows import make
 from pyspark.sql import functions as F
@@ -19,18 +21,30 @@ def slots_are_gapless(rows, shards, total):
     assert sum(sizes) == total and max(sizes) - min(sizes) <= 1
 
 
+def digest(r):
+    body = (r["text"] or "").encode()
+    return str((r["doc_id"], len(body) + 8, zlib.crc32(body)))
+
+
 def test_shards(awkward, empty):
     rows = h.assign_shards(awkward).collect()
     slots_are_gapless(rows, 24, awkward.count())
-    expected = Counter(str((r["doc_id"], len((r["text"] or "").encode()) + 8)) for r in awkward.collect())
-    assert Counter(str((r["doc_id"], r["size"])) for r in rows) == expected
+    assert Counter(str((r["doc_id"], r["size"], r["text_crc32"])) for r in rows) == Counter(map(digest, awkward.collect()))
     assert h.assign_shards(empty).count() == 0
 
 
-def test_repeated_ids_split_their_bucket(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1024, 20])
+def test_any_layout_gives_the_same_order(spark, monkeypatch, hot):
     monkeypatch.setattr(h, "BUCKET_ROWS", 50)
-    docs = make(spark, [(i if i % 3 else 0, f"t{i}", "s") for i in range(1000)])
-    slots_are_gapless(h.assign_shards(docs).collect(), 24, 1000)
+    monkeypatch.setattr(h, "HOT", hot)
+    docs = make(spark, [(i if i % 3 else None, f"t{i}", "s") for i in range(600)] + [(None, "copied", "s")] * 400)
+    rows = h.assign_shards(docs).collect()
+    slots_are_gapless(rows, 24, 1000)
+    assert Counter(str((r["doc_id"], r["size"], r["text_crc32"])) for r in rows) == Counter(map(digest, docs.collect()))
+    again = h.assign_shards(docs.repartition(7).orderBy("text")).collect()
+    assert Counter(map(str, rows)) == Counter(map(str, again))
+    buckets = h.external_shuffle(docs).groupBy("bucket").count().collect()
+    assert len(buckets) == 20 and (hot == 1024 or max(r["count"] for r in buckets) < 100)
 
 
 def test_order_is_mixed_and_seeded(spark):
@@ -41,10 +55,22 @@ def test_order_is_mixed_and_seeded(spark):
     assert abs(sum(x < y for x, y in zip(a, a[1:], strict=False)) - 1000) < 150
 
 
-def test_whole_rows_are_written(spark, tmp_path):
-    docs = make(spark, [(i, f"t{i}", "s") for i in range(100)]).withColumn("row", F.lit("clash"))
-    h.write_shards(docs, str(tmp_path / "out"), "doc_id", 4)
-    assert spark.read.parquet(str(tmp_path / "out")).select(docs.columns).count() == 100
+def test_written_shards_are_ordered_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(h, "BUCKET_ROWS", 40)
+    docs = make(spark, [(i, f"t{i}", "s") for i in range(300)])
+    for n in ("row", "shard", "_shard", "_at", "slot", "bucket", "h", "n"):
+        docs = docs.withColumn(n, F.lit("clash"))
+    path = tmp_path / "out"
+    h.write_shards(docs, str(path), 4)
+    found = h.read_shards(spark, str(path), docs.schema)
+    assert Counter(map(str, found.select("row.*").collect())) == Counter(map(str, docs.collect()))
+    for shard in range(4):
+        files = sorted(path.glob(f"shard={shard}/bucket=*/*.parquet"), key=lambda f: int(f.parent.name.partition("=")[2]))
+        assert len({f.parent for f in files}) == len(files)
+        slots = [x for f in files for x in pq.read_table(f, columns=["slot"], partitioning=None)["slot"].to_pylist()]
+        assert slots == list(range(75))
+    h.write_shards(docs.limit(0), str(tmp_path / "none"), 4)
+    assert h.read_shards(spark, str(tmp_path / "none"), docs.schema).count() == 0
 
 
 def water(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
