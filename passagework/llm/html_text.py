@@ -10,7 +10,10 @@ desc, defs, metadata; MathML annotations). SVG text drawn by reference (use) is
 Nothing recurses, so depth is bounded by memory only.
 
 Defined results. Null html: null text. Empty html, or html without visible text: the empty
-text. Very long pages: time and memory in proportion to the page; where a table's padding would make it
+text. Very long pages: time and memory in proportion to the page, whatever its markup. To that end no text is
+searched twice for the end of a tag, open elements are found by name, lines are indented by at most ``INDENTED``
+levels, tables nested more than ``NESTED`` deep are laid out as blocks, and cells that span rows are followed in
+the first ``COLUMNS`` columns. Where a table's padding would make it
 over eight times as long (and 4,096 characters), its longest cells don't count for the columns' widths, as
 few as suffice, and stand out of their column; the others stay aligned. Repeated rows
 and ties: each row is rendered by itself. Empty table: no rows. Extra columns are ignored; the
@@ -71,15 +74,16 @@ CLOSES = {
 }
 #: An end tag doesn't reach beyond these, unless it names one.
 WALLS = frozenset("table td th caption template".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Levels of indentation, depth of tables in tables, columns in which spanning cells are followed.
+INDENTED, NESTED, COLUMNS = 32, 16, 256
 ENDS_PARAGRAPH = BLOCK - frozenset("html body td th tr tbody thead tfoot caption option optgroup".split())
 
-TOKEN = re.compile(
-    r"<!--(?:>|->|(?P<comment>.*?)(?:--!?>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
-    r"|<[!?/][^>]*+>",
-    re.S,
-)
+COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))", re.S)
+OPENING = re.compile(r"<(?:!--|[!?]|/?(?P<tag>[A-Za-z][^\s/>]*+)?)")
+UNQUOTED = re.compile(r"[^>\"']*+")
+#: Character references whose number no character has; the standard library would convert all their digits.
+HUGE = re.compile(r"&#(?:0*+[0-9]{9,}|[xX]0*+[0-9a-fA-F]{9,});?")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 SHOWS = re.compile(r"(?:^|;)\s*visibility\s*:\s*visible\b", re.I)
@@ -98,10 +102,14 @@ class Node:
         return "" if self.space and self.tag in HTML_IN[self.space] else self.space
 
 
+def unescaped(text: str) -> str:
+    return html.unescape(HUGE.sub("\ufffd", text) if "&#" in text else text)
+
+
 def attributes(source: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(source):
-        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        out.setdefault(m[1].lower(), unescaped(m[2] or m[3] or m[4] or ""))
     return out
 
 
@@ -111,31 +119,30 @@ class Builder:
     def __init__(self) -> None:
         self.root = Node("#root", {})
         self.path = [self.root]
-        self.open: dict[str, int] = {}
+        self.open: dict[str, list[int]] = {}  # the depths of the open elements of each name
 
     def _pop(self, n: int) -> None:
         for node in self.path[n:]:
-            self.open[node.tag] -= 1
+            self.open[node.tag].pop()
         del self.path[n:]
 
     def _push(self, tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs, space=tag if tag in UNSEEN_IN else self.path[-1].inside())
         self.path[-1].children.append(node)
+        self.open.setdefault(tag, []).append(len(self.path))
         self.path.append(node)
-        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def _deepest(self, tags) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
 
     def _close(self, tags: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> None:
         """Closes the outermost open element of ``tags`` below the nearest of ``walls``."""
-        if not any(self.open.get(t) for t in tags):
-            return
-        at = None
-        for i in range(len(self.path) - 1, 0, -1):
-            if self.path[i].tag in tags:
-                at = i
-            elif self.path[i].tag in walls:
-                break
-        if at is not None:
-            self._pop(at)
+        wall, found = self._deepest(walls - tags), []
+        for t in tags:
+            if at := self.open.get(t):
+                found += at[bisect_left(at, wall) :][:1]
+        if found:
+            self._pop(min(found))
 
     def start(self, tag: str, attrs: dict[str, str], closed: bool) -> None:
         if self.path[-1].inside():
@@ -167,11 +174,9 @@ class Builder:
             return self.start("p", {}, False) or self.end("p")
         if tag in ("body", "html") or not self.open.get(tag):
             return None
-        for i in range(len(self.path) - 1, 0, -1):
-            if self.path[i].tag == tag or tag[0] == "h" and tag[1:].isdigit() and self.path[i].tag[0] == "h" and self.path[i].tag[1:].isdigit():
-                return self._pop(i)
-            if self.path[i].tag in WALLS and not (tag in ("table", "tr", "tbody", "thead", "tfoot") and self.path[i].tag != "table"):
-                return None
+        at = self._deepest(HEADINGS if tag in HEADINGS else (tag,))
+        if at >= self._deepest(("table",) if tag in ("table", "tr", "tbody", "thead", "tfoot") else WALLS):
+            self._pop(at)
         return None
 
     def text(self, data: str) -> None:
@@ -180,36 +185,69 @@ class Builder:
         self.path[-1].children.append(data)
 
 
+class Tags:
+    """Finds the ends of tags; every part of the page is searched once."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.last = source, {c: source.rfind(c) for c in ">\"'"}
+        self.unclosed: set[int] = set()  # quotes from which on a tag would never end
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` outside quotes, or of the next one if a quote isn't closed; the page has one."""
+        i, met = at, []
+        while True:
+            i = UNQUOTED.match(self.source, i).end()
+            if i < len(self.source) and self.source[i] == ">":
+                return i
+            if i == len(self.source) or i in self.unclosed or i >= self.last[self.source[i]]:
+                self.unclosed.update(met, (i,))
+                return self.source.find(">", at)
+            met.append(i)
+            i = self.source.find(self.source[i], i + 1) + 1
+
+
 def parse(source: str) -> Node:
-    b, at, quoted = Builder(), 0, source
+    b, at, done, tags = Builder(), 0, 0, Tags(source)
     closing: dict[str, re.Pattern] = {}
-    while True:
-        m = TOKEN.search(quoted, at)
-        if m is None:
-            break
-        if m.start() > at:
-            b.text(html.unescape(source[at : m.start()]))
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
+    while m := OPENING.search(source, at):
+        comment = m[0] == "<!--"
+        if not comment and m.end() > tags.last[">"]:  # no tag ends any more
+            at = source.find("<!--", m.start())
+            if at < 0:
+                break
+            continue
+        if m[0] == "<":
+            at = m.end()
+            continue
+        if m.start() > done:
+            b.text(unescaped(source[done : m.start()]))
+        if comment:
+            at = done = COMMENT.match(source, m.start()).end()
+            continue
+        tag, start = (m["tag"] or "").lower(), m.end()
         if not tag:
             if b.path[-1].inside() and source.startswith("<![CDATA[", m.start()):
                 stop = source.find("]]>", m.start())
                 b.text(source[m.start() + 9 : stop if stop >= 0 else len(source)])
-                at = stop + 3 if stop >= 0 else len(source)
+                at = done = stop + 3 if stop >= 0 else len(source)
+            else:
+                at = done = source.find(">", start) + 1
             continue
-        if m["end"] or m["end2"]:
+        stop = tags.end(start)
+        at = done = stop + 1
+        if source[m.start() + 1] == "/":
             b.end(tag)
             continue
-        raw = m["attrs"] or m["attrs2"] or ""
+        raw = source[start:stop]
         b.start(tag, attributes(raw) if raw.strip() else {}, raw.rstrip().endswith("/"))
         if (tag in RAW or tag in ("title", "textarea")) and not b.path[-1].space:
-            stop = closing.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)).search(source, at)
-            body = source[at : stop.start() if stop else len(source)]
-            b.path[-1].children.append(body if tag in RAW else html.unescape(body))
+            close = closing.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)).search(source, at)
+            body = source[at : close.start() if close else len(source)]
+            b.path[-1].children.append(body if tag in RAW else unescaped(body))
             b.end(tag)
-            at = stop.end() if stop else len(source)
-    if at < len(source):
-        b.text(html.unescape(source[at:]))
+            at = done = close.end() if close else len(source)
+    if done < len(source):
+        b.text(unescaped(source[done:]))
     return b.root
 
 
@@ -229,8 +267,8 @@ class Flow:
         if self.fresh:
             if self.out:
                 self.out.append("\n" * max(1, self.gap))
-            lead = "".join(self.indent)
-            self.out.append(lead[: len(lead) - len(self.bullet)] + self.bullet if self.bullet else lead)
+            lead = "".join(self.indent[: min(INDENTED, len(self.indent) - bool(self.bullet))])
+            self.out.append(lead + self.bullet)
             self.bullet, self.fresh, self.gap, self.blank = "", False, 0, False
         elif self.blank:
             self.out.append(" ")
@@ -272,12 +310,14 @@ class Grid:
     def cell(self, text: str, span: int, down: int) -> None:
         if not self.rows:
             self.row()
+        first = self.column
         while self.taken.get(self.column):
-            self.rows[-1].append(("", 1))
             self.column += 1
+        if self.column > first:
+            self.rows[-1].append(("", self.column - first))
         self.rows[-1].append((text, span))
         if down > 1:
-            self.held |= {self.column + i: down - 1 for i in range(span)}
+            self.held |= {c: down - 1 for c in range(self.column, min(self.column + span, COLUMNS))}
         self.column += span
 
     def lines(self) -> list[str]:
@@ -329,6 +369,8 @@ def _visible(node: Node, seen: bool) -> tuple[bool, bool]:
     """(shown, its descendants may be shown)."""
     if node.tag in UNSEEN or "hidden" in node.attrs or node.tag == "input":
         return False, False
+    if node.tag == "dialog" and "open" not in node.attrs or "popover" in node.attrs:
+        return False, False
     if node.tag in UNSEEN_IN.get(node.space, ()):
         return False, False
     style = node.attrs.get("style", "")
@@ -379,7 +421,9 @@ def render(root: Node) -> str:
                 continue
             if tag == "table":
                 flow.block(2)
-                grids.append(Grid())
+                grids.append(Grid() if len(grids) < NESTED else None)
+            elif tag in ("tr", "td", "th", "caption") and grids and grids[-1] is None:
+                flow.block(1)
             elif tag == "tr" and grids:
                 grids[-1].row()
             elif tag in ("td", "th") and grids or tag == "caption" and grids:
@@ -412,7 +456,10 @@ def render(root: Node) -> str:
             stack.append(("leave", node, shown))
             drawn = node.space != "svg" or tag in SVG_TEXT or not node.inside()
             apart = tag in ("mfrac", "mtr") and node.space == "math"
-            for c in reversed(node.children):
+            children = node.children
+            if tag == "details" and "open" not in node.attrs and not node.space:  # closed: its summary only
+                children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
+            for c in reversed(children):
                 if isinstance(c, Node):
                     stack.append(("enter", c, shown))
                     if apart:
@@ -423,10 +470,12 @@ def render(root: Node) -> str:
         pre -= tag in ("pre", "textarea", "listing")
         if tag == "table":
             grid = grids.pop()
-            for line in grid.lines():
+            for line in grid.lines() if grid else ():
                 flow.block(1)
                 flow.literal(line)
             flow.block(2)
+        elif tag in ("tr", "td", "th", "caption") and grids and grids[-1] is None:
+            flow.block(1)
         elif tag in ("td", "th") and grids:
             text = flows.pop().finish()
             grids[-1].cell(text, _span(node, "colspan", 1000), _span(node, "rowspan", 65534))

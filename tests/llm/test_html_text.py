@@ -1,3 +1,4 @@
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -111,3 +112,50 @@ def test_query_against_another_parser(spark, data):
         plain = re.sub(r"\s+", "", "".join(v.words))
         text = re.sub(r"(?m)^[> ]*(?:- |\d+\. )", "", got[page])
         assert re.sub(r"\s+", "", text) == re.sub(r"(?m)^(?:- |\d+\. )", "", plain), page
+
+
+def test_closed_details_and_dialogs_are_hidden():
+    assert html_to_text("<details><summary>Head</summary>body<summary>no</summary></details>x") == "Head\nx"
+    assert html_to_text("<details open><summary>Head</summary>body</details>") == "Head\nbody"
+    assert html_to_text("<dialog>no</dialog>a<dialog open>yes</dialog><p popover>no</p>") == "a\nyes"
+    assert html_to_text("<details>all of it<b>x</b></details>y") == "y"
+
+
+def test_huge_character_references_are_one_unknown_character():
+    assert html_to_text("a&#" + "9" * 5000 + ";b&#0000000000065;c&#x" + "f" * 50 + ";") == "a\ufffdbAc\ufffd"
+
+
+def test_tags_without_an_end():
+    assert html_to_text("a <b x") == "a <b x"
+    assert html_to_text("<p>a <b x<!-- gone") == "a <b x"
+    assert html_to_text("<a 'x>one</a> two") == "one two"
+    assert html_to_text("1 < 2 <3 <p>x") == "1 < 2 <3\n\nx"
+
+
+HOSTILE = {
+    "open tags": lambda n: "<a" * n, "open tags, then an end": lambda n: "<a " * n + ">x", "quotes": lambda n: '<a "x>y" ' * n + "'",
+    "single quotes": lambda n: "<a '>" * n, "ends": lambda n: "</x" * n, "comments": lambda n: "<!-- x " * n, "bangs": lambda n: "<!x" * n,
+    "deep": lambda n: "<div>" * n + "x", "deep spans": lambda n: "<p><table><td>" + "<span>" * n + "<div>x" * n, "quoted": lambda n: "<blockquote>x" * n,
+    "lists": lambda n: "<ul><li>x" * n, "tables": lambda n: "<table><td>x" * n, "rows": lambda n: "<table><td colspan=1000 rowspan=65534>x" + "<tr><td>y" * n,
+    "spans": lambda n: "<table>" + "<tr><td rowspan=65534>y" * n, "closed": lambda n: "<b>" * n + "</i>" * n, "wide": lambda n: "<table><tr>" + "<td>x" * n,
+    "raw": lambda n: "<script>" * n, "cdata": lambda n: "<svg><![CDATA[" * n, "entities": lambda n: "&#" + "1" * n + "&" * n, "headings": lambda n: "<h1>x</h2>" * n,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_markup_costs_in_proportion(name):
+    def seconds(n):
+        source = HOSTILE[name](n)
+        began = time.process_time()
+        text = html_to_text(source)
+        return (time.process_time() - began) / len(source) * 1e6, len(text) / len(source)
+
+    seconds(100)
+    small, large = seconds(5_000), seconds(40_000)
+    assert large[0] < 3 * small[0] + 2 and large[1] < 2 * small[1] + 1, (small, large)
+
+
+def test_a_megabyte_of_open_tags_takes_no_second():
+    began = time.process_time()
+    assert html_to_text("<a" * 500_000) == "<a" * 500_000
+    assert time.process_time() - began < 1
