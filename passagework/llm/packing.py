@@ -13,7 +13,8 @@ merge is lost, and the last group is bounded by the tree, not by the data.
 
 Pieces and bins are written to the shared folder after each round.
 
-Defined results. A null or empty text is a document with just the end id. Repeated
+Defined results. A null or empty text is a document with just the end id. Very long texts
+are cut; their ids are held one text at a time. Repeated
 rows are packed once each. A null doc_id keeps its row. Ties are broken by order of
 arrival, so sequence numbers may differ between layouts of the input; the packing
 stays valid. Empty table: no rows. Extra columns are ignored.

@@ -7,7 +7,9 @@ statistics squared reach the driver. The class covariances are shrunk towards th
 covariance and its diagonal; scores are differences of Mahalanobis log densities through
 Cholesky factors that are computed once.
 
-Defined results. Null or empty text: the statistics of no words, scored like any other. Null
+Defined results. Null or empty text: the statistics of no words, scored like any other. Very long
+texts: taken whole. Ties and repeated rows: each row is scored by itself, equal texts alike; sums of floats depend on
+the order of tasks, so scores may differ in their last bits between runs. Null
 labels or ids are not learnt from; repeated label rows count as often as they come. A class
 without rows: the score is the share of label 1 (one half if there are no labels). Null ids
 are scored and not held out. Empty table: no rows. Extra columns are ignored.

@@ -59,17 +59,22 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per rule of the default policy: the documents that fail it, and those that only it rejects."""
+    return quality_rules.ablations(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_quality_rules, op2_simhash_dedup, op3_best_fit_packing, op4_secret_scan, op5_token_files, op6_sharding,
-            op7_mixing, op8_quality_classifier, op9_html_text, op10_exact_topk,
+            op7_mixing, op8_quality_classifier, op9_html_text, op10_exact_topk, quality_ablations,
         )
     }
 
 
-OP1_SQL = r"""
+LEDGER_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -91,12 +96,19 @@ b AS (
          + 4 * (100 * n_symbols > 50 * n_words)::BIGINT + 8 * (10 * n_dup_lines > 5 * n_lines)::BIGINT
          + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT
          + 64 * (10 * n_upper > 5 * word_chars)::BIGINT AS failed FROM f)
-SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+"""
+OP1_SQL = f"""{LEDGER_SQL}SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        failed & 3 <> 0 AS base_failed, failed & 127 = 0 AS kept, failed
 FROM b
 """
 
+_BITS = ", ".join(f"('{r.name}', {1 << k})" for k, r in enumerate(quality_rules.RULES))
+ABLATIONS_SQL = f"""{LEDGER_SQL}
+SELECT rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & 127 = bit) AS n_only_this
+FROM b, (VALUES {_BITS}) AS r(rule, bit) GROUP BY rule
+"""
+
 
 def _op4_sql() -> str:
     """Spans from the lengths of matches and of the text between them, for every rule over every text."""
@@ -139,4 +151,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op4_secret_scan": _op4_sql(), "op10_exact_topk": OP10_SQL}
+    return {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATIONS_SQL, "op4_secret_scan": _op4_sql(), "op10_exact_topk": OP10_SQL}

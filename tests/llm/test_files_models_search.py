@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -7,6 +9,7 @@ from llm_rows import make
 from pyspark.sql import functions as F
 
 from passagework.llm import exact_topk as e
+from passagework.llm import common, packing
 from passagework.llm import quality_classifier as c
 from passagework.llm import token_files as t
 from passagework.llm.common import new_folder
@@ -70,6 +73,69 @@ def test_classifier_equals_the_formula():
     assert np.allclose(m.score(x), 1 / (1 + np.exp(log0 - log1)))
 
 
+def brute_statistics(text):
+    """The statistics in the order of ``FEATURES``, by other means."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    n, body, lines = max(1, len(words)), (text or "").encode(), [x for x in (text or "").encode().split(b"\n") if x.strip()]
+    chars = max(1, sum(b not in b" \t\n\x0b\x0c\r" for b in body))
+    count = lambda signs: sum(b in signs for b in body)
+    upper, digits = bytes(range(65, 91)), bytes(range(48, 58))
+    shares = {
+        "distinct": len(set(words)) / n, "duplicate_lines": 1 - len(set(lines)) / max(1, len(lines)), "upper": count(upper) / chars,
+        "digits": count(digits) / chars, "symbols": count(b"#*$%&<>@^_~{}[]\\=+") / chars, "exclaims": count(b"!") / n, "bars": count(b"|") / n,
+        "stops": count(b".") / n, "commas": count(b",") / n, "long_words": sum(len(w.encode()) > 15 for w in words) / n,
+        "non_ascii": sum(b > 127 for b in body) / chars, "single": sum(len(w.encode()) == 1 for w in words) / n,
+        "top_word": max(map(words.count, words), default=0) / n,
+    }
+    logs = {"words": math.log1p(len(words)), "mean_word": math.log1p(chars / n), "lines": math.log1p(n / max(1, len(lines)))}
+    return [logs[f] if f in logs else math.sqrt(min(4, max(0, shares[f]))) for f in c.FEATURES]
+
+
+def test_classifier_agrees_with_numpy(spark, awkward):
+    rows = [r for r in awkward.collect() if r["doc_id"] is not None and r["doc_id"] not in (4, 13)]
+    for r in rows:
+        assert np.allclose(c.statistics(r["text"]), brute_statistics(r["text"]))
+    docs = make(spark, [(r["doc_id"], r["text"], "s") for r in rows])
+    labels = {r["doc_id"]: r["doc_id"] % 3 == 0 for r in rows}
+    got = {r["doc_id"]: r["score"] for r in c.classify(docs, spark.createDataFrame([(d, int(q)) for d, q in labels.items()], "doc_id long, quality int")).collect()}
+    x = np.array([brute_statistics(r["text"]) for r in rows])
+    y = np.array([labels[r["doc_id"]] if c.crc_mod(r["doc_id"]) != 2 else -1 for r in rows])
+    both = [x[y == k] for k in (0, 1)]
+    pooled = sum(np.cov(b.T, bias=True) * len(b) for b in both) / sum(map(len, both))
+    pooled = 0.9 * pooled + 0.1 * np.diag(np.diag(pooled)) + 1e-6 * np.eye(x.shape[1])
+    logs = []
+    for b in both:
+        cov, gap = 0.8 * np.cov(b.T, bias=True) + 0.2 * pooled, x - b.mean(0)
+        logs.append(np.log(len(b)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,ij->i", gap @ np.linalg.inv(cov), gap))
+    expected = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+    assert np.allclose([got[r["doc_id"]] for r in rows], expected, atol=1e-6)
+
+
+def test_clashing_columns_are_ignored(spark):
+    plain = make(spark, [(i, f"some words {i} here", "s") for i in range(30)])
+    docs = plain
+    for n in ("x", "label", "score", "tie", "salt", "shard", "ids", "content", "fp", "held_out", "piece", "bin"):
+        docs = docs.withColumn(n, F.lit("mine"))
+    labels = spark.createDataFrame([(i, i % 2, "mine") for i in range(30)], "doc_id long, quality int, x string")
+    assert c.classify(docs, labels).columns == ["doc_id", "held_out", "score", "predicted"] and c.classify(docs, labels).count() == 30
+    assert sorted(t.round_trip(spark, docs).collect()) == sorted(t.round_trip(spark, plain).collect())
+    pieces = lambda d: sorted(map(tuple, packing.pack_documents(d).select("doc_id", "piece", "start", "length", "ids_crc32").collect()))
+    assert pieces(docs) == pieces(plain)
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Session())
+
+
 def test_classifier_edges(spark, awkward, empty):
     labels = spark.createDataFrame([(5, 1), (None, 0), (6, None)], "doc_id long, quality int")
     rows = c.classify(awkward, labels).collect()
