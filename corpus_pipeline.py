@@ -1,11 +1,18 @@
-"""A corpus from raw documents: five stages, each written as Parquet and read by the next one."""
+"""A corpus from raw documents: five stages, each written as Parquet and read by the next one.
+
+Defined results. Null or empty texts: rejected by the first stage, as too short. Null ids, sources and
+other columns: kept as they are. Very long texts: handled whole. Repeated rows and copies: one row of each
+group stays after the second stage; the fourth may take it more than once. Empty table: no rows.
+Extra columns, whatever their names: kept up to the last stage; ``n_chars``, if there, follows the masked text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from passagework.llm import mixing, packing, quality_rules, secret_scan, simhash_dedup
-from passagework.llm.common import staged
+from passagework.llm.common import folders, remove, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +26,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the texts; n_chars follows."""
-    from pyspark.sql import functions as F
-
-    return secret_scan.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Secrets are masked in the texts; n_chars, if there, follows."""
+    masked = secret_scan.redacted(docs)
+    if "n_chars" not in docs.columns:
+        return masked
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder before the next one reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written to the shared folder before the next one reads it.
+
+    Once a stage is written, nothing reads what it was made from any more, so that is removed.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(folders(spark))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs, name)
+            remove(spark, folders(spark)[before:-1])
     return docs
