@@ -1,7 +1,10 @@
-"""Token ids by the tokenizers library, faster through a cache of pre-tokens.
+"""Token ids by the tokenizers library, faster through caches of pre-tokens and of words.
 
 A byte-level BPE splits a text into pre-tokens by a fixed pattern and encodes each
-by itself, so a pre-token's ids can be kept and reused. Texts whose characters
+by itself, so a pre-token's ids can be kept and reused. A single blank before another
+character always begins a pre-token, so a text may be cut at its blanks and the ids of
+a blank with all that follows it up to the next one kept too, unless a blank is
+followed by another, where the pattern looks further. Texts whose characters
 might be classed differently by another Unicode version, and texts that hold an added
 token such as ``<|endoftext|>``, which gets its own id, go to the library whole.
 """
@@ -13,8 +16,8 @@ import re
 from functools import lru_cache
 
 END_ID = 2
-#: Pre-tokens in each half of a worker's cache; bounds its memory.
-CACHED = 250_000
+#: Entries in each half of a worker's two caches, and characters of the longest one; bounds on its memory.
+CACHED, KEPT = 250_000, 64
 #: Characters from which on a text's pre-tokens are not listed but taken one by one.
 LONG = 4_000_000
 #: Characters on which Python's classes and the library's agree: old blocks of Latin, Greek, Cyrillic,
@@ -26,6 +29,9 @@ SPLIT = re.compile(
     r" ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 )
 
+#: A blank with another one after it.
+UNEVEN = re.compile(r" \s")
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -41,9 +47,18 @@ class Pieces(dict):
         self.make, self.older = make, older
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self[piece] = self.older.get(piece) or self.make(piece)
+        ids = self.older.get(piece) or self.make(piece)
+        if len(piece) <= KEPT:
+            self[piece] = ids
         return ids
 
+    def bounded(self) -> Pieces:
+        """This one, or once it is full a new one with this one as its older half."""
+        if len(self) <= CACHED:
+            return self
+        self.older = {}
+        return Pieces(self.make, self)
+
 
 class Encoder:
     """Encodes whole texts into little-endian unsigned 32-bit ids."""
@@ -59,13 +74,16 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = sorted(set(range(256)).difference(plain))
         self.chars = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
-        self.known = Pieces(self._piece, {})
+        self.known, self.after_blank = Pieces(self._piece, {}), Pieces(self._after_blank, {})
 
     def _piece(self, piece: str) -> bytes:
         """The library's merges on one pre-token."""
         mapped = piece.encode("utf-8").decode("latin-1").translate(self.chars)
         return b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(mapped)])
 
+    def _after_blank(self, chunk: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, SPLIT.findall(" " + chunk)))
+
     def _whole(self, text: str) -> bytes:
         ids = self.library.encode(text, add_special_tokens=False).ids
         return b"".join(i.to_bytes(4, "little") for i in ids)
@@ -76,11 +94,13 @@ class Encoder:
             return b""
         if not SETTLED.fullmatch(text) or any(map(text.__contains__, self.added)):
             return self._whole(text)
-        if len(self.known) > CACHED:  # frequent pieces come back from the older half
-            self.known.older = {}
-            self.known = Pieces(self._piece, self.known)
-        pieces = SPLIT.findall(text) if len(text) < LONG else (m[0] for m in SPLIT.finditer(text))
-        return b"".join(map(self.known.__getitem__, pieces))
+        self.known, self.after_blank = self.known.bounded(), self.after_blank.bounded()
+        if len(text) >= LONG:
+            return b"".join(self.known[m[0]] for m in SPLIT.finditer(text))
+        if UNEVEN.search(text):
+            return b"".join(map(self.known.__getitem__, SPLIT.findall(text)))
+        first, *rest = text.split(" ")
+        return b"".join([*map(self.known.__getitem__, SPLIT.findall(first)), *map(self.after_blank.__getitem__, rest)])
 
     def document(self, text: str | None) -> bytes:
         """The ids of a document: its text's, then the end id."""
