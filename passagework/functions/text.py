@@ -78,9 +78,26 @@ def basic(text: Column) -> Column:
     return unnumber(dehyphenate(plain(unprivate(text))))
 
 
-def clean(text: Column) -> Column:
-    """Full clean but for ASCII folding; a missing text becomes ``unknown``."""
-    return F.coalesce(F.lower(collapse(basic(text))), F.lit("unknown"))
+def clean(text: Column, missing: str = "Unknown") -> Column:
+    """Full clean but for ASCII folding; a missing text becomes ``missing``."""
+    return F.coalesce(F.lower(collapse(basic(text))), F.lit(missing))
+
+
+def clean_english(text: Column) -> Column:
+    """Full clean in order: plain characters, joined lines, no bare numbers, ASCII, single blanks, lower case."""
+    plain_ = basic(text)
+    folded = F.when(plain_.rlike(r"[^\x00-\x7F]"), ascii_fold(plain_)).otherwise(plain_)
+    return F.coalesce(F.lower(collapse(folded)), F.lit("Unknown"))
+
+
+def clean_minimal(text: Column) -> Column:
+    """Plain characters, joined lines, single blanks; a missing text is empty."""
+    return F.coalesce(collapse(dehyphenate(plain(unprivate(text)))), F.lit(""))
+
+
+def clean_ocr(text: Column) -> Column:
+    """Without bare numbers, lines joined, single blanks; a missing text is empty."""
+    return F.coalesce(collapse(dehyphenate(unnumber(text))), F.lit(""))
 
 
 def clean_by_language(text: Column, language: Column) -> Column:
@@ -89,6 +106,7 @@ def clean_by_language(text: Column, language: Column) -> Column:
     return F.when(language == "en", collapse(F.regexp_replace(base, r"[^\x00-\x7F]", ""))).otherwise(base)
 
 
+# Fixed values, here and in ``clean_heading``: the patterns of page counters, directory headings, numbers and bullets.
 def strip_boilerplate(text: Column) -> Column:
     """Without page counters, bare numbers and directory headings; paragraph breaks stay."""
     out = dehyphenate(plain(unprivate(text)))
@@ -101,7 +119,7 @@ def strip_boilerplate(text: Column) -> Column:
 
 def clean_heading(text: Column) -> Column:
     """A cleaned heading without its number or bullet."""
-    out = F.regexp_replace(clean(text), r"^([a-z]|[ivxlcdm]+|[0-9]+)(\.[0-9]+)*\.\s*", "")
+    out = F.regexp_replace(clean(text, "unknown"), r"^([a-z]|[ivxlcdm]+|[0-9]+)(\.[0-9]+)*\.\s*", "")
     return F.trim(F.regexp_replace(out, "^[-•–―]\\s*", ""))
 
 
@@ -110,9 +128,13 @@ def sanitize(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\x{0C00}-\x{0C7F}\x20-\x7E\t\n\r]", ""), r"\s+", " "))
 
 
-def promote_headings(text: Column) -> Column:
-    """Lines that look like chapter, section, module or component titles become Markdown headings."""
-    out = F.regexp_replace(text, r"(?md)^\s*[0-9]+\s*$", "")
+# A running footer, and in ``promote_headings`` the patterns of titles.
+FOOTER = r"Trg-Pol\.Vach-1-2025/T\.S\.Police/Hyd\s*[0-9]*"
+
+
+def promote_headings(text: Column, footer: str = FOOTER) -> Column:
+    """Without the footer; lines that look like chapter, section, module or component titles become Markdown headings."""
+    out = F.regexp_replace(F.regexp_replace(text, footer, ""), r"(?md)^\s*[0-9]+\s*$", "")
     out = F.regexp_replace(out, r"(?md)^(CHAPTER\s*-\s*[IVXLCDM]+.*)", "# $1")
     out = F.regexp_replace(out, r"(?md)^(Sec\.\s*[0-9]+\..*)", "## $1")
     out = F.regexp_replace(out, r"(?imd)^(MODULE\s+[IVXLCDM]+.*)", "# $1")
@@ -161,3 +183,22 @@ def _fold(text: pd.Series) -> pd.Series:
 def ascii_fold(text: Column) -> Column:
     """Compatibility decomposition without what isn't ASCII; Spark has no normaliser of its own."""
     return F.pandas_udf(_fold, "string")(text)
+
+
+def sections(text: Column) -> Column:
+    """Markdown sections, an array of (level, heading, body): headings of one to three #, and what comes before as Preamble."""
+    marks = "\x01\x02\x03"
+    marked = F.regexp_replace(F.translate(text, marks, ""), rf"(?md)^(#{{1,3}}){BLANK}+(.+)$", "\x01$1\x02$2\x03")
+    ends = lambda x: F.regexp_replace(x, rf"^{BLANK}+|{BLANK}+$", "")
+    parts = F.split(marked, "\x01", -1)
+    made = F.transform(
+        parts,
+        lambda p, i: F.when(i == 0, F.struct(F.lit(0).alias("level"), F.lit("Preamble").alias("heading"), ends(p).alias("body"))).otherwise(
+            F.struct(
+                F.length(F.substring_index(p, "\x02", 1)).alias("level"),
+                ends(F.substring_index(F.substring_index(p, "\x03", 1), "\x02", -1)).alias("heading"),
+                ends(F.substring_index(p, "\x03", -1)).alias("body"),
+            )
+        ),
+    )
+    return F.filter(made, lambda s: (s["level"] > 0) | (s["body"] != ""))

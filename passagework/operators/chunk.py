@@ -12,6 +12,8 @@ from ..functions.ids import chunk_id
 from ..shipping import ship
 
 SIZE, OVERLAP = 1000, 150
+#: The splitter's overlap and marks for recognised text.
+OCR_OVERLAP, OCR_MARKS = 200, ("\n\n", "\n", "।", ".", " ", "")
 TARGET, MOST, LEAST = 1200, 2000, 200
 
 
@@ -67,6 +69,12 @@ def merged_pages(pages: DataFrame, n: int = 3) -> DataFrame:
     )
 
 
+def by_page(merged: DataFrame) -> DataFrame:
+    """A row for each page that a merged parent's label spans, so that any of them finds it by equality."""
+    ends = F.transform(F.split("label", "-"), lambda x: x.try_cast("long"))
+    return merged.select("*", F.explode(F.sequence(F.get(ends, F.lit(0)), F.element_at(ends, -1))).alias("page"))
+
+
 def heading_runs(lines: DataFrame) -> DataFrame:
     """Runs of neighbouring rows with the same heading: (page_id, run, heading, n)."""
     w = Window.partitionBy("page_id").orderBy("pos")
@@ -107,34 +115,44 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, marks: tuple
     return out
 
 
-def merge_text(text: str, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST) -> list[str]:
+def merge_text(
+    text: str, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST, compat: bool = False
+) -> list[str]:
     """Paragraphs joined up to ``target``; longer ones cut at sentences; each chunk starts with the last one's tail.
 
-    A tail is used once: it isn't repeated while a buffer grows.
+    A paragraph that would make too long a chunk ends the one that is being filled. A tail is used once; with ``compat`` it
+    is put before a growing chunk each time that a paragraph is added, and so repeated.
     """
     import re
 
     def cut(t: str) -> list[str]:
         return [s.strip() for s in re.split(r"(?<=[.!?])\s+", t) if s.strip()]
 
+    def glue(*parts: str) -> str:
+        return " ".join(filter(None, parts)).strip()
+
     out: list[str] = []
-    buffer = ""
+    tail = filling = ""
     for para in filter(None, map(str.strip, re.split(r"\n\n+", text))):
-        joined = f"{buffer} {para}".strip()
-        if len(joined) < target:
-            buffer = joined
-        elif len(joined) < most:
-            out.append(joined)
-            last = cut(joined)[-1]
-            buffer = last if len(last) <= overlap else joined[-overlap:]
+        grown = glue(tail, filling, para)
+        if len(grown) < target:
+            tail, filling = tail if compat else "", grown
+        elif len(grown) < most:
+            out.append(grown)
+            last = cut(grown)[-1]
+            tail, filling = last if len(last) <= overlap else grown[-overlap:], ""
         else:
+            if filling:
+                out.append(glue(tail, filling))
+                tail = filling[-overlap:]
+            tail, filling = "", tail
             for s in cut(para):
-                if buffer and len(buffer) + len(s) + 1 > most:
-                    out.append(buffer)
-                    buffer = buffer[-overlap:]
-                buffer = f"{buffer} {s}".strip()
-    if buffer:
-        out.append(buffer)
+                if len(filling) + len(s) + 1 > most:
+                    out.append(filling.strip())
+                    filling = filling[-overlap:]
+                filling = glue(filling, s)
+    if filling:
+        out.append(glue(tail, filling))
     return [c for c in out if len(c) >= least]
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, tokens
+from ..shipping import ship
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -44,44 +48,99 @@ def ranked(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:
 
 
 def sparse(queries: DataFrame, docs: DataFrame, k: int, idf: bool = False) -> DataFrame:
-    """query_id, id, score, rank: dot products of term weights, over terms that both have."""
+    """query_id, id, score, rank: dot products of term weights, over terms that both have.
+
+    Only the documents' tokens that some query asks for are counted and shuffled.
+    """
     q = postings(queries, "query_id", docs).select("query_id", "term", F.col("weight").alias("wq"))
-    d = postings(docs, "doc_id", docs).select(F.col("doc_id").alias("id"), "term", "weight")
+    listed = docs.select(F.col("doc_id").alias("id"), tokens(F.coalesce(F.col("text"), F.lit(""))).alias("t"))
+    told = listed.select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+    counts = told.join(q.select("term").distinct(), "term", "left_semi").groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    d = counts.join(F.broadcast(mean_length(docs))).select("id", "term", weight().alias("weight"))
     hits = q.join(d, "term")
     product = F.col("wq") * F.col("weight")
     if idf:
         n = docs.agg(F.count(F.lit(1)).alias("n"))
-        df = d.join(q.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        df = d.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         hits = hits.join(df, "term").join(F.broadcast(n))
         product = product * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return ranked(hits.groupBy("query_id", "id").agg(F.round(F.sum(product), 6).alias("score")), k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """In doubles, rounded to six places."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.round(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), 6)
+#: Queries and vectors in one cell of the grid of products.
+QUERIES, VECTORS = 4_096, 65_536
+
+
+def _unit(column: pa.ChunkedArray) -> np.ndarray:
+    rows = column.combine_chunks()
+    values = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
 
-#: Queries in a block that meets every vector at once.
-BLOCK = 256
+def _cell(keep, same: bool):
+    """Cosines of the cell's queries and vectors as one product; only what ``keep`` marks becomes rows."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, q_ids = right["id"].to_numpy(), left["query_id"].to_numpy()
+        found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        if len(ids) and len(q_ids):
+            q, v, parts = _unit(left["q"]), _unit(right["v"]), []
+            for a in range(0, len(q), 256):
+                score = np.round(q[a : a + 256] @ v.T, 6)
+                out = q_ids[a : a + 256, None] == ids[None, :]
+                if same:
+                    names = np.asarray(left["same"][a : a + 256].to_pylist(), object)[:, None], np.asarray(right["same"].to_pylist(), object)[None, :]
+                    out |= ~((names[0] == names[1]) & (names[0] != None))  # noqa: E711
+                score[out | np.isnan(score)] = -np.inf
+                i, j = np.nonzero(keep(score) & (score > -np.inf))
+                parts.append((q_ids[a + i], ids[j], score[i, j]))
+            found = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        return pa.table({"query_id": pa.array(found[0], pa.int64()), "id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+
+    return run
+
+
+def cosines(queries: DataFrame, vectors: DataFrame, keep, same: str | None = None) -> DataFrame:
+    """query_id, id, score of the pairs that ``keep`` marks in a matrix of scores, whose rows are queries.
+
+    Queries and vectors are dealt over a grid of bounded cells, which meet by equality: a query is sent to every
+    group of vectors, a vector to every group of queries. ``same`` names a column that must agree.
+    """
+    spark = vectors.sparkSession
+    ship(spark)
+    cores = spark.sparkContext.defaultParallelism
+    n, m = vectors.count(), queries.count()
+    down, across = max(1, -(-m // QUERIES)), max(1, -(-n // VECTORS), min(2 * cores, -(-n // 1024)))
+    group = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    named = [F.col(same).cast("string").alias("same")] if same else []
+    whole = lambda v: F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull())
+    left = queries.where(whole("q")).select("query_id", "q", *named, group("query_id", down).alias("row"), every(across).alias("column"))
+    right = vectors.where(whole("v")).select("id", "v", *named, every(down).alias("row"), group("id", across).alias("column"))
+    return left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(_cell(keep, bool(same)), "query_id long, id long, score double")
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, same: str | None = None) -> DataFrame:
     """query_id, id, score, rank by cosine; ``same`` names a column that must agree.
 
-    The stated queries are gathered in blocks, and each vector is scored against a block; the rank
-    keeps k rows per query and task before anything is shuffled.
+    A cell gives each query's k best and what ties with the last of them, so little is shuffled.
     """
-    fields = ["query_id", "q", *([F.col(same).alias("q_same")] if same else [])]
-    blocks = queries.groupBy(F.pmod(F.hash("query_id"), F.lit(max(1, -(-queries.count() // BLOCK)))).alias("block")).agg(
-        F.collect_list(F.struct(*fields)).alias("qs")
-    )
-    pairs = vectors.join(blocks).select("id", "v", *([same] if same else []), F.explode("qs").alias("q"))
-    if same:
-        pairs = pairs.where(F.col("q.q_same") == F.col(same))
-    scored = pairs.where("id <> q.query_id").select("q.query_id", "id", cosine(F.col("q.q"), F.col("v")).alias("score"))
-    return ranked(scored, k)
+
+    def best(score: np.ndarray) -> np.ndarray:
+        at = max(0, score.shape[1] - k)
+        return score >= np.partition(score, at, axis=1)[:, at : at + 1]
+
+    return ranked(cosines(queries, vectors, best, same), k)
+
+
+def hybrid(dense_list: DataFrame, sparse_list, limit: int | None = None) -> DataFrame:
+    """The fused lists; where ``sparse_list()`` cannot be made, because its index or model isn't there, the dense list alone."""
+    try:
+        found = sparse_list()
+    except (AnalysisException, OSError, RuntimeError):
+        found = dense_list.limit(0)
+    return rrf(dense_list, found, limit)
 
 
 def rrf(dense_list: DataFrame, sparse_list: DataFrame, limit: int | None = None) -> DataFrame:

@@ -50,3 +50,8 @@ def expanded(text: Column) -> Column:
     """The rewritten question, if there is one, then the question; the default rewriter lists key terms."""
     rewritten = F.array_join(key_terms(text), " ")
     return F.when(rewritten == "", F.array(text)).otherwise(F.array(rewritten, text))
+
+
+def output_action(size: Column, least: int = 1000) -> Column:
+    """Whether an output of ``size`` bytes (null: none) is kept, made, or thrown away and made anew."""
+    return F.when(size > least, "skip").when(size.isNull(), "make").otherwise("remake")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import chunk
-from ..sources.tables import headings, table, upsert
+from ..shipping import ship
+from ..sources.tables import Store, headings, read_chunks, scratch, table, write_chunks
 from .registry import PARTS, query
-from .text_queries import _HTML, _SANE, T, uuid5_sql
+from .text_queries import _HTML, _SANE, CORRUPT_SQL, T, W, corrupted, uuid5_sql
 
 #: Chunks on a page, pages merged into one.
 PER_PAGE, PER_PARENT = 2, 3
@@ -20,6 +25,23 @@ SELECT doc_id, lang, source, text, unnest(range(0, greatest(0, ceil((length(text
 PARTS["numbered"] = f"SELECT *, {_NAME} || '-' || printf('%04d', idx) AS chunk_id, idx // {PER_PAGE} AS page FROM chunks"
 PARTS["parents"] = """SELECT doc_id, page, string_agg(chunk, ' ' ORDER BY chunk_id) AS text, count(*) AS n_chunks, min(chunk_id) AS first_chunk_id
 FROM numbered GROUP BY doc_id, page"""
+PARTS["sample"] = "SELECT doc_id, string_agg(chunk, ' ' ORDER BY idx) AS text FROM chunks WHERE idx < 5 GROUP BY doc_id"
+_MD = "html"
+for _n in (1, 2, 3):
+    _MD = f"regexp_replace({_MD}, '(?is)<h{_n}[^>]*>(.*?)</h{_n}>', chr(10) || '{'#' * _n} \\1' || chr(10), 'g')"
+_MD = f"regexp_replace(regexp_replace({_MD}, '(?i)</p>|</li>|</tr>', chr(10) || chr(10), 'g'), '<[^>]*>', '', 'g')"
+_MD = f"regexp_replace({_MD}, '(?m)^(#{{1,3}}){W}+(.+)$', chr(1) || '\\1' || chr(2) || '\\2' || chr(3), 'g')"
+
+
+def _ends(t: str) -> str:
+    return f"regexp_replace({t}, '^{W}+|{W}+$', '', 'g')"
+
+
+PARTS["md"] = f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS pos, * EXCLUDE (page_id, i) FROM (
+SELECT page_id, i, CASE WHEN i = 1 THEN 0 ELSE length(split_part(p, chr(2), 1)) END AS level,
+CASE WHEN i = 1 THEN 'Preamble' ELSE {_ends("split_part(split_part(p, chr(3), 1), chr(2), 2)")} END AS heading,
+{_ends("CASE WHEN i = 1 THEN p ELSE split_part(p, chr(3), 2) END")} AS body FROM (
+SELECT page_id, generate_subscripts(p, 1) AS i, unnest(p) AS p FROM (SELECT page_id, string_split({_MD}, chr(1)) AS p FROM pages))) WHERE level > 0 OR body <> ''"""
 PARTS["heads"] = rf"""SELECT page_id, generate_subscripts(h, 1) - 1 AS pos, unnest(h) AS h FROM (
 SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') AS h FROM pages)"""
 PARTS["headings"] = f"SELECT page_id, pos, h[3:3]::BIGINT AS level, {_HTML.format('h')} AS heading FROM heads"
@@ -29,9 +51,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered windows; every two of them make a page."""
-    return chunk.numbered(chunk.fixed(docs(spark, sf_dir))).withColumn("page", F.floor(F.col("idx") / PER_PAGE))
+def chunks(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Numbered windows, every two of which make a page; of the documents ``only`` names, if given."""
+    of = docs(spark, sf_dir)
+    of = of if only is None else of.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
+    return chunk.numbered(chunk.fixed(of)).withColumn("page", F.floor(F.col("idx") / PER_PAGE))
 
 
 @query("SELECT doc_id, idx, chunk, length(chunk) AS char_count FROM chunks")
@@ -90,11 +114,97 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.by_python(docs(spark, sf_dir), chunk.split_text)
 
 
+@query()
+def chunk_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recursive splitter with the overlap and marks for recognised text."""
+    return chunk.by_python(docs(spark, sf_dir), partial(chunk.split_text, overlap=chunk.OCR_OVERLAP, marks=chunk.OCR_MARKS))
+
+
 @query()
 def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.by_python(docs(spark, sf_dir), chunk.merge_text)
 
 
+@query()
+def chunk_merge_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With tails repeated while a chunk grows."""
+    return chunk.by_python(docs(spark, sf_dir), partial(chunk.merge_text, compat=True))
+
+
+@query(CORRUPT_SQL.replace("given_rows", "sample"))
+def corruption_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged by a document's first five chunks, which are cut from its text in the scan."""
+    step, last = chunk.SIZE - chunk.OVERLAP, F.greatest(F.lit(0), F.ceil((F.length("text") - chunk.SIZE) / (chunk.SIZE - chunk.OVERLAP))).cast("int")
+    first = F.transform(F.sequence(F.lit(0), F.least(last, F.lit(4))), lambda i: F.substring(F.col("text"), i * step + 1, F.lit(chunk.SIZE)))
+    return corrupted(docs(spark, sf_dir).where(F.length("text") > 0).select("doc_id", F.array_join(first, " ").alias("text")))
+
+
+@query(f"""SELECT doc_id, i - 1 AS idx, md5(p) AS md5 FROM (
+SELECT doc_id, generate_subscripts(p, 1) AS i, regexp_replace(unnest(p), '^{W}+|{W}+$', '', 'g') AS p FROM (
+SELECT doc_id, string_split_regex(text, '\\n\\n+') AS p FROM documents)) WHERE length(p) >= 15""")
+def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of 15 characters or more; those dropped leave gaps in the numbers."""
+    parts = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\\n\\n+")).alias("idx", "p"))
+    return parts.select("doc_id", F.col("idx").cast("long").alias("idx"), F.regexp_replace("p", f"^{W}+|{W}+$", "").alias("p")).where(
+        "length(p) >= 15"
+    ).select("doc_id", "idx", F.md5("p").alias("md5"))
+
+
+def markdown(pages: DataFrame) -> DataFrame:
+    """(page_id, text): the pages as Markdown, headings of three levels on lines of their own."""
+    out = F.col("html")
+    for n in (1, 2, 3):
+        out = F.regexp_replace(out, rf"(?is)<h{n}[^>]*>(.*?)</h{n}>", f"\n{'#' * n} $1\n")
+    return pages.select("page_id", F.regexp_replace(F.regexp_replace(out, "(?i)</p>|</li>|</tr>", "\n\n"), "<[^>]*>", "").alias("text"))
+
+
+@query("SELECT page_id, pos, level, heading, md5(body) AS md5 FROM md")
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections by their headings, after a Preamble."""
+    return sections(table(spark, sf_dir, "pages")).select("page_id", "pos", "level", "heading", F.md5("body").alias("md5"))
+
+
+def sections(pages: DataFrame) -> DataFrame:
+    return markdown(pages).select("page_id", F.posexplode(text.sections(F.col("text"))).alias("pos", "s")).select(
+        "page_id", F.col("pos").cast("long").alias("pos"), F.col("s.level").cast("long").alias("level"), "s.heading", "s.body"
+    )
+
+
+@query("""SELECT page_id, pos, last_value(CASE WHEN level = 1 THEN heading END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos) AS h1,
+last_value(CASE WHEN level = 2 THEN heading END IGNORE NULLS) OVER (PARTITION BY page_id, n1 ORDER BY pos) AS h2,
+last_value(CASE WHEN level = 3 THEN heading END IGNORE NULLS) OVER (PARTITION BY page_id, n2 ORDER BY pos) AS h3 FROM (
+SELECT *, count(*) FILTER (level = 1) OVER (PARTITION BY page_id ORDER BY pos) AS n1,
+count(*) FILTER (level IN (1, 2)) OVER (PARTITION BY page_id ORDER BY pos) AS n2 FROM md)""")
+def markdown_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each section's path of headings; a heading ends the deeper ones before it."""
+    page = Window.partitionBy("page_id").orderBy("pos")
+    upto = lambda *levels: F.count(F.when(F.col("level").isin(*levels), 1)).over(page)
+    last = lambda n, *by: F.last(F.when(F.col("level") == n, F.col("heading")), True).over(Window.partitionBy("page_id", *by).orderBy("pos"))
+    numbered = sections(table(spark, sf_dir, "pages")).select("*", upto(1).alias("n1"), upto(1, 2).alias("n2"))
+    return numbered.select("page_id", "pos", last(1).alias("h1"), last(2, "n1").alias("h2"), last(3, "n2").alias("h3"))
+
+
+@query()
+def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, idx, heading, chunk: each section's cleaned paragraphs merged to their target."""
+    ship(spark)
+    cleaned = sections(table(spark, sf_dir, "pages")).select("page_id", "pos", "heading", text.strip_boilerplate(F.col("body")).alias("body"))
+    parts = cleaned.mapInArrow(_merged_sections, "page_id long, pos long, heading string, nth long, chunk string")
+    idx = F.row_number().over(Window.partitionBy("page_id").orderBy("pos", "nth")) - 1
+    return parts.select("page_id", idx.cast("long").alias("idx"), "heading", "chunk")
+
+
+def _merged_sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [
+            (page, pos, heading, n, c)
+            for page, pos, heading, body in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)
+            for n, c in enumerate(chunk.merge_text(body or ""))
+        ]
+        kinds = pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["page_id", "pos", "heading", "nth", "chunk"])
+
+
 @query("SELECT doc_id, page, md5(text) AS md5, n_chunks, first_chunk_id FROM parents")
 def build_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.parents(chunks(spark, sf_dir)).select("doc_id", "page", F.md5("text").alias("md5"), "n_chunks", "first_chunk_id")
@@ -118,6 +228,16 @@ def parent_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).where("page_first is not null")
 
 
+@query("""SELECT n.chunk_id, p.label FROM numbered n JOIN (
+SELECT doc_id, min(page) AS a, max(page) AS b, min(page) || '-' || max(page) AS label FROM (
+SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1) // 3 AS batch FROM parents) GROUP BY doc_id, batch) p
+ON n.doc_id = p.doc_id AND n.page BETWEEN p.a AND p.b""")
+def parent_of_child(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk's merged parent, found by any page of its range and not by the first alone."""
+    merged = chunk.by_page(chunk.merged_pages(chunk.parents(chunks(spark, sf_dir)), PER_PARENT))
+    return chunks(spark, sf_dir).join(merged, ["doc_id", "page"]).select("chunk_id", "label")
+
+
 @query("""SELECT source AS key, count(*) AS total, count(*) FILTER (length(text) >= 500) AS with_text,
 count(*) FILTER (length(text) >= 500) < greatest(1, floor(count(*) * 0.1)) AS scanned FROM documents GROUP BY source""")
 def scanned_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,34 +269,106 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("doc_id", "page", "lang", "chunk_id", ids.uuid5(F.col("chunk_id")).alias("point_id"), "chunk")
 
 
-@query("SELECT point_id FROM points WHERE doc_id % 2 = 0")
+# The first run brings the English documents, the second one all of them.
+FIRST = "lang = 'en'"
+
+
+def _index(spark: SparkSession, sf_dir: str) -> Store:
+    """A new index that holds the points of the first run."""
+    store = Store(spark, scratch(spark, "index"), "point_id string, chunk_id string, version string", "point_id")
+    store.create()
+    store.add(_versions(spark, sf_dir, "old").where(FIRST).drop("lang"))
+    return store
+
+
+def _versions(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
+    return points(spark, sf_dir).select("point_id", "chunk_id", F.lit(version).alias("version"), "lang")
+
+
+@query(f"SELECT point_id FROM points WHERE {FIRST}")
 def existing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).where("doc_id % 2 = 0").select("point_id")
+    """The ids alone of what the index holds."""
+    return _index(spark, sf_dir).read().select("point_id")
 
 
-@query("""SELECT point_id, chunk_id FROM points WHERE point_id NOT IN (SELECT point_id FROM points WHERE doc_id % 2 = 0)""")
+@query(f"SELECT point_id, chunk_id FROM points WHERE ({FIRST}) IS NOT TRUE")
 def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return points(spark, sf_dir).join(existing_ids(spark, sf_dir), "point_id", "left_anti").select("point_id", "chunk_id")
+    """The second run's points that the index doesn't hold."""
+    return _index(spark, sf_dir).new(_versions(spark, sf_dir, "new")).select("point_id", "chunk_id")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
-def incremental_new_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = docs(spark, sf_dir).where("doc_id % 2 = 0").select("doc_id")
-    return docs(spark, sf_dir).select("doc_id").join(done, "doc_id", "left_anti")
+@query(f"SELECT point_id, chunk_id, CASE WHEN {FIRST} THEN 'old' ELSE 'new' END AS version FROM points")
+def index_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after both runs, the second one made twice."""
+    store = _index(spark, sf_dir)
+    for _ in range(2):
+        store.create()
+        store.add(_versions(spark, sf_dir, "new").drop("lang"))
+    return store.read()
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM documents WHERE doc_id % 3 = 0")
-def state_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids_ = docs(spark, sf_dir).select("doc_id")
-    return ids_.where("doc_id % 2 = 0").union(ids_.where("doc_id % 3 = 0")).distinct()
+@query(f"SELECT point_id, CASE WHEN {FIRST} AND length(chunk) < 1000 THEN 'old' ELSE 'new' END AS version FROM points WHERE {FIRST} OR length(chunk) >= 1000")
+def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full windows of all documents are put over what is stored."""
+    store = _index(spark, sf_dir)
+    full = points(spark, sf_dir).where("length(chunk) >= 1000")
+    store.upsert(full.select("point_id", "chunk_id", F.lit("new").alias("version")))
+    return store.read().select("point_id", "version")
 
 
-@query("""SELECT point_id, 'new' AS version FROM points WHERE doc_id % 3 = 0
-UNION ALL SELECT point_id, 'old' FROM points WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0""")
-def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
-    old = p.where("doc_id % 2 = 0").select("point_id", F.lit("old").alias("version"))
-    return upsert(old, p.where("doc_id % 3 = 0").select("point_id", F.lit("new").alias("version")), "point_id")
+def _state(spark: SparkSession, sf_dir: str) -> Store:
+    store = Store(spark, scratch(spark, "state"), "doc_id long", "doc_id")
+    store.create()
+    store.add(docs(spark, sf_dir).where(FIRST).select("doc_id"))
+    return store
+
+
+@query(f"SELECT doc_id FROM documents WHERE ({FIRST}) IS NOT TRUE")
+def incremental_new_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the stored state doesn't name."""
+    return _state(spark, sf_dir).new(docs(spark, sf_dir).select("doc_id"))
+
+
+@query("SELECT DISTINCT doc_id FROM documents")
+def state_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored state after both runs."""
+    store = _state(spark, sf_dir)
+    store.add(docs(spark, sf_dir).select("doc_id").distinct())
+    return store.read()
+
+
+@query("SELECT doc_id, page, md5(text) AS md5 FROM parents")
+def parents_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents of documents that aren't in the state, appended to the stored ones, run by run."""
+    store = Store(spark, scratch(spark, "parents"), "key string, doc_id long, page long, text string", "key")
+    store.create()
+    key = F.concat_ws("::page", F.col("doc_id").cast("string"), F.col("page").cast("string")).alias("key")
+    for which in (FIRST, "true"):
+        new = docs(spark, sf_dir).where(which).join(store.read().select("doc_id").distinct(), "doc_id", "left_anti")
+        store.add(chunk.parents(chunks(spark, sf_dir, new)).select(key, "doc_id", "page", "text"))
+    return store.read().select("doc_id", "page", F.md5("text").alias("md5"))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk records as files hold them."""
+    meta = F.struct(
+        chunk.doc_name(F.col("doc_id")).alias("doc_id"), "chunk_id", "source", F.col("lang").alias("language"),
+        F.col("page").cast("string").alias("page"), F.col("idx").cast("int").alias("chunk_index"), F.length("chunk").alias("char_count"),
+    )
+    return chunks(spark, sf_dir).select(F.col("chunk").alias("page_content"), meta.alias("metadata"))
+
+
+@query("""SELECT left(md5(doc_id::VARCHAR), 12) AS doc_id, chunk_id, md5(chunk) AS md5, source, lang AS language, page::VARCHAR AS page,
+idx AS chunk_index, length(chunk) AS char_count FROM numbered""")
+def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk files written and read back."""
+    path = scratch(spark, "chunk-files")
+    write_chunks(records(spark, sf_dir), path)
+    found = read_chunks(spark, path, lines=True)
+    return found.select(
+        "metadata.doc_id", "metadata.chunk_id", F.md5("page_content").alias("md5"), "metadata.source", "metadata.language", "metadata.page",
+        F.col("metadata.chunk_index").cast("long").alias("chunk_index"), F.col("metadata.char_count").cast("long").alias("char_count"),
+    )
 
 
 @query(f"""SELECT doc_id, page, {uuid5_sql("doc_id::VARCHAR || '::page' || page || '::fallback'")} AS point_id, true AS is_fallback

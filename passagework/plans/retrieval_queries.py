@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import key_terms, tokens
 from ..operators import chunk, context, retrieve, understand
-from ..sources.tables import table
+from ..sources.tables import Store, scratch, staged, table
 from ..streaming import ingest
 from .chunk_queries import TOKENS, chunks
 from .registry import PARTS, query
@@ -84,10 +84,8 @@ def dense_topk_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors that are close to one of the benchmark's."""
     v = vectors(spark, sf_dir)
-    q = v.join(asked(spark, sf_dir).select(F.col("query_id").alias("id")), "id").select(F.struct(F.col("id").alias("query_id"), F.col("v").alias("q")).alias("x"))
-    block = q.agg(F.collect_list("x").alias("qs"))  # the stated questions, as one block
-    pairs = v.join(block).select("id", "v", F.explode("qs").alias("x")).where("id <> x.query_id")
-    return pairs.select("x.query_id", "id", retrieve.cosine(F.col("x.q"), F.col("v")).alias("score")).where("score >= 0.3")
+    q = v.join(asked(spark, sf_dir).select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return retrieve.cosines(q, v, lambda score: score >= 0.3)
 
 
 def fused(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
@@ -104,6 +102,14 @@ def rrf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused(spark, sf_dir, FUSED).select("query_id", "id", "rrf", "rank")
 
 
+@query("""SELECT query_id, id, round(1e0 / (60 + rank), 9) AS rrf, rank FROM dense""")
+def hybrid_dense_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid retrieval where the sparse index isn't there: the dense list alone is fused."""
+    postings = Store(spark, scratch(spark, "no-postings"), "doc_id long, term string, weight double", "doc_id")
+    found = retrieve.hybrid(dense_topk(spark, sf_dir), lambda: postings.read().select("doc_id"))
+    return found.select("query_id", "id", "rrf", "rank")
+
+
 PARTS["hits"] = """SELECT f.query_id, f.id, f.rrf, f.rank, d.text, d.source, d.lang, b.text AS question
 FROM fused f JOIN documents d ON d.doc_id = f.id JOIN benchmark b ON b.item_id = f.query_id"""
 
@@ -187,9 +193,14 @@ FROM child_hits c LEFT JOIN parents p ON p.doc_id = c.doc_id AND p.page = c.page
 
 
 def expanded(spark: SparkSession, sf_dir: str, strict: bool = False, found: DataFrame | None = None) -> DataFrame:
+    found = _placed(reranked(spark, sf_dir, found))
+    return context.expand_to_parents(found, chunk.parents(chunks(spark, sf_dir, found)), strict)
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """Hits with the page that they stand for; staged, since the pages of their documents alone are built."""
     page = F.when(F.col("id") % 4 == 3, 99).otherwise(0).cast("long")
-    found = reranked(spark, sf_dir, found).withColumn("doc_id", F.col("id")).withColumn("page", page)
-    return context.expand_to_parents(found, chunk.parents(chunks(spark, sf_dir)), strict)
+    return staged(found.withColumn("doc_id", F.col("id")).withColumn("page", page), "hits")
 
 
 @query("SELECT query_id, rank, md5(final_text) AS md5 FROM expanded")
@@ -201,9 +212,8 @@ def parent_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE has_parent OR (NOT any_hit AND rank <= 5)""")
 def parent_expand_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only hits with a parent; a query without any keeps its first five as they are."""
-    page = F.when(F.col("id") % 4 == 3, 99).otherwise(0).cast("long")
-    found = reranked(spark, sf_dir).withColumn("doc_id", F.col("id")).withColumn("page", page)
-    pages = chunk.parents(chunks(spark, sf_dir)).select("doc_id", "page", F.col("text").alias("parent"))
+    found = _placed(reranked(spark, sf_dir))
+    pages = chunk.parents(chunks(spark, sf_dir, found)).select("doc_id", "page", F.col("text").alias("parent"))
     joined = found.join(pages, ["doc_id", "page"], "left").withColumn("has", F.col("parent").isNotNull())
     some = F.max("has").over(Window.partitionBy("query_id"))
     return joined.withColumn("some", some).where("has or (not some and rank <= 5)").select("query_id", "rank", F.md5(F.coalesce("parent", "text")).alias("md5"))
@@ -257,9 +267,8 @@ UNION ALL SELECT DISTINCT query_id, 'parent', p.doc_id || '::page' || p.page, NU
 def retrieve_full_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children, then the parents that they belong to, told apart by type."""
     key = F.concat(F.col("doc_id").cast("string"), F.lit("::page"), F.col("page").cast("string")).alias("source_key")
-    page = F.when(F.col("id") % 4 == 3, 99).otherwise(0).cast("long")
-    child = hits(spark, sf_dir, RERANKED).withColumn("doc_id", F.col("id")).withColumn("page", page)
-    parent = child.select("query_id", "doc_id", "page").distinct().join(chunk.parents(chunks(spark, sf_dir)).select("doc_id", "page"), ["doc_id", "page"])
+    child = _placed(hits(spark, sf_dir, RERANKED))
+    parent = child.select("query_id", "doc_id", "page").distinct().join(chunks(spark, sf_dir, child).select("doc_id", "page").distinct(), ["doc_id", "page"])
     return child.select("query_id", F.lit("child").alias("chunk_type"), key, F.col("rrf").alias("score")).unionByName(
         parent.select("query_id", F.lit("parent").alias("chunk_type"), key), allowMissingColumns=True
     )

@@ -36,7 +36,7 @@ for _a, _b in text.LIGATURES.items():
 _JOINED = _sub(_PLAIN, (rf"({T})-\n({T})", r"\1\2"))
 _BASIC = _sub(_JOINED, (rf"(?m)^{W}*\d{{1,4}}{W}*$", ""))
 _COLLAPSED = f"trim({_sub(_BASIC, (W + '+', ' '))})"
-_CLEAN = f"coalesce(lower({_COLLAPSED}), 'unknown')"
+_CLEAN = f"coalesce(lower({_COLLAPSED}), 'Unknown')"
 
 
 def _digest_sql(made: str) -> str:
@@ -81,6 +81,29 @@ def api_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", status.alias("status"), error.alias("error"))
 
 
+@query()
+def clean_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full clean, with ASCII folding in its place."""
+    from ..shipping import ship
+
+    ship(spark)
+    return _digest(spark, sf_dir, text.clean_english(F.col("text")))
+
+
+_MINIMAL = f"coalesce(trim({_sub(_JOINED, (W + '+', ' '))}), '')"
+_OCR = f"coalesce(trim({_sub('text', (rf'(?m)^{W}*\d{{1,4}}{W}*$', ''), (rf'({T})-\n({T})', r'\1\2'), (W + '+', ' '))}), '')"
+
+
+@query(_digest_sql(_MINIMAL))
+def clean_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(spark, sf_dir, text.clean_minimal(F.col("text")))
+
+
+@query(_digest_sql(_OCR))
+def clean_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digest(spark, sf_dir, text.clean_ocr(F.col("text")))
+
+
 @query(_digest_sql(_CLEAN))
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(spark, sf_dir, text.clean(F.col("text")))
@@ -101,7 +124,7 @@ def strip_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TITLE = "regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)"
 
 
-@query(f"SELECT page_id, trim({_sub(_CLEAN.replace('regexp_replace(text,', f'regexp_replace({_HTML.format(_TITLE)},', 1), (r'^([a-z]|[ivxlcdm]+|[0-9]+)(\.[0-9]+)*\.\s*', ''), ('^[-•–―]\\s*', ''))}) AS heading FROM pages")
+@query(f"SELECT page_id, trim({_sub(_CLEAN.replace('Unknown', 'unknown').replace('regexp_replace(text,', f'regexp_replace({_HTML.format(_TITLE)},', 1), (r'^([a-z]|[ivxlcdm]+|[0-9]+)(\.[0-9]+)*\.\s*', ''), ('^[-•–―]\\s*', ''))}) AS heading FROM pages")
 def clean_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = html_text(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1))
     return table(spark, sf_dir, "pages").select("page_id", text.clean_heading(title).alias("heading"))
@@ -123,7 +146,7 @@ def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(spark, sf_dir, text.sanitize(F.col("text")))
 
 
-@query(_digest_sql(_sub("text", (r"(?m)^\s*[0-9]+\s*$", ""), (r"(?m)^(CHAPTER\s*-\s*[IVXLCDM]+.*)", r"# \1"),
+@query(_digest_sql(_sub("text", (text.FOOTER, ""), (r"(?m)^\s*[0-9]+\s*$", ""), (r"(?m)^(CHAPTER\s*-\s*[IVXLCDM]+.*)", r"# \1"),
                         (r"(?m)^(Sec\.\s*[0-9]+\..*)", r"## \1"), (r"(?im)^(MODULE\s+[IVXLCDM]+.*)", r"# \1"),
                         (r"(?m)^([0-9]+\.\s+[A-Z\s]{4,})", r"## \1"), (r"(?im)^([A-Z\s]{5,}\s+COMPONENT.*)", r"## \1"),
                         (r"\n{3,}", chr(10) * 2), (f"^{W}+|{W}+$", ""))))
@@ -134,17 +157,26 @@ def promote_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = f"list_filter(regexp_extract_all(lower(text), '{T}'), lambda w: regexp_full_match(w, '[a-z]{{{{{{}},}}}}'))"
 
 
-@query(f"""SELECT doc_id, n_words, n_stop, n >= 50 AND n_words >= 15 AND n_stop * 10 < n_words AS corrupted FROM (
+CORRUPT_SQL = f"""SELECT doc_id, n_words, n_stop, n >= 50 AND n_words >= 15 AND n_stop * 10 < n_words AS corrupted FROM (
 SELECT doc_id, length({_sub('text', (f'^{W}+|{W}+$', ''))}) AS n, len(w) AS n_words, len(list_filter(w, lambda x: x IN ({_STOPS}))) AS n_stop
-FROM (SELECT doc_id, text, list_filter(regexp_extract_all(lower(text), '{T}'), lambda w: regexp_full_match(w, '[a-z]{{2,}}')) AS w FROM documents))""")
-def corruption_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+FROM (SELECT doc_id, text, list_filter(regexp_extract_all(lower(text), '{T}'), lambda w: regexp_full_match(w, '[a-z]{{2,}}')) AS w FROM given_rows))"""
+
+
+def corrupted(rows: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_stop, corrupted of (doc_id, text)."""
     body = F.regexp_replace("text", rf"^{W}+|{W}+$", "")
-    counted = _docs(spark, sf_dir).select("doc_id", F.length(body).alias("n"), text.words(F.col("text"), 2).alias("w")).select(
+    counted = rows.select("doc_id", F.length(body).alias("n"), text.words(F.col("text"), 2).alias("w")).select(
         "doc_id", "n", F.size("w").cast("long").alias("n_words"), F.size(F.filter("w", lambda x: x.isin(*text.STOP_WORDS))).cast("long").alias("n_stop")
     )
     return counted.select("doc_id", "n_words", "n_stop", ((F.col("n") >= 50) & (F.col("n_words") >= 15) & (F.col("n_stop") * 10 < F.col("n_words"))).alias("corrupted"))
 
 
+@query(CORRUPT_SQL.replace("given_rows", "documents"))
+def corruption_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judged by the whole text."""
+    return corrupted(_docs(spark, sf_dir))
+
+
 @query(f"""SELECT doc_id, CASE WHEN n < 30 THEN false WHEN odd * 20 > n THEN true
 WHEN len(e) >= 4 AND len(list_filter(e, lambda w: NOT regexp_matches(w, '[aeiouy]'))) * 10 > len(e) * 4 THEN true
 WHEN len(e) >= 4 AND len(list_filter(e, lambda w: w IN ({_PAGE}))) = 0 THEN true
@@ -171,6 +203,18 @@ def first_line_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.left(F.substring_index("text", "\n", 1), F.lit(80)).alias("heading"))
 
 
+@query("SELECT page_id, left(md5(lower(url)), 12) AS key FROM pages")
+def path_doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents named by their whole path."""
+    return table(spark, sf_dir, "pages").select("page_id", F.left(F.md5(F.lower("url")), F.lit(12)).alias("key"))
+
+
+@query("SELECT doc_id, CASE WHEN strlen(text) > 1000 THEN 'skip' WHEN text IS NULL THEN 'make' ELSE 'remake' END AS action FROM documents")
+def output_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the bytes of what was put out before: only more than 1,000 are taken as done; 1,000 or fewer are made anew."""
+    return _docs(spark, sf_dir).select("doc_id", understand.output_action(F.octet_length("text")).alias("action"))
+
+
 @query("SELECT doc_id, left(md5(lower(source || '::' || doc_id || '.pdf')), 12) AS key FROM documents")
 def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", ids.doc_key(F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))).alias("key"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = (
@@ -16,6 +19,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, as ``spark.checkpoint.dir`` names it; removed when the driver's JVM ends.
+
+    Where that is unset, a local session gets a temporary folder, and a cluster an error.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="passagework-")
+        sc.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in (path, f"{path}-state"):
+        hadoop = sc._jvm.org.apache.hadoop.fs.Path(made)
+        hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read from there by all that use it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def raw_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """Files of a tree with the language and subject that their path names."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
@@ -31,8 +60,67 @@ def path_language(path: Column) -> Column:
 
 
 def read_chunks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Chunk files: JSON arrays, or one object a line."""
-    return spark.read.schema(CHUNK).option("multiLine", not lines).json(path)
+    """Chunk files: JSON arrays, or one object or array a line; with the file and the place in it."""
+    found = spark.read.schema(CHUNK).option("multiLine", not lines).option("recursiveFileLookup", True).json(path)
+    placed = found.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return placed.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("at")).cast("long")).drop("at")
+
+
+def write_chunks(chunks: DataFrame, path: str, file_each: bool = False) -> None:
+    """Chunk records (``page_content``, ``metadata``) as JSON arrays in order of chunk_id, characters as they are.
+
+    A document's array is a line of its own, or, with ``file_each``, a file in a folder that bears the document's name.
+    """
+    record = F.struct("metadata.chunk_id", F.struct("page_content", "metadata").alias("r"))
+    arrays = chunks.groupBy(F.col("metadata.doc_id").alias("file")).agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(record)), lambda x: x["r"])).alias("value")
+    )  # a document's chunks
+    if file_each:
+        arrays.write.partitionBy("file").text(path)
+    else:
+        arrays.select("value").write.text(path)
+
+
+class Store:
+    """Rows by key in numbered generations of a folder; readers see the last one that is whole."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str) -> None:
+        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+
+    def _generations(self) -> list[int]:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+        done = lambda n: fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
+        return sorted(int(n) for n in names if n.isdigit() and done(n))
+
+    def create(self) -> bool:
+        """Makes the empty store if there is none; tells whether it did."""
+        if self._generations():
+            return False
+        self.spark.createDataFrame([], self.schema).write.parquet(f"{self.path}/0")
+        return True
+
+    def read(self) -> DataFrame:
+        found = self._generations()
+        if not found:
+            raise FileNotFoundError(self.path)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found[-1]}")
+
+    def _next(self, rows: DataFrame, mode: str) -> None:
+        rows.write.mode(mode).parquet(f"{self.path}/{self._generations()[-1] + 1}")
+
+    def new(self, rows: DataFrame) -> DataFrame:
+        """The rows whose key isn't stored."""
+        return rows.join(self.read().select(self.key), self.key, "left_anti")
+
+    def add(self, rows: DataFrame) -> None:
+        """Appends those that are new; run again, it adds nothing."""
+        self._next(self.read().unionByName(self.new(rows)), "overwrite")
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Rows whose key is stored take the stored ones' place."""
+        self._next(upsert(self.read(), rows, self.key), "overwrite")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunk import fixed
-from ..sources.tables import table
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="passagework-")
-    return f"{base.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+from ..sources.tables import scratch, table
 
 
 def run_available(stream: DataFrame, out: str) -> DataFrame:
@@ -31,7 +22,7 @@ def run_available(stream: DataFrame, out: str) -> DataFrame:
 def _source(spark: SparkSession, sf_dir: str, files_per_batch: int) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     folder = scratch(spark, "incoming")
-    docs.repartition(4).write.json(folder)
+    docs.write.option("maxRecordsPerFile", 100_000).json(folder)
     return spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
 
