@@ -81,6 +81,8 @@ ENDS_PARAGRAPH = BLOCK - frozenset("html body td th tr tbody thead tfoot caption
 
 COMMENT = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))", re.S)
 OPENING = re.compile(r"<(?:!--|[!?]|/?(?P<tag>[A-Za-z][^\s/>]*+)?)")
+#: The rest of a tag that holds no other bracket, up to its end: what is searched ends at the next bracket.
+TAIL = re.compile(r"(?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+>")
 UNQUOTED = re.compile(r"[^>\"']*+")
 #: Character references whose number no character has; the standard library would convert all their digits.
 HUGE = re.compile(r"&#(?:0*+[0-9]{9,}|[xX]0*+[0-9a-fA-F]{9,});?")
@@ -233,7 +235,8 @@ def parse(source: str) -> Node:
             else:
                 at = done = source.find(">", start) + 1
             continue
-        stop = tags.end(start)
+        plain = TAIL.match(source, start)
+        stop = plain.end() - 1 if plain else tags.end(start)
         at = done = stop + 1
         if source[m.start() + 1] == "/":
             b.end(tag)
