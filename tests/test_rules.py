@@ -18,7 +18,7 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     ("given", "expected"),
-    [("a\n 12 \nb", "a b"), ("sec-\ntion", "section"), ("ﬁ’s x—y", "fi's x-y"), (None, "unknown"), ("", "")],
+    [("a\n 12 \nb", "a b"), ("sec-\ntion", "section"), ("ﬁ’s x—y", "fi's x-y"), (None, "Unknown"), ("", "")],
 )
 def test_clean(spark, given, expected):
     assert one(spark, text.clean(F.col("t")), t=given) == expected
@@ -26,7 +26,7 @@ def test_clean(spark, given, expected):
 
 @pytest.mark.parametrize(
     ("given", "expected"),
-    [("1.2. Arrest", "arrest"), ("iv. Bail", "bail"), ("- Notes", "notes"), ("1.2 Arrest", "2 arrest"), ("mix. Foo", "foo")],
+    [("1.2. Arrest", "arrest"), ("iv. Bail", "bail"), ("- Notes", "notes"), ("1.2 Arrest", "2 arrest"), ("mix. Foo", "foo"), (None, "unknown")],
 )
 def test_heading(spark, given, expected):
     assert one(spark, text.clean_heading(F.col("t")), t=given) == expected
