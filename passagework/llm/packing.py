@@ -81,7 +81,7 @@ def cut(n_ids: int, length: int) -> list[tuple[int, int]]:
 
 def _tokenize_and_pack(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, rows, base = encoder(path).document, [], TaskContext.get().partitionId() << 36
+        encode, rows, base = encoder(path).documents, [], TaskContext.get().partitionId() << 36
 
         def pack() -> pa.RecordBatch:
             nonlocal rows, base
@@ -91,10 +91,10 @@ def _tokenize_and_pack(path: str, length: int):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, ITEMS, strict=True)], schema=ITEMS)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py())
-                for k, (start, n) in enumerate(cut(len(ids) // 4, length)):
-                    rows.append((doc, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
+            texts = (t.as_py() for t in batch.column(1))
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                for k, (start, n) in enumerate(cut(len(ids), length)):
+                    rows.append((doc, k, start, n, zlib.crc32(ids[start : start + n])))
             if len(rows) >= GROUP:
                 yield pack()
         if rows:

@@ -154,12 +154,14 @@ def _tokenize(path: str, first: list[Key]):
         for b in batches:
             docs, ties, salts = (b.column(i).to_pylist() for i in range(3))
             shards = [bisect_right(first, _key(*key)) for key in zip(docs, ties, salts, strict=True)]
-            ids = [np.frombuffer(enc.document(t.as_py()), "<u4").astype(kind) for t in b.column(3)]
+            counts, packed = [], []
+            for ids in enc.documents(t.as_py() for t in b.column(3)):
+                counts.append(len(ids))
+                packed.append(codec.compress(ids.astype(kind), asbytes=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shards, pa.int32()), b.column(0), b.column(1), pa.array(map(len, ids), pa.int64()),
-                 pa.array([codec.compress(x, asbytes=True) for x in ids], pa.binary())],
+                [pa.array(shards, pa.int32()), b.column(0), b.column(1), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
                 ["shard", "doc_id", "tie", "n_tokens", "ids"],
-            )
+            )
 
     return run
 

@@ -1,36 +1,48 @@
-"""Token ids by the tokenizers library, faster through caches of pre-tokens and of words.
+"""Token ids by the tokenizers library, faster by merging each distinct piece of a batch once.
 
 A byte-level BPE splits a text into pre-tokens by a fixed pattern and encodes each
-by itself, so a pre-token's ids can be kept and reused. A single blank before another
-character always begins a pre-token, so a text may be cut at its blanks and the ids of
-a blank with all that follows it up to the next one kept too, unless a blank is
-followed by another, where the pattern looks further. Texts whose characters
-might be classed differently by another Unicode version, and texts that hold an added
-token such as ``<|endoftext|>``, which gets its own id, go to the library whole.
+by itself, so equal ones need encoding once. A single blank before another character
+always begins a pre-token, so a text may be cut at its blanks first and each distinct
+word, with its blank, split once, unless a blank is followed by another or ends the text,
+where the pattern looks further. Words and pre-tokens are numbered by Arrow, the library
+merges many distinct pre-tokens in one call, parted by a sign that nothing merges with,
+and the texts' ids are gathered by number. Texts whose characters might be classed
+differently by another Unicode version, and texts that hold an added token such as
+``<|endoftext|>``, which gets its own id, go to the library whole.
+
+Nothing is kept from batch to batch: memory follows from ``STEP``, and a long text is
+encoded in segments.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 END_ID = 2
-#: Entries in each half of a worker's two caches, and characters of the longest one; bounds on its memory.
-CACHED, KEPT = 250_000, 64
-#: Characters from which on a text's pre-tokens are not listed but taken one by one.
-LONG = 4_000_000
+#: Characters encoded together, characters of a segment of a long text, and pieces merged in one call.
+STEP, SEGMENT, CALL = 16_000_000, 4_000_000, 20_000
+#: What parts the pieces that are handed to the library's merges at once.
+PIECE_END = "\x00"
 #: Characters on which Python's classes and the library's agree: old blocks of Latin, Greek, Cyrillic,
-#: punctuation and the euro sign, without U+001C to U+001F, which only Python takes for blanks.
-SETTLED = re.compile("[\x00-\x1b\x20-\u02af\u0391-\u03a1\u03a3-\u0481\u2010-\u2027\u2030-\u205e\u20ac]*+")
+#: punctuation and the euro sign, without U+001C to U+001F, which only Python takes for blanks, and PIECE_END.
+SETTLED = re.compile("[\x01-\x1b\x20-ʯΑ-ΡΣ-ҁ‐-‧‰-⁞€]*+")
 # Fixed value: how this kind of byte-level BPE splits a text (contractions, letters, numbers, the rest, blanks),
 # for settled characters; the six signs are numbers that Python counts among its word characters.
 SPLIT = re.compile(
     r" ?[^\W\d_²³¹¼½¾]+| ?[\d²³¹¼½¾]+|'s|'t|'re|'ve|'m|'ll|'d| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 )
 
-#: A blank with another one after it.
-UNEVEN = re.compile(r" \s")
+#: A blank with another one, or nothing, after it.
+UNEVEN = re.compile(r" (?:\s|\Z)")
+#: Places where one pre-token surely ends and another begins, whatever stands around them.
+SURE = re.compile(r"(?<=[A-Za-z])(?=[!-@])|(?<=[!-~])(?=[ \t\n\r])")
 
 
 def default_path() -> str:
@@ -39,25 +51,16 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Pieces(dict):
-    """Pre-token -> ids; a missing one comes from the half before this one or from the library."""
-
-    def __init__(self, make, older: dict[str, bytes]) -> None:
-        super().__init__()
-        self.make, self.older = make, older
+def _gather(flat: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[bounds[c]:bounds[c + 1]]`` of all codes one after the other, and their bounds."""
+    n = np.diff(bounds)[codes]
+    new = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.arange(new[-1]) + np.repeat(bounds[codes] - new[:-1], n)], new
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece) or self.make(piece)
-        if len(piece) <= KEPT:
-            self[piece] = ids
-        return ids
 
-    def bounded(self) -> Pieces:
-        """This one, or once it is full a new one with this one as its older half."""
-        if len(self) <= CACHED:
-            return self
-        self.older = {}
-        return Pieces(self.make, self)
+def _joined(strings: pa.Array, sign: str) -> str:
+    one = pa.ListArray.from_arrays([0, len(strings)], strings)
+    return pc.binary_join(one, pa.scalar(sign, strings.type))[0].as_py()
 
 
 class Encoder:
@@ -74,37 +77,94 @@ class Encoder:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = sorted(set(range(256)).difference(plain))
         self.chars = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
-        self.known, self.after_blank = Pieces(self._piece, {}), Pieces(self._after_blank, {})
-
-    def _piece(self, piece: str) -> bytes:
-        """The library's merges on one pre-token."""
-        mapped = piece.encode("utf-8").decode("latin-1").translate(self.chars)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(mapped)])
-
-    def _after_blank(self, chunk: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, SPLIT.findall(" " + chunk)))
-
-    def _whole(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        # The sign that parts pieces stands in no longer token, so nothing merges with it.
+        sign = chr(self.chars[ord(PIECE_END)])
+        self.end = self.library.token_to_id(sign)
+        self.parted = self.end is not None and not any(sign in t for t in self.library.get_vocab() if len(t) > 1)
+
+    def _merged(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and their bounds."""
+        parts, tokenize = [], self.library.model.tokenize
+        for k in range(0, len(pieces), CALL):
+            joined = _joined(pieces.slice(k, CALL), PIECE_END) + PIECE_END
+            mapped = joined.encode("utf-8").decode("latin-1").translate(self.chars)
+            parts.append(np.array([t.id for t in tokenize(mapped)], "<u4"))
+        ids = np.concatenate(parts) if parts else np.empty(0, "<u4")
+        ends = np.flatnonzero(ids == self.end)
+        return ids[ids != self.end], np.concatenate([[0], ends - np.arange(len(ends))])
+
+    def _step(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, of which there are no more than memory allows."""
+        out: list = [np.empty(0, "<u4")] * len(texts)
+        at, heads, n_heads, rests = [], [], [0], []
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.parted or not SETTLED.fullmatch(text) or any(map(text.__contains__, self.added)):
+                out[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+                continue
+            head, _, rest = (text, "", "") if UNEVEN.search(text) else text.partition(" ")
+            at.append(k)
+            heads += SPLIT.findall(head)
+            n_heads.append(len(heads))
+            rests.append(rest or None)
+        lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        words = lists.flatten().dictionary_encode()
+        # Only a word's own blank begins a piece with one, so the pieces can be told apart by word.
+        pieces = SPLIT.findall(" " + _joined(words.dictionary, " ")) if len(words) else []
+        n, pieces = len(pieces), pa.array(pieces + heads, pa.large_string()).dictionary_encode()
+        codes, begins = pieces.indices.to_numpy(), pc.starts_with(pieces.dictionary, " ").to_numpy(zero_copy_only=False)
+        ids, bounds = _gather(*self._merged(pieces.dictionary), codes)
+        of_words = bounds[[*np.flatnonzero(begins[codes[:n]]), n]]
+        word_ids, word_bounds = _gather(ids, of_words, words.indices.to_numpy())
+        last = word_bounds[lists.offsets.to_numpy()].tolist()
+        first = bounds[n + np.array(n_heads)].tolist()
+        for j, k in enumerate(at):
+            out[k] = np.concatenate([ids[first[j] : first[j + 1]], word_ids[last[j] : last[j + 1]]])
+        return out
+
+    def _segments(self, text: str) -> list[str]:
+        """The text, or parts of it that can be encoded by themselves."""
+        if len(text) <= SEGMENT or any(map(text.__contains__, self.added)):
+            return [text]
+        cuts = [0]
+        while cuts[-1] + SEGMENT < len(text) and (m := SURE.search(text, cuts[-1] + SEGMENT)):
+            cuts.append(m.start())
+        return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text in turn; none for a null or empty one."""
+        some, last, size, parts = [], [], 0, []
+
+        def step() -> Iterator[np.ndarray]:
+            for ids, ends in zip(self._step(some), last, strict=True):
+                parts.append(ids)
+                if ends:
+                    yield np.concatenate(parts) if len(parts) > 1 else ids
+                    parts.clear()
+            some.clear()
+            last.clear()
+
+        for text in texts:
+            segments = self._segments(text or "")
+            for k, segment in enumerate(segments, 1):
+                some.append(segment)
+                last.append(k == len(segments))
+                size += len(segment)
+                if size >= STEP:
+                    yield from step()
+                    size = 0
+        yield from step()
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of ``text``; none for a null or empty one."""
-        if not text:
-            return b""
-        if not SETTLED.fullmatch(text) or any(map(text.__contains__, self.added)):
-            return self._whole(text)
-        self.known, self.after_blank = self.known.bounded(), self.after_blank.bounded()
-        if len(text) >= LONG:
-            return b"".join(self.known[m[0]] for m in SPLIT.finditer(text))
-        if UNEVEN.search(text):
-            return b"".join(map(self.known.__getitem__, SPLIT.findall(text)))
-        first, *rest = text.split(" ")
-        return b"".join([*map(self.known.__getitem__, SPLIT.findall(first)), *map(self.after_blank.__getitem__, rest)])
-
-    def document(self, text: str | None) -> bytes:
-        """The ids of a document: its text's, then the end id."""
-        return self.encode(text) + END_ID.to_bytes(4, "little")
+        """The ids of ``text`` alone."""
+        return next(self.encode_all([text])).tobytes()
+
+    def documents(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each document: its text's, then the end id."""
+        end = np.array([END_ID], "<u4")
+        for ids in self.encode_all(texts):
+            yield np.concatenate([ids, end])
 
 
 @lru_cache(maxsize=2)

@@ -35,17 +35,28 @@ def test_added_tokens_agree_with_an_untouched_library(enc):
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
-def test_document_ends_with_the_end_id(enc):
-    assert enc.document(None) == enc.document("") == (2).to_bytes(4, "little")
-
-
-def test_full_cache_changes_nothing(enc, monkeypatch):
-    monkeypatch.setattr(tokens, "CACHED", 20)
-    monkeypatch.setattr(tokens, "LONG", 50)
-    small = tokens.Encoder(tokens.default_path())
-    for k in range(30):
-        t = " ".join(f"w{k}x{i}" for i in range(15))
-        assert small.encode(t) == enc.encode(t)
+def test_documents_end_with_the_end_id(enc):
+    assert [d.tolist() for d in enc.documents([None, "", "a"])] == [[2], [2], [64, 2]]
+    assert list(enc.documents([])) == []
+
+
+def test_steps_segments_and_calls_change_nothing(enc, monkeypatch):
+    rng = random.Random(5)
+    long = ["".join(rng.choice("ab é1²,.'\n\t _日") for _ in range(3000)) for _ in range(4)]
+    texts = [*CASES, *long, "x <|endoftext|> y " * 40, None, *(" ".join(f"w{k}x{i}" for i in range(15)) for k in range(30))]
+    expected = [enc.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in enc.encode_all(texts)] == expected
+    for step, segment, call in [(1, 1, 1), (50, 20, 3), (400, 70, 10_000), (10**9, 9, 2)]:
+        for name, value in [("STEP", step), ("SEGMENT", segment), ("CALL", call)]:
+            monkeypatch.setattr(tokens, name, value)
+        assert [x.tolist() for x in enc.encode_all(texts)] == expected
+
+
+def test_long_texts_are_cut_at_sure_places(enc, monkeypatch):
+    monkeypatch.setattr(tokens, "SEGMENT", 40)
+    text = "It's 3 o'clock, isn't it?  No\n\n  x1y2'll " * 30
+    assert len(enc._segments(text)) > 10 and "".join(enc._segments(text)) == text
+    assert enc._segments("ab" * 500) == ["ab" * 500]
 
 
 def test_every_settled_character_alone_and_between(enc):
