@@ -150,7 +150,7 @@ def _tokenize(path: str, first: list[Key]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         kind = np.dtype("<u2") if enc.size <= 1 << 16 else np.dtype("<u4")
-        codec = pa.Codec("zstd", 1)
+        codec = pa.Codec("zstd", 5)
         for b in batches:
             docs, ties, salts = (b.column(i).to_pylist() for i in range(3))
             shards = [bisect_right(first, _key(*key)) for key in zip(docs, ties, salts, strict=True)]
