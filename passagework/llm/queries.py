@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    exact_topk, html_text, mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash_dedup,
+    exact_topk, html_text, jaccard_join, mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash_dedup,
     token_files,
 )
 
@@ -59,6 +59,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per rule of the default policy: the documents that fail it, and those that only it rejects."""
     return quality_rules.ablations(quality_rules.ledger(_table(spark, sf_dir, "documents")))
@@ -69,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_quality_rules, op2_simhash_dedup, op3_best_fit_packing, op4_secret_scan, op5_token_files, op6_sharding,
-            op7_mixing, op8_quality_classifier, op9_html_text, op10_exact_topk, quality_ablations,
+            op7_mixing, op8_quality_classifier, op9_html_text, op10_exact_topk, op12_jaccard_join, quality_ablations,
         )
     }
 
@@ -150,5 +154,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP12_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT r, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM d),
+c AS MATERIALIZED (SELECT min(r) AS r, any_value(len(s)) AS n, list_sort(s) AS s FROM s GROUP BY list_sort(s)),
+t AS MATERIALIZED (SELECT r, n, unnest(s) AS t FROM c),
+e AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM t a JOIN t b ON a.t = b.t AND a.r <> b.r AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+g(a, b) AS (SELECT r, r FROM c WHERE n > 0 UNION SELECT g.a, e.b FROM g JOIN e ON g.b = e.a),
+l AS MATERIALIZED (SELECT a, min(b) AS label FROM g GROUP BY a),
+m AS MATERIALIZED (
+  SELECT d.r, d.doc_id, len(s.s) AS n, l.label FROM d JOIN s USING (r) JOIN c ON c.s = list_sort(s.s) LEFT JOIN l ON l.a = c.r)
+SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY label) END AS component_id FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATIONS_SQL, "op4_secret_scan": _op4_sql(), "op10_exact_topk": OP10_SQL}
+    return {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATIONS_SQL, "op4_secret_scan": _op4_sql(), "op10_exact_topk": OP10_SQL, "op12_jaccard_join": OP12_SQL}
