@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    exact_topk, html_text, jaccard_join, mixing, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash_dedup,
+    exact_topk, html_text, jaccard_join, mixing, packing, prefix_trie, quality_classifier, quality_rules, secret_scan, sharding, simhash_dedup,
     token_files,
 )
 
@@ -59,6 +59,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("position", "subtree_end")
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_quality_rules, op2_simhash_dedup, op3_best_fit_packing, op4_secret_scan, op5_token_files, op6_sharding,
-            op7_mixing, op8_quality_classifier, op9_html_text, op10_exact_topk, op12_jaccard_join, quality_ablations,
+            op7_mixing, op8_quality_classifier, op9_html_text, op10_exact_topk, op11_prefix_trie, op12_jaccard_join, quality_ablations,
         )
     }
 
@@ -154,6 +158,31 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+# The checksum of a decimal number, bit by bit over its characters.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+OP11_SQL = f"""
+WITH x AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL)),
+o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS said
+  FROM conversations WHERE conv_id IS NOT NULL),
+r AS (
+  SELECT x.conv_id, 0 AS part, pos, said FROM x JOIN o ON o.conv_id = x.base AND pos <= h
+  UNION ALL SELECT conv_id, 1, pos, said FROM x JOIN o USING (conv_id) WHERE pos > h),
+p AS (SELECT x.conv_id, coalesce(list(said ORDER BY part, pos) FILTER (said IS NOT NULL), []) AS path FROM x LEFT JOIN r USING (conv_id) GROUP BY x.conv_id),
+m AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM p),
+n AS MATERIALIZED (
+  SELECT path[1:depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = depth), '')) AS ends_sha256 FROM m GROUP BY ALL),
+c AS MATERIALIZED (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+u AS (SELECT k, depth, n_convs, unnest(range(0, depth + 1)) AS above FROM n),
+s AS (
+  SELECT u.k[1:above] AS k, count(*) FILTER (c.k IS NULL) AS n_leaves,
+         sum(CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(u.k[depth].t) END)::BIGINT AS saved_tokens
+  FROM u LEFT JOIN c ON c.k = u.k GROUP BY ALL)
+SELECT n.conv_id, n.depth, b.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.k = n.k LEFT JOIN c ON c.k = n.k LEFT JOIN n b ON n.depth > 0 AND b.k = n.k[1:n.depth - 1]
+"""
 OP12_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -174,4 +203,4 @@ SELECT doc_id, n AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE min(doc_id) OVE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATIONS_SQL, "op4_secret_scan": _op4_sql(), "op10_exact_topk": OP10_SQL, "op12_jaccard_join": OP12_SQL}
+    return {"op1_quality_rules": OP1_SQL, "quality_ablations": ABLATIONS_SQL, "op4_secret_scan": _op4_sql(), "op10_exact_topk": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_jaccard_join": OP12_SQL}
