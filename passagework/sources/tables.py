@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, as ``spark.checkpoint.dir`` names it; removed when the driver's JVM ends.
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder that driver and executors share, as ``spark.checkpoint.dir`` names it; removed when the driver's JVM ends, or kept.
 
     Where that is unset, a local session gets a temporary folder, and a cluster an error.
     """
@@ -32,7 +33,7 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="passagework-")
         sc.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    for made in (path, f"{path}-state"):
+    for made in () if keep else (path, f"{path}-state"):
         hadoop = sc._jvm.org.apache.hadoop.fs.Path(made)
         hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return path
@@ -45,6 +46,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a Parquet folder; none where it isn't there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def one_each(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with a key, one for each: of several the least by its other columns. Texts move only if keys repeat."""
+    given = rows.where(F.col(key).isNotNull())
+    if given.groupBy(key).count().where("count > 1").isEmpty():
+        return given
+    others = [c for c in rows.columns if c != key]
+    return given.groupBy(key).agg(F.min(F.struct(*others)).alias("_row")).select(*(F.col(key) if c == key else F.col(f"_row.{c}") for c in rows.columns))
+
+
 def raw_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """Files of a tree with the language and subject that their path names."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
