@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +18,8 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 #: Everything that is not part of a word, negated: one word.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-#: Application -> the shared folders that it has made and not removed yet, oldest first.
-_made: dict[str, list[str]] = {}
+#: The lists of folders that the calls under way in this thread collect, innermost last.
+_collected: ContextVar[tuple[list[str], ...]] = ContextVar("collected", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,23 +48,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     fs, hadoop = _file_system(spark, path)
     fs.deleteOnExit(hadoop)
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    for made in _collected.get():
+        made.append(path)
     return path
 
 
-def folders(spark: SparkSession) -> list[str]:
-    """The shared folders that are there now."""
-    return list(_made.get(spark.sparkContext.applicationId, []))
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The folders that are made inside, in this thread and by this call alone."""
+    made: list[str] = []
+    token = _collected.set((*_collected.get(), made))
+    try:
+        yield made
+    finally:
+        _collected.reset(token)
 
 
-def remove(spark: SparkSession, paths: Sequence[str]) -> None:
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
     """Deletes folders whose rows nobody reads any more."""
-    made = _made.get(spark.sparkContext.applicationId, [])
     for path in paths:
         fs, hadoop = _file_system(spark, path)
         fs.delete(hadoop, True)
-        if path in made:
-            made.remove(path)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -81,10 +87,18 @@ def row_struct(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))
 
 
-def row_hash(df: DataFrame) -> Column:
-    """A 64-bit hash of all columns; maps, which Spark doesn't hash, count by their JSON."""
-    of = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`")
-    return F.xxhash64(*map(of, df.schema.fields))
+def row_hash(df: DataFrame, *first: Column) -> Column:
+    """A 64-bit hash of ``first`` and all columns, each with whether it is null, since Spark's hash passes nulls over.
+
+    Nested columns, which may hold nulls anywhere, and maps, which Spark doesn't hash, count by their JSON, nulls included.
+    """
+
+    def of(f) -> list[Column]:
+        c = F.col(f"`{f.name}`")
+        nested = any(k in f.dataType.simpleString() for k in ("map<", "array<", "struct<"))
+        return [F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if nested else c, c.isNull()]
+
+    return F.xxhash64(*first, *(c for f in df.schema.fields for c in of(f)))
 
 
 def running(df: DataFrame, order: Sequence[Column], **sums: Column) -> DataFrame:

@@ -8,7 +8,7 @@ end to end are cut into shards whose row counts differ by one at most (law ``row
 Main path: DataFrame functions only. Everything follows from the seed and the rows' contents: the hash
 covers the whole row, a bucket's rows are numbered in the order of their hashes, and the permutations are drawn with
 the buckets at fixed places. So another layout of the input, or a task that is run again, gives the
-same order. A row that comes more than ``HOT`` times is kept once on its way and its copies are dealt evenly over
+same order. A row that comes more than ``HOT`` times, as two hashes of the whole row say, is kept once on its way and its copies are dealt evenly over
 all buckets, so that no bucket and no task gets them all.
 
 Defined results. Null text: no bytes, so size 8 and checksum 0. Null ids: told apart by the rest of the
@@ -32,7 +32,7 @@ HOT = 1_024
 def _dealt(counts: DataFrame, buckets: int, seed: int) -> DataFrame:
     """(h, bucket, m): how many of the rows of hash h go to a bucket. Rows that aren't hot go to one bucket all."""
     first = F.xxhash64(F.lit(seed), "h")
-    spread = F.when(F.col("n") > HOT, F.least("n", F.lit(buckets).cast("long"))).otherwise(F.lit(1).cast("long"))
+    spread = F.when(F.expr(f"n > {HOT} and same"), F.least("n", F.lit(buckets).cast("long"))).otherwise(F.lit(1).cast("long"))
     many = F.expr("n div parts + if(i < n % parts, 1, 0)")
     return counts.select("h", "n", spread.alias("parts")).select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("i")
@@ -41,7 +41,8 @@ def _dealt(counts: DataFrame, buckets: int, seed: int) -> DataFrame:
 
 def external_shuffle(df: DataFrame, shards: int = SHARDS, seed: int = 42) -> DataFrame:
     """(shard, bucket, slot, row): every row of ``df`` as a struct, at its place; a bucket's rows are in one task."""
-    counts = staged(df.select(row_hash(df).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")), "hashes")
+    both = df.select(row_hash(df).alias("h"), row_hash(df, F.lit(1)).alias("g")).groupBy("h")
+    counts = staged(both.agg(F.count(F.lit(1)).alias("n"), (F.min("g") == F.max("g")).alias("same")), "hashes")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_ROWS))
     dealt = _dealt(counts, buckets, seed)
@@ -50,7 +51,7 @@ def external_shuffle(df: DataFrame, shards: int = SHARDS, seed: int = 42) -> Dat
     fixed = sizes.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     order = F.shuffle(F.sequence(F.lit(0), F.col("size").cast("int") - 1), seed)
     orders = staged(fixed.select("bucket", "base", order.alias("order")), "orders")
-    rows, hot = df.select(row_struct(df).alias("row"), row_hash(df).alias("h")), staged(counts.where(F.col("n") > HOT), "hot")
+    rows, hot = df.select(row_struct(df).alias("row"), row_hash(df).alias("h")), staged(counts.where(f"n > {HOT} and same"), "hot")
     place = F.pmod(F.xxhash64(F.lit(seed), "h"), F.lit(buckets)).alias("bucket")
     if hot.isEmpty():
         scattered = rows.select("h", place, "row")

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import folders, mapped, remove, row_hash, row_struct, staged
+from .common import collecting, mapped, remove, row_hash, row_struct, staged
 
 SEED = 42
 SHINGLE = 3
@@ -222,32 +222,33 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "edges",
     )
     spark = edges.sparkSession
-    labels = staged(
-        both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels"
-    )
+    with collecting() as old:
+        labels = staged(
+            both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels"
+        )
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
     salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).alias("salt")
     for _ in range(max_rounds):
-        before = folders(spark)
-        near = (
-            both.select("u", "v", salt("u"))
-            .join(labels.select(F.col("node").alias("v"), "label", each), ["v", "salt"])
-            .groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        )
-        seen = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        hooks = seen.groupBy(F.col("label").alias("node")).agg(F.min("low").alias("hook"))
-        hooked = staged(
-            seen.join(hooks, "node", "left").select("node", F.col("label").alias("old"), F.least("low", "hook").alias("label")),
-            "hooked",
-        )
-        up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"), each)
-        new = staged(
-            hooked.select("*", salt("node")).join(up, ["label", "salt"], "left").select("node", "old", F.least("label", "up").alias("label")),
-            "labels",
-        )
+        with collecting() as made:
+            near = (
+                both.select("u", "v", salt("u"))
+                .join(labels.select(F.col("node").alias("v"), "label", each), ["v", "salt"])
+                .groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+            )
+            seen = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
+            hooks = seen.groupBy(F.col("label").alias("node")).agg(F.min("low").alias("hook"))
+            hooked = staged(
+                seen.join(hooks, "node", "left").select("node", F.col("label").alias("old"), F.least("low", "hook").alias("label")),
+                "hooked",
+            )
+            up = hooked.select(F.col("node").alias("label"), F.col("label").alias("up"), each)
+            new = staged(
+                hooked.select("*", salt("node")).join(up, ["label", "salt"], "left").select("node", "old", F.least("label", "up").alias("label")),
+                "labels",
+            )
         # What this round has read: the labels of the one before and those without their jumps.
-        remove(spark, [before[-1], *folders(spark)[len(before) : -1]])
-        labels = new.select("node", "label")
+        remove(spark, old + made[:-1])
+        old, labels = made[-1:], new.select("node", "label")
         if new.where("label <> old").isEmpty():
             return labels
     raise RuntimeError("components did not settle")
