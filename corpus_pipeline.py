@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm import mixing, packing, quality_rules, secret_scan, simhash_dedup
-from passagework.llm.common import folders, remove, staged
+from passagework.llm.common import collecting, remove, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +60,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Once a stage is written, nothing reads what it was made from any more, so that is removed.
     """
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(folders(spark))
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
+        with collecting() as made:
+            docs = stage(spark, docs, sf_dir)
+            if k == len(STAGES) - 1:
+                return docs
             docs = staged(docs, name)
-            remove(spark, folders(spark)[before:-1])
+        remove(spark, old + made[:-1])
+        old = made[-1:]
     return docs
