@@ -42,11 +42,15 @@ SIMILAR = 85
 #: Groups of one shingle up to which all pairs are taken at once.
 SMALL = 8
 #: Occurrences from which a slot of shingles counts as frequent, and how many such slots are used.
-FREQUENT, MOST_HOT = 32, 1 << 22
-#: Compared classes whose keys are broadcast to find their texts.
+FREQUENT, MOST_HOT = 4, 1 << 22
+#: Compared classes whose keys are broadcast to find their texts, and pairs that are broadcast to their sets.
 BROADCAST = 1_000_000
-#: Parts of pairs whose bucket is a large one, so that its first member's set isn't met in one task.
-SALTS = 32
+#: Parts of the pairs of a bucket or group of more than ``HOT`` members, so that the set of its first member isn't met in one task.
+SALTS, HOT = 32, 1024
+#: Entries of the table that tells most of the other slots from frequent ones.
+SIEVE = 1 << 24
+#: Groups that a task remembers, so that copies don't give their prefix again.
+SEEN = 1 << 20
 #: Bytes of text worked on at a time, and shingles counted at a time.
 BLOCK, COUNTED = 1 << 21, 1 << 21
 
@@ -247,12 +251,13 @@ def _described(hot) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, levels = hot.value
-        sieve = np.zeros(1 << 22, bool)
-        sieve[slots & np.uint32((1 << 22) - 1)] = True
+        given: set[int] = set()
+        sieve = np.zeros(SIEVE, bool)
+        sieve[slots & np.uint32(SIEVE - 1)] = True
 
         def ordered(s: np.ndarray) -> np.ndarray:
             slot = (s >> _U(32)).astype(np.uint32)
-            maybe = np.flatnonzero(sieve[slot & np.uint32((1 << 22) - 1)])
+            maybe = np.flatnonzero(sieve[slot & np.uint32(SIEVE - 1)])
             if not len(maybe):
                 return s
             at = np.minimum(np.searchsorted(slots, slot[maybe]), len(slots) - 1)
@@ -268,6 +273,10 @@ def _described(hot) -> Callable:
                 size.append(n)
                 sid.append(xxhash.xxh64_intdigest(s.tobytes()))
                 gid.append(xxhash.xxh64_intdigest(first.tobytes(), n & 0xFFFFFFFF))
+                if gid[-1] in given:  # a group's prefix is given once in a task
+                    first = first[:0]
+                elif len(given) < SEEN:
+                    given.add(gid[-1])
                 prefix.append(first.view(np.int64))
             longs = lambda x: pa.array(np.array(x, _U).view(np.int64))
             ends = pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32())
@@ -316,31 +325,33 @@ def bucket_pairs(n: np.ndarray, pos: np.ndarray, label: np.ndarray | None, every
     return i[near], j[near]
 
 
-def _buckets(every: bool, first: bool) -> Callable:
+def _buckets(every: bool, first: bool, few: int) -> Callable:
     """Rows (token, gid, n, pos, label) arrive sorted by token and size; gives pairs of groups.
 
-    The first time, small buckets give all pairs and large ones their rows as well, for the next times.
+    The first time, buckets of up to ``few`` rows give all pairs and larger ones their rows as well, for the next times.
     """
 
     def work(token, gid, n, pos, label) -> pa.RecordBatch:
+        new = np.append(True, (token[1:] != token[:-1]) | (gid[1:] != gid[:-1]))
+        token, gid, n, pos, label = (c[new] for c in (token, gid, n, pos, label))
         cut = np.flatnonzero(np.diff(token)) + 1
         start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(token)]))
         size = end - start
-        small = (size <= SMALL) & first
+        small = (size <= few) & first
         step, a, b = np.repeat(np.where(small, size, 0), size), [], []
         for d in range(1, int(step.max(initial=1))):
             i = np.flatnonzero((step[:-d] > d) & (token[d:] == token[:-d]))
             near = _fits(n[i], pos[i], n[i + d], pos[i + d])
             a.append(i[near])
             b.append(i[near] + d)
-        large, again = np.zeros(len(token), bool), []
+        large, crowd = np.zeros(len(token), bool), np.repeat(size > HOT, size)
         for s, e in zip(start[~small], end[~small], strict=True):
             i, j = bucket_pairs(n[s:e], pos[s:e], None if first else label[s:e], every)
             a.append(i + s)
             b.append(j + s)
             large[s:e] = True
         x, y = np.concatenate([*a, np.empty(0, np.int64)]).astype(np.int64), np.concatenate([*b, np.empty(0, np.int64)]).astype(np.int64)
-        hot = large[x]
+        hot = crowd[x]
         pairs = np.unique(np.stack([np.minimum(gid[x], gid[y]), np.maximum(gid[x], gid[y]), hot.astype(np.int64)], axis=1), axis=0)
         again = np.flatnonzero(large) if first else np.empty(0, np.int64)
         cols = [
@@ -375,7 +386,7 @@ PAIRS = "kind int, a long, b long, n long, pos long"
 
 def _paired(rows: DataFrame, every: bool = False, first: bool = False) -> DataFrame:
     sorted_rows = rows.select("token", "gid", "n", "pos", "label").repartition("token").sortWithinPartitions("token", "n", "gid")
-    return mapped(sorted_rows, _buckets(every, first), PAIRS)
+    return mapped(sorted_rows, _buckets(every, first, SMALL), PAIRS)
 
 
 def _with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,7 +414,8 @@ def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt")
     left = whole.join(hot, "sid", "left").select(F.col("sid").alias("a"), F.col("set").alias("x"), salts)
     dealt = pairs.withColumn("salt", F.when(F.col("hot") > 0, F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).otherwise(0))
-    both = dealt.join(whole.select(F.col("sid").alias("b"), F.col("set").alias("y")), "b").join(left, ["a", "salt"])
+    few = pairs.count() <= BROADCAST
+    both = whole.select(F.col("sid").alias("b"), F.col("set").alias("y")).join(F.broadcast(dealt) if few else dealt, "b").join(left, ["a", "salt"])
     return mapped(both.select("a", "b", "x", "y"), _similar, "a long, b long")
 
 
@@ -430,9 +442,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     classes = staged(
         rows.where("n > 0").groupBy("sid").agg(first, F.min("gid").alias("gid")).select("sid", "gid", "k.doc_id", "k.content"), "classes"
     )
-    # Each class's prefix stands in the rows, of which one for each group is taken.
-    prefix = rows.where("n > 0").select("gid", "n", "prefix").groupBy("gid").agg(F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    tokens = prefix.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = rows.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     none = F.lit(0).cast("long").alias("label")
     found = staged(_paired(tokens.select("token", "gid", "n", F.col("pos").cast("long").alias("pos"), none), first=True), "group-pairs")
     as_pairs = lambda d: d.where("kind = 0").groupBy("a", "b").agg(F.max("n").alias("hot"))
@@ -444,7 +454,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
         return pairs.join(one("a"), "a").join(one("b"), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"), "hot")
 
     pairs = staged(as_pairs(found), "pairs")
-    own = classes.join(groups.where("k > 1"), "gid").select(F.col("lead").alias("a"), F.col("sid").alias("b"), (F.col("k") > SMALL).cast("long").alias("hot"))
+    own = classes.join(groups.where("k > 1"), "gid").select(F.col("lead").alias("a"), F.col("sid").alias("b"), (F.col("k") > HOT).cast("long").alias("hot"))
     tried = staged(_distinct(leads(pairs).union(own)), "tried")
     # Whole sets are made of what may be compared at any time.
     several = pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct().union(groups.where("k > 1").select("gid")).union(large.select("gid")).distinct()
@@ -454,7 +464,9 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     texts = docs.select(F.struct(F.col(doc_id).cast("long").alias("doc_id")).alias("_id"), F.xxhash64(text).alias("_content"), F.col(text).alias("_text"))
     small = wanted.count() <= BROADCAST
     met = texts.join(F.broadcast(keys) if small else keys.hint("shuffle_hash"), ["_id", "_content"]).select("sid", "_text")
-    whole = staged(mapped(met, _with_set, "sid long, set binary").dropDuplicates(["sid"]), "whole-sets")
+    made = mapped(met, _with_set, "sid long, set binary")
+    repeated = rows.groupBy(id_of("doc_id").alias("_id"), F.col("content").alias("_content")).count().where("count > 1").join(keys, ["_id", "_content"], "left_semi")
+    whole = staged(made if repeated.isEmpty() else made.dropDuplicates(["sid"]), "whole-sets")
     edges = staged(_verified(tried, whole), "links")
     label = _labels(classes, edges)
 
@@ -483,7 +495,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     mixed = label.groupBy("gid").agg((F.min("label") != F.max("label")).alias("mixed"), F.min("label").alias("one"))
     at = lambda c: mixed.select(F.col("gid").alias(c), F.col("mixed").alias(f"{c}_mixed"), F.col("one").alias(f"{c}_one"))
     open_pairs = pairs.join(at("a"), "a").join(at("b"), "b").where("a_mixed or b_mixed or a_one <> b_one").select("a", "b", "hot")
-    inner = mixed.where("mixed").select(F.col("gid").alias("a"), F.col("gid").alias("b"), F.lit(1).cast("long").alias("hot"))
+    inner = mixed.where("mixed").select(F.col("gid").alias("a"), F.col("gid").alias("b"), F.lit(0).cast("long").alias("hot"))
     member = lambda c: label.select(F.col("gid").alias(c), F.col("sid").alias(f"{c}_sid"), F.col("label").alias(f"{c}_label"))
     rest = open_pairs.union(inner).join(member("a"), "a").join(member("b"), "b").where("a_label <> b_label")
     again(rest.select(F.col("a_sid").alias("a"), F.col("b_sid").alias("b"), "hot"))
