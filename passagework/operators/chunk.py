@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import chunk_id
+from ..functions.text import BLANK
 from ..shipping import ship
 
 SIZE, OVERLAP = 1000, 150
 #: The splitter's overlap and marks for recognised text.
 OCR_OVERLAP, OCR_MARKS = 200, ("\n\n", "\n", "।", ".", " ", "")
+# The lengths by which paragraphs are merged.
 TARGET, MOST, LEAST = 1200, 2000, 200
 
 
@@ -115,45 +117,67 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, marks: tuple
     return out
 
 
-def merge_text(
-    text: str, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST, compat: bool = False
-) -> list[str]:
-    """Paragraphs joined up to ``target``; longer ones cut at sentences; each chunk starts with the last one's tail.
+def _strip(t: Column) -> Column:
+    return F.regexp_replace(t, rf"^{BLANK}+|{BLANK}+$", "")
 
-    A paragraph that would make too long a chunk ends the one that is being filled. A tail is used once; with ``compat`` it
-    is put before a growing chunk each time that a paragraph is added, and so repeated.
+
+def _spaced(*parts: Column) -> Column:
+    """The parts that aren't empty, with one space between."""
+    return _strip(F.concat_ws(" ", *(F.nullif(p, F.lit("")) for p in parts)))
+
+
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sentences(t: Column) -> Column:
+    return F.filter(F.transform(F.split(t, rf"(?<=[.!?]){BLANK}+"), _strip), lambda s: s != "")
+
+
+def merged(text: Column, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, least: int = LEAST, compat: bool = False) -> Column:
+    """An array of chunks: paragraphs joined up to ``target``, at most ``most`` long, none under ``least``.
+
+    A fold over the paragraphs. Its state is the chunks so far, the tail that the next chunk starts with, and the open chunk.
+    A chunk that has reached the target is closed and leaves its last sentence, or its end if that is longer than ``overlap``, as the tail.
+    A paragraph with which the open chunk would reach ``most`` closes it and is packed by sentences, starting from the
+    end of what was closed. The tail is used once; with ``compat`` it stays until a chunk is closed, and so comes again
+    with each paragraph.
     """
-    import re
+    none = F.lit("")
+    state = lambda done, tail, open_: F.struct(done.alias("done"), tail.alias("tail"), open_.alias("open"))
+    end = lambda t: F.right(t, F.lit(overlap))
+    with_ = lambda done, c: F.concat(done, F.array(c))
+
+    def tail_of(c: Column) -> Column:
+        return _named(F.element_at(_sentences(c), -1), lambda s: F.when(F.length(s) <= overlap, s).otherwise(end(c)))
+
+    def add_sentence(s: Column, t: Column) -> Column:
+        full = F.length(s["open"]) + F.length(t) + 1 > most
+        kept = F.when(full, with_(s["done"], _strip(s["open"]))).otherwise(s["done"])
+        return state(kept, none, _spaced(F.when(full, end(s["open"])).otherwise(s["open"]), t))
+
+    def packed(s: Column, p: Column) -> Column:
+        closed = F.when(s["open"] != "", with_(s["done"], _spaced(s["tail"], s["open"]))).otherwise(s["done"])
+        return F.aggregate(_sentences(p), state(closed, none, F.when(s["open"] != "", end(s["open"])).otherwise(s["tail"])), add_sentence)
+
+    def add_paragraph(s: Column, p: Column) -> Column:
+        return _named(
+            _spaced(s["tail"], s["open"], p),
+            lambda grown: F.when(F.length(grown) < target, state(s["done"], s["tail"] if compat else none, grown))
+            .when(F.length(grown) < most, state(with_(s["done"], grown), tail_of(grown), none))
+            .otherwise(packed(s, p)),
+        )
 
-    def cut(t: str) -> list[str]:
-        return [s.strip() for s in re.split(r"(?<=[.!?])\s+", t) if s.strip()]
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, none), r"\n\n+"), _strip), lambda p: p != "")
+    start = state(F.array().cast("array<string>"), none, none)
+    last = lambda s: F.when(s["open"] != "", with_(s["done"], _spaced(s["tail"], s["open"]))).otherwise(s["done"])
+    return F.filter(F.aggregate(paragraphs, start, add_paragraph, last), lambda c: F.length(c) >= least)
 
-    def glue(*parts: str) -> str:
-        return " ".join(filter(None, parts)).strip()
 
-    out: list[str] = []
-    tail = filling = ""
-    for para in filter(None, map(str.strip, re.split(r"\n\n+", text))):
-        grown = glue(tail, filling, para)
-        if len(grown) < target:
-            tail, filling = tail if compat else "", grown
-        elif len(grown) < most:
-            out.append(grown)
-            last = cut(grown)[-1]
-            tail, filling = last if len(last) <= overlap else grown[-overlap:], ""
-        else:
-            if filling:
-                out.append(glue(tail, filling))
-                tail = filling[-overlap:]
-            tail, filling = "", tail
-            for s in cut(para):
-                if len(filling) + len(s) + 1 > most:
-                    out.append(filling.strip())
-                    filling = filling[-overlap:]
-                filling = glue(filling, s)
-    if filling:
-        out.append(glue(tail, filling))
-    return [c for c in out if len(c) >= least]
+def by_paragraphs(docs: DataFrame, compat: bool = False) -> DataFrame:
+    """doc_id, idx, chunk: the paragraphs of each text, merged."""
+    return docs.select("doc_id", F.posexplode(merged(F.col("text"), compat=compat)).alias("idx", "chunk")).withColumn("idx", F.col("idx").cast("long"))
 
 
 def _apply(split):

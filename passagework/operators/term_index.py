@@ -104,21 +104,21 @@ class TermIndex:
         given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         done = self.batches()
         fresh = one_each(given.join(self.lengths().select("doc_id"), "doc_id", "left_anti") if done else given, "doc_id")
+        if fresh.isEmpty():
+            return 0
         batch = max(done, default=-1) + 1
         at = lambda name: f"{self.path}/{name}/batch={batch}"
         counts = fresh.select("doc_id", F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("dl"))
         counts.write.mode("overwrite").parquet(at("lengths"))
         written = self.spark.read.schema("doc_id long, dl long").parquet(at("lengths"))
         totals = written.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"))
-        n = totals.first()[0]
-        if n:
-            ship(self.spark)
-            made = fresh.select("doc_id", tokens(F.col("text")).alias("t")).mapInArrow(_blocks(BLOCK), f"{_HEAD}, {_LISTS}")
-            named = made.withColumn("block", F.xxhash64("ids")).withColumn("bucket", self._bucket())  # no two blocks of a term have an id in common
-            dealt = named.repartition("bucket", F.pmod(F.col("block"), F.lit(4)))
-            dealt.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
-            totals.write.mode("overwrite").parquet(at("totals"))
-        return n
+        ship(self.spark)
+        made = fresh.select("doc_id", tokens(F.col("text")).alias("t")).mapInArrow(_blocks(BLOCK), f"{_HEAD}, {_LISTS}")
+        named = made.withColumn("block", F.xxhash64("ids")).withColumn("bucket", self._bucket())  # no two blocks of a term have an id in common
+        dealt = named.repartition("bucket", F.pmod(F.col("block"), F.lit(4)))
+        dealt.sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
+        totals.write.mode("overwrite").parquet(at("totals"))
+        return totals.first()[0]
 
     def _bucket(self) -> Column:
         return F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import partial
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import chunk
-from ..shipping import ship
 from ..sources.tables import Store, headings, read_chunks, scratch, table, write_chunks
 from .registry import PARTS, query
 from .text_queries import _HTML, _SANE, CORRUPT_SQL, T, W, corrupted, uuid5_sql
@@ -122,13 +119,13 @@ def chunk_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk.by_python(docs(spark, sf_dir), chunk.merge_text)
+    return chunk.by_paragraphs(docs(spark, sf_dir))
 
 
 @query()
 def chunk_merge_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With tails repeated while a chunk grows."""
-    return chunk.by_python(docs(spark, sf_dir), partial(chunk.merge_text, compat=True))
+    return chunk.by_paragraphs(docs(spark, sf_dir), compat=True)
 
 
 @query(CORRUPT_SQL.replace("given_rows", "sample"))
@@ -187,24 +184,12 @@ def markdown_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, idx, heading, chunk: each section's cleaned paragraphs merged to their target."""
-    ship(spark)
     cleaned = sections(table(spark, sf_dir, "pages")).select("page_id", "pos", "heading", text.strip_boilerplate(F.col("body")).alias("body"))
-    parts = cleaned.mapInArrow(_merged_sections, "page_id long, pos long, heading string, nth long, chunk string")
+    parts = cleaned.select("page_id", "pos", "heading", F.posexplode(chunk.merged(F.col("body"))).alias("nth", "chunk"))
     idx = F.row_number().over(Window.partitionBy("page_id").orderBy("pos", "nth")) - 1
     return parts.select("page_id", idx.cast("long").alias("idx"), "heading", "chunk")
 
 
-def _merged_sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [
-            (page, pos, heading, n, c)
-            for page, pos, heading, body in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)
-            for n, c in enumerate(chunk.merge_text(body or ""))
-        ]
-        kinds = pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["page_id", "pos", "heading", "nth", "chunk"])
-
-
 @query("SELECT doc_id, page, md5(text) AS md5, n_chunks, first_chunk_id FROM parents")
 def build_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.parents(chunks(spark, sf_dir)).select("doc_id", "page", F.md5("text").alias("md5"), "n_chunks", "first_chunk_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import key_terms, tokens
 from ..operators import chunk, context, retrieve, understand
+from ..operators.term_index import TermIndex
 from ..sources.tables import Store, scratch, staged, table
 from ..streaming import ingest
 from .chunk_queries import TOKENS, chunks
@@ -54,14 +55,27 @@ def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.postings(docs, "doc_id", docs)
 
 
+#: (Application, folder of tables) -> the term index of its documents.
+_indexes: dict[tuple[str, str], TermIndex] = {}
+
+
+def term_index(spark: SparkSession, sf_dir: str) -> TermIndex:
+    """The stored index of the documents: made by the first query that asks for it, brought up to date by the others."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        _indexes[key] = TermIndex(spark, scratch(spark, "terms"))
+    _indexes[key].add(_docs(spark, sf_dir))
+    return _indexes[key]
+
+
 @query("SELECT query_id, id, score, rank FROM sparse")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.sparse(asked(spark, sf_dir), _docs(spark, sf_dir), K)
+    return term_index(spark, sf_dir).search(asked(spark, sf_dir), K)
 
 
 @query("SELECT query_id, id, score, rank FROM sparse_idf")
 def sparse_topk_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.sparse(asked(spark, sf_dir), _docs(spark, sf_dir), K, idf=True)
+    return term_index(spark, sf_dir).search(asked(spark, sf_dir), K, idf=True)
 
 
 def _dense(spark: SparkSession, sf_dir: str, same: str | None = None) -> DataFrame:
@@ -159,7 +173,7 @@ def searched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     subs = query_expand(spark, sf_dir)
     keyed = subs.select(F.struct("query_id", "sub_query").alias("query_id"), "text")
-    found = retrieve.sparse(keyed, _docs(spark, sf_dir), K)
+    found = term_index(spark, sf_dir).search(keyed, K)
     own = subs.groupBy("query_id").agg(F.max("sub_query").alias("sub_query"))  # the question comes last
     vectored = dense_topk(spark, sf_dir).join(own, "query_id").withColumn("query_id", F.struct("query_id", "sub_query")).drop("sub_query")
     lists = retrieve.rrf(vectored, found).select("query_id.query_id", "query_id.sub_query", "id", "rank")

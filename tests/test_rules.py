@@ -99,13 +99,13 @@ def test_windows_cover_text_and_links_meet(spark):
     assert (rows[0]["prev_chunk_id"], rows[-1]["next_chunk_id"]) == ("", "")
 
 
-def test_python_chunkers():
+def test_chunkers(spark):
     t = "\n\n".join(" ".join(f"Word{i}x{j} goes on." for j in range(40)) for i in range(6))
     parts = chunk.split_text(t)
     assert all(len(p) <= 1000 for p in parts) and "".join(parts).replace(" ", "")[:50] == t.replace(" ", "")[:50]
-    merged = chunk.merge_text(t)
-    assert all(200 <= len(p) <= 2000 for p in merged)
-    assert chunk.split_text("") == [] and chunk.merge_text("") == []
+    merged = one(spark, chunk.merged(F.col("t")), t=t)
+    assert merged and all(200 <= len(p) <= 2000 for p in merged)
+    assert chunk.split_text("") == [] and one(spark, chunk.merged(F.col("t")), t="") == []
 
 
 def test_citation_defaults(spark):
