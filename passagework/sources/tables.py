@@ -102,45 +102,64 @@ def write_chunks(chunks: DataFrame, path: str, file_each: bool = False) -> None:
 
 
 class Store:
-    """Rows by key in numbered generations of a folder; readers see the last one that is whole."""
+    """Rows by key in a Parquet folder that is only appended to; a row that takes another one's place is a row with a higher number.
+
+    Keys are compared null-safely, and a null is a key like others. Of several new rows with one key the least by the other columns counts.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str) -> None:
         self.spark, self.path, self.schema, self.key = spark, path, schema, key
 
-    def _generations(self) -> list[int]:
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
-        done = lambda n: fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
-        return sorted(int(n) for n in names if n.isdigit() and done(n))
+    def _rows(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, _number long").parquet(self.path)
 
     def create(self) -> bool:
         """Makes the empty store if there is none; tells whether it did."""
-        if self._generations():
-            return False
-        self.spark.createDataFrame([], self.schema).write.parquet(f"{self.path}/0")
-        return True
+        try:
+            self._rows()
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            self.spark.createDataFrame([], f"{self.schema}, _number long").write.parquet(self.path)
+            return True
+        return False
 
     def read(self) -> DataFrame:
-        found = self._generations()
-        if not found:
-            raise FileNotFoundError(self.path)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found[-1]}")
-
-    def _next(self, rows: DataFrame, mode: str) -> None:
-        rows.write.mode(mode).parquet(f"{self.path}/{self._generations()[-1] + 1}")
+        """The stored rows, the last one of each key; an error where there is no store."""
+        rows = self._rows()
+        if not rows.agg(F.max("_number")).first()[0]:
+            return rows.drop("_number")  # nothing was replaced
+        last = rows.groupBy(self._safe().alias("_key")).agg(F.max_by(F.struct(*rows.columns), "_number").alias("_row"))
+        return last.select("_row.*").drop("_number")
+
+    def _safe(self, name: str | None = None) -> Column:
+        """The key in a struct: one that holds a null equals another one."""
+        return F.struct(F.col(f"`{name or self.key}`").alias("key"))
+
+    def _each(self, rows: DataFrame) -> DataFrame:
+        """One row for each key."""
+        keyed = rows.select(*(f.name for f in self._rows().drop("_number").schema))
+        if keyed.groupBy(self.key).count().where("count > 1").isEmpty():
+            return keyed
+        return keyed.groupBy(self._safe().alias("_key")).agg(F.min(F.struct(*keyed.columns)).alias("_row")).select("_row.*")
 
     def new(self, rows: DataFrame) -> DataFrame:
         """The rows whose key isn't stored."""
-        return rows.join(self.read().select(self.key), self.key, "left_anti")
+        known = self._rows().select(self._safe().alias("_key"))
+        return rows.withColumn("_key", self._safe()).join(known, "_key", "left_anti").drop("_key")
 
     def add(self, rows: DataFrame) -> None:
-        """Appends those that are new; run again, it adds nothing."""
-        self._next(self.read().unionByName(self.new(rows)), "overwrite")
+        """Appends those that are new, one for each key; run again, it adds nothing."""
+        self._append(self._each(self.new(rows)), 0)
 
     def upsert(self, rows: DataFrame) -> None:
-        """Rows whose key is stored take the stored ones' place."""
-        self._next(upsert(self.read(), rows, self.key), "overwrite")
+        """Rows whose key is stored take the stored ones' place; those that are stored as they are aren't written again."""
+        each = self._each(rows)
+        self._append(each.exceptAll(self.read().select(*each.columns)), (self._rows().agg(F.max("_number")).first()[0] or 0) + 1)
+
+    def _append(self, rows: DataFrame, number: int) -> None:
+        if not rows.isEmpty():
+            rows.withColumn("_number", F.lit(number).cast("long")).write.mode("append").parquet(self.path)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
