@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import chunk
+from ..operators import chunk, provenance
 from ..sources.tables import Store, headings, read_chunks, scratch, table, write_chunks
 from .registry import PARTS, query
 from .text_queries import _HTML, _SANE, CORRUPT_SQL, T, W, corrupted, uuid5_sql
@@ -223,6 +223,27 @@ def parent_of_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).join(merged, ["doc_id", "page"]).select("chunk_id", "label")
 
 
+PARTS["text_lines"] = "SELECT doc_id, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE length(text) > 0)"
+PARTS["page_ranges"] = f"""SELECT *, stop - size AS start FROM (SELECT *, sum(size) OVER (PARTITION BY doc_id ORDER BY page)::BIGINT AS stop FROM (
+SELECT doc_id, i // {provenance.LINES} AS page, sum(length(line) + 1)::BIGINT AS size, left(arg_min(line, i), {provenance.HEADING}) AS heading FROM text_lines GROUP BY ALL))"""
+
+
+@query("""SELECT n.doc_id, n.chunk_id, min(p.page) AS first_page, max(p.page) AS last_page, arg_min(p.heading, p.page) AS heading FROM numbered n JOIN page_ranges p
+ON p.doc_id = n.doc_id AND p.start < n.idx * 850 + length(n.chunk) AND n.idx * 850 < p.stop GROUP BY n.doc_id, n.chunk_id""")
+def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with the pages and the heading that it lies on."""
+    start = F.col("idx") * (chunk.SIZE - chunk.OVERLAP)
+    placed = chunks(spark, sf_dir).select("doc_id", "chunk_id", start.alias("start"), (start + F.length("chunk")).alias("stop"))
+    return provenance.located(placed, provenance.page_ranges(docs(spark, sf_dir)))
+
+
+@query("SELECT doc_id, coalesce(length(trim(text)), 0) AS n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM chunks WHERE trim(chunk) <> '')")
+def recognise_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents from whose text no chunk came: their pages must be recognised from the image."""
+    some = chunk.fixed(docs(spark, sf_dir)).where(F.trim("chunk") != "").select("doc_id").distinct()
+    return docs(spark, sf_dir).join(some, "doc_id", "left_anti").select("doc_id", F.coalesce(F.length(F.trim("text")), F.lit(0)).cast("long").alias("n_chars"))
+
+
 @query("""SELECT source AS key, count(*) AS total, count(*) FILTER (length(text) >= 500) AS with_text,
 count(*) FILTER (length(text) >= 500) < greatest(1, floor(count(*) * 0.1)) AS scanned FROM documents GROUP BY source""")
 def scanned_gate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import chunk, context, retrieve, understand
 from ..operators.term_index import TermIndex
 from ..sources.tables import Store, scratch, staged, table
 from ..streaming import ingest
-from .chunk_queries import TOKENS, chunks
+from .chunk_queries import PER_PARENT, TOKENS, chunks
 from .registry import PARTS, query
 from .text_queries import ROUTE_SQL, TERMS_SQL, TYPE_SQL, _docs, query_expand
 
@@ -200,21 +200,32 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reranked(spark, sf_dir).select("query_id", "id", "score", "rank")
 
 
-# A hit stands for its document's first page, or for page 99, which no parent has.
-PARTS["child_hits"] = "SELECT *, id AS doc_id, CASE WHEN id % 4 = 3 THEN 99 ELSE 0 END AS page FROM reranked"
+# A hit is placed on the page of its document that has most of the question's words, the first of equal ones.
+def _placed_sql(found: str) -> str:
+    share = f"len(list_intersect(list_distinct({E.format('h.question')}), {E.format('p.text')})) / greatest(len(list_distinct({E.format('h.question')})), 1)"
+    return f"""SELECT h.*, h.id AS doc_id, b.page FROM {found} h LEFT JOIN (SELECT query_id, id, page FROM (
+SELECT h.query_id, h.id, p.page, row_number() OVER (PARTITION BY h.query_id, h.id ORDER BY round({share}, 6) DESC, p.page) AS nth
+FROM {found} h JOIN parents p ON p.doc_id = h.id) WHERE nth = 1) b ON b.query_id = h.query_id AND b.id = h.id"""
+
+
+PARTS["child_hits"] = _placed_sql("reranked")
+PARTS["first_hits"] = _placed_sql(f"(SELECT * FROM hits WHERE rank <= {RERANKED})")
 PARTS["expanded"] = """SELECT c.*, CASE WHEN length(p.text) > 0 THEN p.text ELSE c.text END AS final_text, p.text IS NOT NULL AS has_parent
 FROM child_hits c LEFT JOIN parents p ON p.doc_id = c.doc_id AND p.page = c.page"""
 
 
 def expanded(spark: SparkSession, sf_dir: str, strict: bool = False, found: DataFrame | None = None) -> DataFrame:
-    found = _placed(reranked(spark, sf_dir, found))
-    return context.expand_to_parents(found, chunk.parents(chunks(spark, sf_dir, found)), strict)
+    return context.expand_to_parents(*_placed(spark, sf_dir, reranked(spark, sf_dir, found)), strict)
 
 
-def _placed(found: DataFrame) -> DataFrame:
-    """Hits with the page that they stand for; staged, since the pages of their documents alone are built."""
-    page = F.when(F.col("id") % 4 == 3, 99).otherwise(0).cast("long")
-    return staged(found.withColumn("doc_id", F.col("id")).withColumn("page", page), "hits")
+def _placed(spark: SparkSession, sf_dir: str, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits with the page that they lie on, null without one; the pages of their documents, of which alone pages are built)."""
+    found = staged(found.withColumn("doc_id", F.col("id")), "hits")
+    pages = staged(chunk.parents(chunks(spark, sf_dir, found)), "pages")
+    shown = found.select("query_id", "doc_id", "question").join(pages.select("doc_id", "page", "text"), "doc_id")
+    order = F.struct(retrieve.overlap(F.col("question"), F.col("text")), -F.col("page"))
+    best = shown.groupBy("query_id", "doc_id").agg(F.max_by("page", order).alias("page"))
+    return found.join(best, ["query_id", "doc_id"], "left"), pages
 
 
 @query("SELECT query_id, rank, md5(final_text) AS md5 FROM expanded")
@@ -226,13 +237,23 @@ def parent_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE has_parent OR (NOT any_hit AND rank <= 5)""")
 def parent_expand_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only hits with a parent; a query without any keeps its first five as they are."""
-    found = _placed(reranked(spark, sf_dir))
-    pages = chunk.parents(chunks(spark, sf_dir, found)).select("doc_id", "page", F.col("text").alias("parent"))
-    joined = found.join(pages, ["doc_id", "page"], "left").withColumn("has", F.col("parent").isNotNull())
+    found, pages = _placed(spark, sf_dir, reranked(spark, sf_dir))
+    joined = found.join(pages.select("doc_id", "page", F.col("text").alias("parent")), ["doc_id", "page"], "left").withColumn("has", F.col("parent").isNotNull())
     some = F.max("has").over(Window.partitionBy("query_id"))
     return joined.withColumn("some", some).where("has or (not some and rank <= 5)").select("query_id", "rank", F.md5(F.coalesce("parent", "text")).alias("md5"))
 
 
+@query(f"""SELECT h.query_id, h.rank, p.label, md5(p.text) AS md5 FROM child_hits h JOIN (
+SELECT doc_id, min(page) AS a, max(page) AS b, min(page) || '-' || max(page) AS label, string_agg(text, ' ' ORDER BY page) AS text FROM (
+SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1) // {PER_PARENT} AS batch FROM parents) GROUP BY doc_id, batch) p
+ON p.doc_id = h.doc_id AND h.page BETWEEN p.a AND p.b""")
+def merged_parent_of_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged parent that a hit's page belongs to, whichever of its pages that is."""
+    found, pages = _placed(spark, sf_dir, reranked(spark, sf_dir))
+    merged = chunk.by_page(chunk.merged_pages(pages, PER_PARENT)).select("doc_id", "page", "label", F.col("text").alias("merged"))
+    return found.join(merged, ["doc_id", "page"]).select("query_id", "rank", "label", F.md5("merged").alias("md5"))
+
+
 PARTS["distinct_texts"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, final_text ORDER BY rank) AS nth FROM expanded) WHERE nth = 1"
 
 
@@ -276,13 +297,14 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("query_id", F.md5(made).alias("md5"))
 
 
-@query(f"""SELECT query_id, 'child' AS chunk_type, doc_id || '::page' || page AS source_key, rrf AS score FROM (SELECT *, id AS doc_id, CASE WHEN id % 4 = 3 THEN 99 ELSE 0 END AS page FROM hits WHERE rank <= {RERANKED})
-UNION ALL SELECT DISTINCT query_id, 'parent', p.doc_id || '::page' || p.page, NULL FROM (SELECT *, CASE WHEN id % 4 = 3 THEN 99 ELSE 0 END AS page FROM hits WHERE rank <= {RERANKED}) h JOIN parents p ON p.doc_id = h.id AND p.page = h.page""")
+@query("""SELECT query_id, 'child' AS chunk_type, doc_id || '::page' || page AS source_key, rrf AS score FROM first_hits WHERE page IS NOT NULL
+UNION ALL SELECT DISTINCT query_id, 'parent', doc_id || '::page' || page, NULL FROM first_hits WHERE page IS NOT NULL""")
 def retrieve_full_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Children, then the parents that they belong to, told apart by type."""
+    """Children, then the parents that they belong to, told apart by type; hits without a page are left out."""
     key = F.concat(F.col("doc_id").cast("string"), F.lit("::page"), F.col("page").cast("string")).alias("source_key")
-    child = _placed(hits(spark, sf_dir, RERANKED))
-    parent = child.select("query_id", "doc_id", "page").distinct().join(chunks(spark, sf_dir, child).select("doc_id", "page").distinct(), ["doc_id", "page"])
+    found, pages = _placed(spark, sf_dir, hits(spark, sf_dir, RERANKED))
+    child = found.where("page is not null")
+    parent = child.select("query_id", "doc_id", "page").distinct().join(pages.select("doc_id", "page"), ["doc_id", "page"], "left_semi")
     return child.select("query_id", F.lit("child").alias("chunk_type"), key, F.col("rrf").alias("score")).unionByName(
         parent.select("query_id", F.lit("parent").alias("chunk_type"), key), allowMissingColumns=True
     )
