@@ -9,8 +9,8 @@ Documents with the same prefix and size are one group. Groups that share a prefi
 size and by the places of the shingle, and only then expanded to members, whose whole sets are compared.
 
 What keeps it linear where many documents are alike: equal sets are one class from the start. Buckets of more
-than ``SMALL`` groups pair each group with its first fitting one, then, twice, with the first fitting one of another
-component; only groups whose components still differ after that are compared each with each. All links found
+than ``SMALL`` groups try each group with its first fitting one and ``TRIED`` others, and again, as long as that finds
+links, with others of another component; only groups whose components still differ after that are compared each with each. All links found
 count for components, and no pair of different components goes uncompared, so the components are those of all links.
 
 How often a shingle occurs is counted over all documents, by 32-bit slots of the hashes, two bytes each. The at
@@ -41,6 +41,8 @@ WORDS = 4
 SIMILAR = 85
 #: Groups of one shingle up to which all pairs are taken at once.
 SMALL = 8
+#: In larger ones, how many others each group is tried with, and how far apart, time after time.
+TRIED, STRIDES = 8, (1, 3, 31, 211)
 #: Occurrences from which a slot of shingles counts as frequent, and how many such slots are used.
 FREQUENT, MOST_HOT = 4, 1 << 22
 #: Compared classes whose keys are broadcast to find their texts, and pairs that are broadcast to their sets.
@@ -295,37 +297,33 @@ def _fits(na: np.ndarray, pos_a: np.ndarray, nb: np.ndarray, pos_b: np.ndarray)
     return (100 + SIMILAR) * most >= SIMILAR * (na + nb)
 
 
-def bucket_pairs(n: np.ndarray, pos: np.ndarray, label: np.ndarray | None, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places of one bucket, whose groups are sorted by size.
+def bucket_pairs(n: np.ndarray, pos: np.ndarray, label: np.ndarray | None, stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of one bucket, whose groups are sorted by size: those that fit and aren't of one label (0: of several).
 
-    ``every``: all that fit and aren't of one label. Else each one and its first fitting one, or, with labels (null: 0),
-    the first fitting one of another label.
+    With a ``stride``, each group's first fitting one and ``TRIED`` others at multiples of it, else all.
     """
     k = len(n)
-    if every:
-        parts = []
+    parts = []
+
+    def take(i: np.ndarray, j: np.ndarray) -> None:
+        near = (i != j) & _fits(n[i], pos[i], n[j], pos[j])
+        if label is not None:
+            near &= (label[i] != label[j]) | (label[i] == 0)
+        parts.append((np.minimum(i[near], j[near]), np.maximum(i[near], j[near])))
+
+    if stride:
+        all_ = np.arange(k)
+        take(np.searchsorted(100 * n, SIMILAR * n), all_)
+        for d in range(1, TRIED + 1):
+            take(all_, (all_ + d * stride) % k)
+    else:
         for a in range(0, k, 512):
             i, j = np.nonzero(np.arange(a, min(a + 512, k))[:, None] < np.arange(k)[None, :])
-            i += a
-            near = _fits(n[i], pos[i], n[j], pos[j])
-            if label is not None:
-                near &= (label[i] != label[j]) | (label[i] == 0)
-            parts.append((i[near], j[near]))
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-    j = np.arange(k)
-    i = np.searchsorted(100 * n, SIMILAR * n)
-    if label is not None:
-        last = np.concatenate((np.flatnonzero(label[1:] != label[:-1]), [k - 1]))
-        other = last[np.searchsorted(last, i)] + 1  # the first one after i with another label than i's
-        i = np.where((label[i] == label[j]) & (label[i] != 0), other, i)
-    ok = (i < k) & (i != j)
-    i, j = i[ok], j[ok]
-    i, j = np.minimum(i, j), np.maximum(i, j)
-    near = _fits(n[i], pos[i], n[j], pos[j])
-    return i[near], j[near]
-
-
-def _buckets(every: bool, first: bool, few: int) -> Callable:
+            take(i + a, j)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _buckets(stride: int, first: bool, few: int) -> Callable:
     """Rows (token, gid, n, pos, label) arrive sorted by token and size; gives pairs of groups.
 
     The first time, buckets of up to ``few`` rows give all pairs and larger ones their rows as well, for the next times.
@@ -346,7 +344,7 @@ def _buckets(every: bool, first: bool, few: int) -> Callable:
             b.append(i[near] + d)
         large, crowd = np.zeros(len(token), bool), np.repeat(size > HOT, size)
         for s, e in zip(start[~small], end[~small], strict=True):
-            i, j = bucket_pairs(n[s:e], pos[s:e], None if first else label[s:e], every)
+            i, j = bucket_pairs(n[s:e], pos[s:e], None if first else label[s:e], stride)
             a.append(i + s)
             b.append(j + s)
             large[s:e] = True
@@ -384,9 +382,9 @@ def _buckets(every: bool, first: bool, few: int) -> Callable:
 PAIRS = "kind int, a long, b long, n long, pos long"
 
 
-def _paired(rows: DataFrame, every: bool = False, first: bool = False) -> DataFrame:
+def _paired(rows: DataFrame, stride: int, first: bool = False) -> DataFrame:
     sorted_rows = rows.select("token", "gid", "n", "pos", "label").repartition("token").sortWithinPartitions("token", "n", "gid")
-    return mapped(sorted_rows, _buckets(every, first, SMALL), PAIRS)
+    return mapped(sorted_rows, _buckets(stride, first, SMALL), PAIRS)
 
 
 def _with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -444,7 +442,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     )
     tokens = rows.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     none = F.lit(0).cast("long").alias("label")
-    found = staged(_paired(tokens.select("token", "gid", "n", F.col("pos").cast("long").alias("pos"), none), first=True), "group-pairs")
+    found = staged(_paired(tokens.select("token", "gid", "n", F.col("pos").cast("long").alias("pos"), none), STRIDES[0], first=True), "group-pairs")
     as_pairs = lambda d: d.where("kind = 0").groupBy("a", "b").agg(F.max("n").alias("hot"))
     large = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("gid"), "n", "pos")
     groups = staged(classes.groupBy("gid").agg(F.min("sid").alias("lead"), F.count(F.lit(1)).alias("k")), "groups")
@@ -470,17 +468,19 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
     edges = staged(_verified(tried, whole), "links")
     label = _labels(classes, edges)
 
-    def again(more: DataFrame) -> None:
-        """Compares those of the pairs of classes that weren't compared and have different labels yet."""
+    def again(more: DataFrame) -> bool:
+        """Compares those of the pairs of classes that weren't compared before; tells whether some link."""
         nonlocal tried, edges, label
         new = staged(_distinct(more).join(tried, ["a", "b"], "left_anti"), "tried")
         if new.isEmpty():
-            return
+            return False
         linked = staged(_verified(new, whole), "links")
         tried = tried.union(new)
-        if not linked.isEmpty():
-            edges = edges.union(linked)
-            label = _labels(classes, edges)
+        if linked.isEmpty():
+            return False
+        edges = edges.union(linked)
+        label = _labels(classes, edges)
+        return True
 
     def labelled_rows() -> DataFrame:
         """The large buckets' rows, labelled where all members of the group have one label."""
@@ -488,9 +488,10 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFr
         return large.join(one, "gid").select("token", "gid", "n", "pos", F.when(F.expr("low = high and low <> 0"), F.col("low")).otherwise(F.lit(0).cast("long")).alias("label"))
 
     if not large.isEmpty():
-        for _ in range(2):
-            again(leads(as_pairs(_paired(labelled_rows()))))
-        pairs = staged(pairs.union(as_pairs(_paired(labelled_rows(), every=True))).groupBy("a", "b").agg(F.max("hot").alias("hot")), "pairs")
+        for stride in STRIDES[1:]:
+            if not again(leads(as_pairs(_paired(labelled_rows(), stride)))):
+                break
+        pairs = staged(pairs.union(as_pairs(_paired(labelled_rows(), 0))).groupBy("a", "b").agg(F.max("hot").alias("hot")), "pairs")
     # Expansion: members of paired groups, and of one group, that are in different components as yet.
     mixed = label.groupBy("gid").agg((F.min("label") != F.max("label")).alias("mixed"), F.min("label").alias("one"))
     at = lambda c: mixed.select(F.col("gid").alias(c), F.col("mixed").alias(f"{c}_mixed"), F.col("one").alias(f"{c}_one"))
