@@ -89,7 +89,9 @@ HUGE = re.compile(r"&#(?:0*+[0-9]{9,}|[xX]0*+[0-9a-fA-F]{9,});?")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 SHOWS = re.compile(r"(?:^|;)\s*visibility\s*:\s*visible\b", re.I)
+#: What HTML collapses; no-break and other spaces stay as they are.
 BLANK = " \t\n\r\f"
+WORDS = re.compile(r"[^ \t\n\r\f]+")
 
 
 @dataclass(slots=True)
@@ -278,13 +280,13 @@ class Flow:
         self.blank = False
 
     def text(self, data: str) -> None:
-        parts = data.split()
-        if data[:1].isspace() and not self.fresh:
+        parts = WORDS.findall(data)
+        if data and data[0] in BLANK and not self.fresh:
             self.blank = True
         if parts:
             self._lead()
             self.out.append(" ".join(parts))
-            self.blank = data[-1:].isspace()
+            self.blank = data[-1] in BLANK
 
     def literal(self, line: str) -> None:
         if line:

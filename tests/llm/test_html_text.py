@@ -159,3 +159,8 @@ def test_a_megabyte_of_open_tags_takes_no_second():
     began = time.process_time()
     assert html_to_text("<a" * 500_000) == "<a" * 500_000
     assert time.process_time() - began < 1
+
+
+def test_only_html_blanks_collapse():
+    assert html_to_text("<p>a&nbsp;&nbsp;&nbsp;b \n\t c\u3000\u3000d</p>") == "a\xa0\xa0\xa0b c\u3000\u3000d"
+    assert html_to_text("<p>a&nbsp;<b>b</b> &nbsp; c</p><p></p>") == "a\xa0b \xa0 c"
