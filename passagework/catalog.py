@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import chunk_queries, retrieval_queries, text_queries
+from .plans import chunk_queries, event_queries, retrieval_queries, text_queries
 from .plans.registry import QUERIES, SQL, Query, whole
 
-__all__ = ["chunk_queries", "oracle_sql", "queries", "retrieval_queries", "text_queries"]
+__all__ = ["chunk_queries", "event_queries", "oracle_sql", "queries", "retrieval_queries", "text_queries"]
 
 
 def queries() -> dict[str, Query]:
