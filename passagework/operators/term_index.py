@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN, tokens
 from ..shipping import ship
-from ..sources.tables import one_each, stored
+from ..sources.tables import one_each, staged, stored
 from .retrieve import B, K1, ranked, term_counts
 
 BLOCK = 1024
 BUCKETS = 64
+#: Terms of questions, or blocks to read, of about 50 bytes each, up to which they are broadcast.
+BROADCAST = 1_000_000
 #: What rounding may move a score by.
 SLACK = 1e-3
 
@@ -75,6 +77,11 @@ def _weight(tf: Column, dl: Column, mean: float) -> Column:
     return F.round(tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * dl / F.lit(mean))), 6)
 
 
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    """Rows that are few enough go to every task, so that the index stays where it is; others are shuffled with it."""
+    return F.broadcast(rows) if n <= BROADCAST else rows
+
+
 class TermIndex:
     """The index in the folder ``path``, which may be remote; ``buckets`` must be the same for all additions."""
 
@@ -130,9 +137,9 @@ class TermIndex:
         tf, dl = F.col("tf"), F.col("dl")
         asked = term_counts(queries, "query_id").select("query_id", "term", _weight(tf, dl, mean).alias("wq"), self._bucket().alias("bucket"))
         # The buckets are a bounded list, and so prune folders when the plan is made.
-        used = [r[0] for r in asked.select("bucket").distinct().collect()]
-        stored = self.blocks().where(F.col("bucket").isin(used))
-        heads = asked.join(stored.select("batch", "bucket", "term", "block", "n", "max_tf", "min_tf", "min_dl", "max_dl"), ["bucket", "term"])
+        per = asked.groupBy("bucket").count().collect()
+        stored = self.blocks().where(F.col("bucket").isin([r[0] for r in per]))
+        heads = _sent(asked, sum(r[1] for r in per)).join(stored.select("batch", "bucket", "term", "block", "n", "max_tf", "min_tf", "min_dl", "max_dl"), ["bucket", "term"])
         if idf:
             df = F.sum("n").over(Window.partitionBy("query_id", "term"))
             heads = heads.withColumn("df", df).withColumn("factor", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -146,12 +153,13 @@ class TermIndex:
         terms = bounded.withColumn("kth", kth).groupBy("query_id", "term").agg(F.max("most").alias("top"), F.max("kth").alias("kth"))
         limits = terms.groupBy("query_id").agg(F.sum("top").alias("all"), F.max("kth").alias("kth"))
         reach = F.col("all") - F.col("top") + F.col("most")
-        kept = (
+        kept = staged(
             bounded.join(terms.select("query_id", "term", "top"), ["query_id", "term"]).join(limits, "query_id")
-            .where(reach >= F.col("kth") - SLACK).select("query_id", "wq", "factor", "batch", "bucket", "term", "block")
+            .where(reach >= F.col("kth") - SLACK).select("query_id", "wq", "factor", "batch", "bucket", "term", "block"),
+            "blocks",
         )
         lists = stored.select("batch", "bucket", "term", "block", "ids", "tfs", "dls")
-        found = kept.join(lists, ["batch", "bucket", "term", "block"]).select("query_id", "wq", "factor", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+        found = _sent(kept, kept.count()).join(lists, ["batch", "bucket", "term", "block"]).select("query_id", "wq", "factor", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
         product = F.col("wq") * _weight(F.col("p.tfs"), F.col("p.dls"), mean) * F.col("factor")
         scored = found.select("query_id", F.col("p.ids").alias("id"), product.alias("x")).groupBy("query_id", "id").agg(F.round(F.sum("x"), 6).alias("score"))
         return ranked(scored, k)

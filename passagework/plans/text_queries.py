@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import understand
+from ..operators import language_model, understand
 from ..sources.tables import html_text, path_language, table
-from .registry import query
+from .registry import PARTS, query
 
 W = text.BLANK
 T = text.TOKEN
@@ -248,6 +248,55 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir).select("conv_id", "turn", understand.language(F.col("text")).alias("language"))
 
 
+#: Documents by a digest of their id: a quarter is held out of what the language model learns from.
+HELD_OUT = "left(md5({}), 1) IN ('0', '1', '2', '3')"
+
+
+def _trigrams_sql(table_: str, cols: str) -> str:
+    return f"""SELECT DISTINCT r, {cols}, unnest(list_transform(range(1, length(w) + 1), lambda i: substring('_' || w || '_', i::INTEGER, 3))) AS g
+FROM (SELECT *, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '{T}'))) AS w FROM {table_})"""
+
+
+PARTS["lang_rows"] = f"SELECT doc_id AS r, doc_id, text, lang, {HELD_OUT.format('doc_id::VARCHAR')} AS held_out FROM documents"
+PARTS["lang_sizes"] = "SELECT lang, count(*) AS n FROM lang_rows WHERE NOT held_out AND text IS NOT NULL AND lang IS NOT NULL GROUP BY lang"
+PARTS["lang_grams"] = _trigrams_sql("lang_rows", "lang, held_out")
+PARTS["lang_counts"] = "SELECT lang, g, count(*) AS c FROM lang_grams WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g"
+PARTS["lang_weights"] = """SELECT k.g, s.lang, ln((coalesce(c.c, 0) + 0.5e0) / (s.n + 1e0)) AS w FROM (SELECT DISTINCT g FROM lang_counts) k CROSS JOIN lang_sizes s
+LEFT JOIN lang_counts c ON c.g = k.g AND c.lang = s.lang"""
+
+
+def _best_sql(rows: str, grams: str, shown: str) -> str:
+    return f"""SELECT {shown}, lang AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, lang) AS nth FROM (
+SELECT * EXCLUDE (sw), round(coalesce(sw, 0) + ln(n / (SELECT sum(n) FROM lang_sizes)), 6) AS score FROM (
+SELECT q.* EXCLUDE (lang, text), s.lang, s.n, sw FROM {rows} q CROSS JOIN lang_sizes s
+LEFT JOIN (SELECT g.r, w.lang, sum(w.w) AS sw FROM {grams} g JOIN lang_weights w ON w.g = g.g GROUP BY g.r, w.lang) x ON x.r = q.r AND x.lang = s.lang))) WHERE nth = 1"""
+
+
+PARTS["said_rows"] = "SELECT conv_id || ':' || turn AS r, conv_id, turn, text, NULL AS lang FROM conversations WHERE role = 'user'"
+PARTS["said_grams"] = _trigrams_sql("said_rows", "conv_id")
+PARTS["said_lang"] = _best_sql("said_rows", "said_grams", "r, conv_id, turn")
+
+
+def language_model_of(spark: SparkSession, sf_dir: str) -> language_model.Model:
+    return language_model.learned(_docs(spark, sf_dir).where(f"NOT ({HELD_OUT.format('cast(doc_id AS string)')})"))
+
+
+@query(_best_sql("lang_rows", "lang_grams", "doc_id, held_out"))
+def language_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by the model, which learns from three quarters of them."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.expr(HELD_OUT.format("cast(doc_id AS string)")).alias("held_out"), "text")
+    return language_model.identified(rows, language_model_of(spark, sf_dir))
+
+
+@query(rf"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[\x{{0C00}}-\x{{0C7F}}]') THEN 'Telugu'
+WHEN list_has_any(regexp_extract_all(lower(text), '{T}'), [{_ROMAN}]) THEN 'Telugu' ELSE predicted END AS language FROM said_rows JOIN said_lang USING (r, conv_id, turn)""")
+def detect_language_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By script, then by romanised words, then by the model."""
+    said = _asked(spark, sf_dir).select("conv_id", "turn", "text", understand.language(F.col("text"), F.lit(None)).alias("sure"))
+    found = language_model.identified(said, language_model_of(spark, sf_dir))
+    return found.select("conv_id", "turn", F.coalesce("sure", "predicted").alias("language"))
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'user'")
 
