@@ -78,8 +78,8 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
         return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
 
-def _cell(keep, same: bool):
-    """Cosines of the cell's queries and vectors as one product; only what ``keep`` marks becomes rows."""
+def _cell(keep):
+    """Cosines of the cell's queries and vectors, all of one length, as one product; only what ``keep`` marks becomes rows."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, q_ids = right["id"].to_numpy(), left["query_id"].to_numpy()
@@ -88,11 +88,7 @@ def _cell(keep, same: bool):
             q, v, parts = _unit(left["q"]), _unit(right["v"]), []
             for a in range(0, len(q), 256):
                 score = np.round(q[a : a + 256] @ v.T, 6)
-                out = q_ids[a : a + 256, None] == ids[None, :]
-                if same:
-                    names = np.asarray(left["same"][a : a + 256].to_pylist(), object)[:, None], np.asarray(right["same"].to_pylist(), object)[None, :]
-                    out |= ~((names[0] == names[1]) & (names[0] != None))  # noqa: E711
-                score[out | np.isnan(score)] = -np.inf
+                score[(q_ids[a : a + 256, None] == ids[None, :]) | np.isnan(score)] = -np.inf
                 i, j = np.nonzero(keep(score) & (score > -np.inf))
                 parts.append((q_ids[a + i], ids[j], score[i, j]))
             found = [np.concatenate(x) for x in zip(*parts, strict=True)]
@@ -105,7 +101,9 @@ def cosines(queries: DataFrame, vectors: DataFrame, keep, same: str | None = Non
     """query_id, id, score of the pairs that ``keep`` marks in a matrix of scores, whose rows are queries.
 
     Queries and vectors are dealt over a grid of bounded cells, which meet by equality: a query is sent to every
-    group of vectors, a vector to every group of queries. ``same`` names a column that must agree.
+    group of vectors, a vector to every group of queries. ``same`` names a column that must agree; it and the vectors' length are
+    part of a cell's key, so other labels and lengths are never multiplied. Vectors that are null or empty, hold a null, a NaN or an
+    infinite part, or have no length, and rows without an id or label take no part.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -114,11 +112,14 @@ def cosines(queries: DataFrame, vectors: DataFrame, keep, same: str | None = Non
     down, across = max(1, -(-m // QUERIES)), max(1, -(-n // VECTORS), min(2 * cores, -(-n // 1024)))
     group = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    named = [F.col(same).cast("string").alias("same")] if same else []
-    whole = lambda v: F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull())
-    left = queries.where(whole("q")).select("query_id", "q", *named, group("query_id", down).alias("row"), every(across).alias("column"))
-    right = vectors.where(whole("v")).select("id", "v", *named, every(down).alias("row"), group("id", across).alias("column"))
-    return left.groupBy("row", "column").cogroup(right.groupBy("row", "column")).applyInArrow(_cell(keep, bool(same)), "query_id long, id long, score double")
+    label = (F.col(same).cast("string") if same else F.lit("")).alias("_label")
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    whole = lambda v, key: (F.size(v) > 0) & ~F.exists(v, odd) & F.exists(v, lambda x: x != 0) & F.col(key).isNotNull()
+    left = queries.where(whole("q", "query_id")).select("query_id", "q", label, F.size("q").alias("_length"), group("query_id", down).alias("row"), every(across).alias("column"))
+    right = vectors.where(whole("v", "id")).select("id", "v", label, F.size("v").alias("_length"), every(down).alias("row"), group("id", across).alias("column"))
+    cell = ["row", "column", "_length", "_label"]
+    left, right = (d.where("_label is not null") for d in (left, right))
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_cell(keep), "query_id long, id long, score double")
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, same: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from ..sources.tables import Store, scratch, staged, table
 from ..streaming import ingest
 from .chunk_queries import PER_PARENT, TOKENS, chunks
 from .registry import PARTS, query
-from .text_queries import ROUTE_SQL, TERMS_SQL, TYPE_SQL, _docs, query_expand
+from .text_queries import EXPAND_SQL, ROUTE_SQL, TERMS_SQL, TYPE_SQL, _docs, query_expand
 
 K, FUSED, RERANKED = 10, 10, 4
 E = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
@@ -141,15 +141,22 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir).select("query_id", "id", "rrf", F.md5("text").alias("md5"))
 
 
-PARTS["unioned"] = """SELECT query_id, sub_query, id, rank FROM (
-SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY sub_query, rank) AS nth FROM (
-SELECT query_id, 0::BIGINT AS sub_query, id, rank FROM dense UNION ALL SELECT query_id, 1, id, rank FROM sparse)) WHERE nth = 1"""
+PARTS["sub_queries"] = EXPAND_SQL
+PARTS["sub_postings"] = f"""SELECT query_id, sub_query, term, {_WEIGHT} AS wq FROM (
+SELECT query_id, sub_query, dl, term, count(*) AS tf FROM (SELECT query_id, sub_query, len(t) AS dl, unnest(t) AS term FROM (SELECT query_id, sub_query, {TOKENS} AS t FROM sub_queries)) GROUP BY ALL), mean"""
+PARTS["sub_sparse"] = f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, sub_query ORDER BY score DESC, id) AS rank FROM (
+SELECT query_id, sub_query, doc_id AS id, round(sum(wq * weight), 6) AS score FROM sub_postings JOIN postings USING (term) GROUP BY ALL)) WHERE rank <= {K}"""
+PARTS["sub_fused"] = """SELECT *, row_number() OVER (PARTITION BY query_id, sub_query ORDER BY rrf DESC, d ASC NULLS LAST, s ASC NULLS LAST, id) AS rank FROM (
+SELECT query_id, sub_query, id, max(d) AS d, max(s) AS s, round(coalesce(1e0 / (60 + max(d)), 0e0) + coalesce(1e0 / (60 + max(s)), 0e0), 9) AS rrf FROM (
+SELECT query_id, sub_query, id, rank AS d, NULL AS s FROM dense JOIN (SELECT query_id, max(sub_query) AS sub_query FROM sub_queries GROUP BY query_id) USING (query_id)
+UNION ALL SELECT query_id, sub_query, id, NULL, rank FROM sub_sparse) GROUP BY query_id, sub_query, id)"""
+PARTS["unioned"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY sub_query, rank) AS nth FROM sub_fused) WHERE nth = 1"
 
 
 @query("SELECT query_id, sub_query, id FROM unioned")
 def multi_query_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda d, n: d.select("query_id", F.lit(n).cast("long").alias("sub_query"), "id", "rank")
-    return retrieve.union_subqueries(one(dense_topk(spark, sf_dir), 0).union(one(sparse_topk(spark, sf_dir), 1))).select("query_id", "sub_query", "id")
+    """The rewritten and the original question are searched, their results united."""
+    return searched(spark, sf_dir).select("query_id", "sub_query", "id")
 
 
 @query(f"""SELECT query_id, id FROM (SELECT *, bool_or(hit) OVER (PARTITION BY query_id) AS any_hit FROM (
