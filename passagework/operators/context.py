@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# What stands between pages, the length from which contexts are compressed, the answer without a context.
 PAGE_BREAK = "\n\n===== PAGE BREAK =====\n\n"
 MAX_CONTEXT = 6000
 NOTHING = "No relevant information found."

@@ -7,7 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids, text
+from ..functions import ids, sql, text
 from ..operators import chunk, provenance
 from ..sources.tables import Store, headings, read_chunks, scratch, table, write_chunks
 from .registry import PARTS, query
@@ -405,4 +405,17 @@ def sanitized_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("doc_id", text.sanitize(F.col("chunk")).alias("t")).where("length(t) > 0").select("doc_id", F.md5("t").alias("md5"))
 
 
+@query(f"""SELECT lang, left(md5(lower(source || '::' || doc_id)), 12) AS key, idx, md5({_SANE.replace('text', 'chunk')}) AS md5,
+len(regexp_extract_all(lower(chunk), '{T}')) AS n_tokens FROM chunks""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks, their keys and tokens by the session's SQL functions."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT lang, passage_key(source, CAST(doc_id AS STRING)) AS key, c.idx, md5(passage_sanitize(c.chunk)) AS md5,
+        CAST(size(passage_tokens(c.chunk)) AS BIGINT) AS n_tokens
+        FROM (SELECT *, passage_chunks(text, 1000, 150) AS made FROM {docs}) LATERAL VIEW inline(made) c AS idx, chunk""",
+        docs=docs(spark, sf_dir),
+    )
+
+
 TOKENS = f"regexp_extract_all(lower(coalesce(text, '')), '{T}')"
