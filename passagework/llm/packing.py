@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import mapped, staged
 from .tokens import default_path, encoder
 
+#: Characters encoded together: fewer than elsewhere, since packing shares its executor with what a pipeline has left in memory.
+AT_ONCE = 6_000_000
 LENGTH = 1024
 #: Pieces that a task packs at once, and bins in a group: bounds on memory.
 GROUP = 100_000
@@ -92,7 +94,7 @@ def _tokenize_and_pack(path: str, length: int):
 
         for batch in batches:
             texts = (t.as_py() for t in batch.column(1))
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts, AT_ONCE), strict=True):
                 for k, (start, n) in enumerate(cut(len(ids), length)):
                     rows.append((doc, k, start, n, zlib.crc32(ids[start : start + n])))
             if len(rows) >= GROUP:

@@ -132,8 +132,8 @@ class Encoder:
             cuts.append(m.start())
         return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
 
-    def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """The ids of each text in turn; none for a null or empty one."""
+    def encode_all(self, texts: Iterable[str | None], at_once: int = STEP) -> Iterator[np.ndarray]:
+        """The ids of each text in turn; none for a null or empty one. ``at_once`` characters are encoded together."""
         some, last, size, parts = [], [], 0, []
 
         def step() -> Iterator[np.ndarray]:
@@ -151,7 +151,7 @@ class Encoder:
                 some.append(segment)
                 last.append(k == len(segments))
                 size += len(segment)
-                if size >= STEP:
+                if size >= at_once:
                     yield from step()
                     size = 0
         yield from step()
@@ -160,10 +160,10 @@ class Encoder:
         """The ids of ``text`` alone."""
         return next(self.encode_all([text])).tobytes()
 
-    def documents(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    def documents(self, texts: Iterable[str | None], at_once: int = STEP) -> Iterator[np.ndarray]:
         """The ids of each document: its text's, then the end id."""
         end = np.array([END_ID], "<u4")
-        for ids in self.encode_all(texts):
+        for ids in self.encode_all(texts, at_once):
             yield np.concatenate([ids, end])
 
 
