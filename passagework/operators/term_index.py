@@ -1,7 +1,7 @@
 """A stored term index: postings in blocks, by buckets of terms, that questions read without the texts.
 
 A block holds at most ``BLOCK`` postings of one term, the best ones first: ids, term frequencies and document lengths, and beside them the
-range of both. It is made inside a task from one batch of documents, so no term is ever gathered anywhere. Weights depend on the
+range of both. It is made inside a task from one batch of documents, its segment, which bears the name of its first one, so no term is ever gathered anywhere. Weights depend on the
 mean length of all documents, which changes as documents come, so blocks hold what weights are made of and
 bounds follow at reading.
 
@@ -39,7 +39,7 @@ BROADCAST = 1_000_000
 SLACK = 1e-3
 
 _HEAD = "term string, n int, max_tf int, min_tf int, min_dl int, max_dl int"
-_LISTS = "ids array<long>, tfs array<int>, dls array<int>"
+_LISTS = "segment long, ids array<long>, tfs array<int>, dls array<int>"
 _SCHEMA = f"{_HEAD}, {_LISTS}, block long, batch int, bucket int"
 
 
@@ -65,9 +65,10 @@ def _blocks(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             ints = lambda x: pa.array(x.astype(np.int32))
             length, over = dl[row], lambda f, x: ints(f.reduceat(x, start))
             lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(ids[row]), ints(tf), ints(length))]
+            segment = pa.array(np.full(len(start), ids[0]))
             heads = [ints(np.diff(np.append(start, len(term)))), over(np.maximum, tf), over(np.minimum, tf), over(np.minimum, length), over(np.maximum, length)]
             yield pa.RecordBatch.from_arrays(
-                [flat.dictionary.take(pa.array(term[start])), *heads, *lists], ["term", "n", "max_tf", "min_tf", "min_dl", "max_dl", "ids", "tfs", "dls"]
+                [flat.dictionary.take(pa.array(term[start])), *heads, segment, *lists], ["term", "n", "max_tf", "min_tf", "min_dl", "max_dl", "segment", "ids", "tfs", "dls"]
             )
 
     return run
@@ -158,8 +159,11 @@ class TermIndex:
             .where(reach >= F.col("kth") - SLACK).select("query_id", "wq", "factor", "batch", "bucket", "term", "block"),
             "blocks",
         )
-        lists = stored.select("batch", "bucket", "term", "block", "ids", "tfs", "dls")
-        found = _sent(kept, kept.count()).join(lists, ["batch", "bucket", "term", "block"]).select("query_id", "wq", "factor", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
+        # Blocks of one segment of documents meet in one task, and with them all that a document's score is made of.
+        sent, keys = _sent(kept, kept.count()), ["batch", "bucket", "term", "block"]
+        lists = stored.select(*keys, "segment", "ids", "tfs", "dls").join(sent, keys, "left_semi").repartition("segment")
+        found = lists.join(sent, keys).select("segment", "query_id", "wq", "factor", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p"))
         product = F.col("wq") * _weight(F.col("p.tfs"), F.col("p.dls"), mean) * F.col("factor")
-        scored = found.select("query_id", F.col("p.ids").alias("id"), product.alias("x")).groupBy("query_id", "id").agg(F.round(F.sum("x"), 6).alias("score"))
+        parts = found.select("segment", "query_id", F.col("p.ids").alias("id"), product.alias("x")).groupBy("segment", "query_id", "id")
+        scored = parts.agg(F.round(F.sum("x"), 6).alias("score")).drop("segment")
         return ranked(scored, k)
