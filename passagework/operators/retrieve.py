@@ -78,7 +78,26 @@ def _unit(column: pa.ChunkedArray) -> np.ndarray:
         return values / np.sqrt((values * values).sum(axis=1, keepdims=True))
 
 
-def _cell(keep):
+SCORED = "query_id long, id long, score double"
+
+
+def usable(v: Column, key: str) -> Column:
+    """A vector with a cosine: not empty, no null, NaN or infinite part, not of length nought, and with an id."""
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    return (F.size(v) > 0) & ~F.exists(v, odd) & F.exists(v, lambda x: x != 0) & F.col(key).isNotNull()
+
+
+def nearest(k: int):
+    """Marks each query's ``k`` best of a cell and what ties with the last of them."""
+
+    def best(score: np.ndarray) -> np.ndarray:
+        at = max(0, score.shape[1] - k)
+        return score >= np.partition(score, at, axis=1)[:, at : at + 1]
+
+    return best
+
+
+def cell_scores(keep):
     """Cosines of the cell's queries and vectors, all of one length, as one product; only what ``keep`` marks becomes rows."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -113,13 +132,11 @@ def cosines(queries: DataFrame, vectors: DataFrame, keep, same: str | None = Non
     group = lambda key, k: F.pmod(F.xxhash64(key), F.lit(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     label = (F.col(same).cast("string") if same else F.lit("")).alias("_label")
-    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    whole = lambda v, key: (F.size(v) > 0) & ~F.exists(v, odd) & F.exists(v, lambda x: x != 0) & F.col(key).isNotNull()
-    left = queries.where(whole("q", "query_id")).select("query_id", "q", label, F.size("q").alias("_length"), group("query_id", down).alias("row"), every(across).alias("column"))
-    right = vectors.where(whole("v", "id")).select("id", "v", label, F.size("v").alias("_length"), every(down).alias("row"), group("id", across).alias("column"))
+    left = queries.where(usable(F.col("q"), "query_id")).select("query_id", "q", label, F.size("q").alias("_length"), group("query_id", down).alias("row"), every(across).alias("column"))
+    right = vectors.where(usable(F.col("v"), "id")).select("id", "v", label, F.size("v").alias("_length"), every(down).alias("row"), group("id", across).alias("column"))
     cell = ["row", "column", "_length", "_label"]
     left, right = (d.where("_label is not null") for d in (left, right))
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(_cell(keep), "query_id long, id long, score double")
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(cell_scores(keep), SCORED)
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int, same: str | None = None) -> DataFrame:
@@ -127,12 +144,7 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int, same: str | None = Non
 
     A cell gives each query's k best and what ties with the last of them, so little is shuffled.
     """
-
-    def best(score: np.ndarray) -> np.ndarray:
-        at = max(0, score.shape[1] - k)
-        return score >= np.partition(score, at, axis=1)[:, at : at + 1]
-
-    return ranked(cosines(queries, vectors, best, same), k)
+    return ranked(cosines(queries, vectors, nearest(k), same), k)
 
 
 def hybrid(dense_list: DataFrame, sparse_list, limit: int | None = None) -> DataFrame:

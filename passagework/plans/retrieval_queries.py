@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import key_terms, tokens
 from ..operators import chunk, context, retrieve, understand
 from ..operators.term_index import TermIndex
+from ..operators.vector_index import VectorIndex
 from ..sources.tables import Store, scratch, staged, table
 from ..streaming import ingest
 from .chunk_queries import PER_PARENT, TOKENS, chunks
@@ -78,10 +79,14 @@ def sparse_topk_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_index(spark, sf_dir).search(asked(spark, sf_dir), K, idf=True)
 
 
+def _vectored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The questions that have a vector."""
+    own = asked(spark, sf_dir).select(F.col("query_id").alias("id"))
+    return vectors(spark, sf_dir).join(own, "id").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "label")
+
+
 def _dense(spark: SparkSession, sf_dir: str, same: str | None = None) -> DataFrame:
-    v = vectors(spark, sf_dir)
-    q = v.join(asked(spark, sf_dir).select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q"), "label")
-    return retrieve.dense(q, v, K, same)
+    return retrieve.dense(_vectored(spark, sf_dir), vectors(spark, sf_dir), K, same)
 
 
 @query("SELECT query_id, id, score, rank FROM dense")
@@ -94,12 +99,50 @@ def dense_topk_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir, "label")
 
 
+#: (Application, folder of tables) -> the cells of its vectors.
+_cells: dict[tuple[str, str], VectorIndex] = {}
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The stored index of the vectors: made by the first query that asks for it, brought up to date by the others."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _cells:
+        _cells[key] = VectorIndex(spark, scratch(spark, "cells")).fit(vectors(spark, sf_dir))
+    else:
+        _cells[key].add(vectors(spark, sf_dir))
+    return _cells[key]
+
+
+@query("SELECT query_id, id, score, rank FROM dense")
+def dense_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact search through the index: every cell is probed."""
+    return vector_index(spark, sf_dir).search(_vectored(spark, sf_dir), K, exact=True)
+
+
+@query("SELECT query_id, id, score, rank FROM dense_lang")
+def dense_indexed_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_index(spark, sf_dir).search(_vectored(spark, sf_dir), K, exact=True, same=True)
+
+
+@query()
+def dense_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of the cells that a query probes."""
+    return vector_index(spark, sf_dir).search(_vectored(spark, sf_dir), K)
+
+
+@query()
+def dense_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every question, how many of its exact neighbours the probed cells gave."""
+    found = dense_approx(spark, sf_dir).select("query_id", "id", F.lit(1).alias("hit"))
+    return dense_topk(spark, sf_dir).join(found, ["query_id", "id"], "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_exact"), F.count("hit").alias("n_found")
+    )
+
+
 @query(f"SELECT query_id, id, score FROM (SELECT query_id, id, {_COS} AS score FROM pairs) WHERE score >= 0.3")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors that are close to one of the benchmark's."""
-    v = vectors(spark, sf_dir)
-    q = v.join(asked(spark, sf_dir).select(F.col("query_id").alias("id")), "id").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    return retrieve.cosines(q, v, lambda score: score >= 0.3)
+    return retrieve.cosines(_vectored(spark, sf_dir), vectors(spark, sf_dir), lambda score: score >= 0.3)
 
 
 def fused(spark: SparkSession, sf_dir: str, limit: int | None = None) -> DataFrame:
