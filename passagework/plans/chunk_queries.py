@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, sql, text
-from ..operators import chunk, provenance
+from ..operators import chunk, provenance, stages
+from ..sources import providers
 from ..sources.tables import Store, headings, read_chunks, scratch, table, write_chunks
 from .registry import PARTS, query
 from .text_queries import _HTML, _SANE, CORRUPT_SQL, T, W, corrupted, uuid5_sql
@@ -378,16 +379,22 @@ def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT doc_id, page, {uuid5_sql("doc_id::VARCHAR || '::page' || page || '::fallback'")} AS point_id, true AS is_fallback
-FROM parents WHERE doc_id % 7 = 0""")
+FROM (SELECT doc_id, page FROM numbered GROUP BY doc_id, page HAVING bool_and(regexp_matches(chunk, '[^\\x00-\\x7F]')))""")
 def page_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of which no chunk could be embedded get a point of their own."""
+    """Pages of which no chunk could be embedded, since the embedder failed on each, get a point of their own."""
     p = points(spark, sf_dir)
-    embedded = p.where("doc_id % 7 <> 0").select("doc_id", "page").distinct()
-    missing = chunk.parents(chunks(spark, sf_dir)).join(embedded, ["doc_id", "page"], "left_anti")
+    embedded = providers.embed(p.select("doc_id", "page", "chunk"), letter_counts, "chunk").select("doc_id", "page").distinct()
+    missing = p.select("doc_id", "page").distinct().join(embedded, ["doc_id", "page"], "left_anti")
     name = F.concat(F.col("doc_id").cast("string"), F.lit("::page"), F.col("page").cast("string"), F.lit("::fallback"))
     return missing.select("doc_id", "page", ids.uuid5(name).alias("point_id"), F.lit(True).alias("is_fallback"))
 
 
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """An embedder that knows ASCII only: how often each of its 128 characters occurs. One odd text fails its batch."""
+    coded = [t.encode("ascii") for t in texts]
+    return [[float(c.count(i)) for i in range(128)] for c in coded]
+
+
 @query()
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default embedder: counts of hashed tokens, to unit length; texts without tokens have none."""
@@ -419,3 +426,47 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKENS = f"regexp_extract_all(lower(coalesce(text, '')), '{T}')"
+
+
+_EACH_PAGE = "SELECT doc_id, i AS page, line AS content, bool_or(regexp_matches(line, '[^\\x00-\\x7F]')) OVER (PARTITION BY doc_id, i // 4) AS failed FROM all_lines"
+PARTS["all_lines"] = "SELECT doc_id, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS line FROM (SELECT doc_id, string_split(replace(coalesce(text, ''), chr(12), chr(10)), chr(10)) AS t FROM documents)"
+
+
+def ascii_pages(content: bytes, n: int) -> list[str]:
+    """A parser that knows ASCII only and fails on ranges with other characters."""
+    return content.decode("ascii").split("\f")
+
+
+@query(f"SELECT doc_id::VARCHAR AS path, page, CASE WHEN NOT failed THEN md5(content) END AS md5, failed FROM ({_EACH_PAGE})")
+def pages_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files with a line a page, read in ranges of four pages by a parser that fails on some: these ranges alone have errors."""
+    content = F.encode(F.replace(F.col("text"), F.lit("\n"), F.lit("\f")), "utf-8")
+    files = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), content.alias("content"))
+    found = providers.extract_pages(files, ascii_pages)
+    return found.select("path", F.col("page").cast("long").alias("page"), F.md5("content").alias("md5"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("""SELECT left(md5(doc_id::VARCHAR), 12) AS doc_id, md5(chunk) AS md5, CASE WHEN lang = 'en' THEN
+row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) END AS pos FROM numbered""")
+def chunk_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents in a file each, the others in lines of shared files, in one folder; each file's form is told when it is read."""
+    path = scratch(spark, "chunk-folder")
+    english = F.col("metadata.language").eqNullSafe("en")
+    write_chunks(records(spark, sf_dir).where(english), f"{path}/each", file_each=True)
+    write_chunks(records(spark, sf_dir).where(~english), f"{path}/shared")
+    found = read_chunks(spark, path)
+    own = F.contains("file", F.lit("/each/"))
+    return found.select("metadata.doc_id", F.md5("page_content").alias("md5"), F.when(own, F.col("pos")).alias("pos"))
+
+
+@query("""SELECT 'read' AS stage, 0 AS pos, count(*) AS n_rows, count(*) FILTER (text IS NULL) AS n_failed FROM documents
+UNION ALL SELECT 'long', 1, count(*), 0 FROM documents WHERE length(text) >= 40
+UNION ALL SELECT 'chunks', 2, count(*), count(*) FILTER (length(chunk) < 200) FROM chunks WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) >= 40)""")
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What leaves the stages of an ingestion that writes chunks, counted in passing; short chunks count as failed."""
+    watched = stages.Stages(spark)
+    read = watched.watch(docs(spark, sf_dir), "read", F.col("text").isNull())
+    enough = watched.watch(read.where("length(text) >= 40"), "long")
+    made = watched.watch(chunk.fixed(enough), "chunks", F.length("chunk") < 200)
+    watched.timed("chunks", lambda: made.write.parquet(scratch(spark, "watched")))
+    return watched.counts()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,6 +15,7 @@ CHUNK = (
     "language string, extraction_method string, heading string, page string, method string, chunk_index int, total_chunks int, "
     "prev_chunk_id string, next_chunk_id string, char_count int, chapter string, section string>, id string, type string"
 )
+CHUNK_FIELDS = re.sub(r"(^|, )(\w+) (?=string|struct|int)", r"\1\2: ", CHUNK)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,11 +81,46 @@ def path_language(path: Column) -> Column:
     return F.when(F.array_contains(parts, "english"), "english").when(F.array_contains(parts, "telugu"), "telugu")
 
 
-def read_chunks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Chunk files: JSON arrays, or one object or array a line; with the file and the place in it."""
-    found = spark.read.schema(CHUNK).option("multiLine", not lines).option("recursiveFileLookup", True).json(path)
-    placed = found.select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    return placed.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("at")).cast("long")).drop("at")
+def chunk_forms(spark: SparkSession, path: str) -> DataFrame:
+    """file, size, lines: every file with text under ``path``, its bytes, and whether each of its lines is an object or array of its own."""
+    text = spark.read.option("recursiveFileLookup", True).text(path).select(F.trim("value").alias("line"), "_metadata.file_path", "_metadata.file_size")
+    own = F.col("line").rlike(r"^(\{.*\}|\[.*\])$")
+    return text.where("line <> ''").groupBy(F.col("file_path").alias("file"), F.col("file_size").alias("size")).agg(F.bool_and(own).alias("lines"))
+
+
+def read_chunks(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+    """Chunk records with the file, its size and the place in it from 1: order by (file, pos) for the order of files.
+
+    Files are JSON arrays, or hold one object or array a line. ``lines`` says which; where it is null, it is told for each file,
+    so both forms can lie in one folder. Files without text give no rows.
+    """
+    if lines is None:
+        forms = chunk_forms(spark, path).select("file", F.col("lines").alias("_lines"))
+        both = [read_chunks(spark, path, form).join(forms.where(F.col("_lines") == form), "file", "left_semi") for form in (True, False)]
+        return both[0].unionByName(both[1])
+    if lines:
+        text = spark.read.option("recursiveFileLookup", True).text(path).select(
+            F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
+            F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        )
+        array = F.when(F.col("line").startswith("["), F.col("line")).otherwise(F.concat(F.lit("["), "line", F.lit("]")))
+        listed = text.where("line <> ''").select("file", "size", "at", F.posexplode(F.from_json(array, f"array<struct<{CHUNK_FIELDS}>>")).alias("nth", "c"))
+        found = listed.select("c.*", "file", "size", F.struct("at", "nth").alias("at"))
+    else:
+        whole = spark.read.schema(CHUNK).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+        found = whole.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at"))
+    return found.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("at")).cast("long")).drop("at")
+
+
+def outputs(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path, size, modified of the files under ``folder``, by their metadata alone; none where it isn't there."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    try:
+        return files.load(folder).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], "path string, size long, modified timestamp")
 
 
 def write_chunks(chunks: DataFrame, path: str, file_each: bool = False) -> None:
