@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import key_terms, tokens
-from ..operators import chunk, context, retrieve, understand
+from ..functions.text import BLANK, TOKEN, key_terms, tokens
+from ..operators import chunk, context, generate, language_model, retrieve, understand
 from ..operators.term_index import TermIndex
 from ..operators.vector_index import VectorIndex
+from ..sources import providers
 from ..sources.tables import Store, scratch, staged, table
 from ..streaming import ingest
 from .chunk_queries import PER_PARENT, TOKENS, chunks
 from .registry import PARTS, query
-from .text_queries import EXPAND_SQL, ROUTE_SQL, TERMS_SQL, TYPE_SQL, _docs, query_expand
+from .text_queries import EXPAND_SQL, ROUTE_SQL, TERMS_SQL, TYPE_SQL, _docs, language_model_of, query_expand
 
 K, FUSED, RERANKED = 10, 10, 4
 E = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+')"
@@ -250,6 +251,38 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reranked(spark, sf_dir).select("query_id", "id", "score", "rank")
 
 
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all({text}, '[^{BLANK[1:-1]}]+')"
+
+
+_CUT = f"array_to_string(({_words_sql('text')})[:greatest(512 - least(len({_words_sql('question')}), 512), 0)], ' ')"
+_LESS = f"array_to_string(({_words_sql('question')})[:512], ' ')"
+
+
+def shared_words(pairs: list[tuple[str, str]]) -> list[float]:
+    """The default relevance model for batches: the share of the query's distinct tokens that the text has."""
+    import regex
+
+    words = [(set(regex.findall(TOKEN, q.lower())), set(regex.findall(TOKEN, t.lower()))) for q, t in pairs]
+    return [len(q & t) / len(q) if q else 0.0 for q, t in words]
+
+
+@query(f"""SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank) AS rank FROM (
+SELECT query_id, id, rank AS fused_rank, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END, 6) AS score FROM (
+SELECT query_id, id, rank, list_distinct({E.format(_LESS)}) AS q, {E.format(_CUT)} AS t FROM hits)) QUALIFY rank <= {RERANKED}""")
+def rerank_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reranking by a model that is given batches of pairs of at most 512 words."""
+    score = F.round(providers.relevance(F.col("question"), F.col("text"), shared_words), 6)
+    return best_pairs(hits(spark, sf_dir).withColumn("score", score))
+
+
+def best_pairs(scored: DataFrame) -> DataFrame:
+    """The best by (score, fused rank); pairs without a score come last."""
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "rank")
+    ranks = scored.withColumn("nth", F.row_number().over(order).cast("long")).where(F.col("nth") <= RERANKED)
+    return ranks.select("query_id", "id", "score", F.col("nth").alias("rank"))
+
+
 # A hit is placed on the page of its document that has most of the question's words, the first of equal ones.
 def _placed_sql(found: str) -> str:
     share = f"len(list_intersect(list_distinct({E.format('h.question')}), {E.format('p.text')})) / greatest(len(list_distinct({E.format('h.question')})), 1)"
@@ -370,33 +403,50 @@ def route_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.join(found, "query_id", "left").select("query_id", "route", n.alias("n_results"))
 
 
+#: Names of the languages that the model tells apart; others keep their code.
+LANGUAGES = {"en": "English", "fr": "French", "de": "German", "es": "Spanish"}
+
+
+def understood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, question, language, route, query_type of every question."""
+    rows = asked(spark, sf_dir).select(
+        "query_id", "text", F.col("text").alias("question"), understand.language(F.col("text"), F.lit(None)).alias("sure"),
+        understand.route(F.col("text")).alias("route"), understand.query_type(F.col("text")).alias("query_type"),
+    )
+    found = language_model.identified(rows, language_model_of(spark, sf_dir))
+    named = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair)), F.col("predicted")), F.col("predicted"))
+    return found.select("query_id", "question", F.coalesce("sure", named).alias("language"), "route", "query_type")
+
+
+def halting(prompt: str) -> str:
+    """The default generator, which knows English and French only and fails on prompts in other languages."""
+    if not any(f" in {name}.\n" in prompt for name in ("English", "French")):
+        raise RuntimeError("this language isn't spoken here")
+    return generate.extractive(prompt)
+
+
 @query()
 def gen_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An empty answer in the asked language gives way to the English one, with a note."""
-    made = contexts(spark, sf_dir).join(asked(spark, sf_dir), "query_id")
-    first = F.when(F.col("query_id") % 2 == 0, "").otherwise(context.extractive_answer(F.col("text"), F.col("context"), tokens))
-    english = F.concat(F.lit("In English: "), context.extractive_answer(F.col("text"), F.col("context"), tokens))
-    return made.select("query_id", F.coalesce(F.nullif(first, F.lit("")), english, F.lit("No answer could be made.")).alias("answer"))
+    """Answers of a generator that fails in some languages: the English answer stands in, behind a banner."""
+    rows = understood(spark, sf_dir).join(contexts(spark, sf_dir), "query_id", "left")
+    return generate.answered(rows, halting).select("query_id", "language", "outcome", "answer")
 
 
 @query()
 def answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every question's answer with route, type and citations; small talk and empty results keep their rows."""
-    q = asked(spark, sf_dir).select(
-        "query_id", "text", understand.language(F.col("text")).alias("language"), understand.route(F.col("text")).alias("route"),
-        understand.query_type(F.col("text")).alias("query_type"),
-    )
+    """Every question's answer with language, route, type and citations; small talk and empty results keep their rows."""
     found = expanded(spark, sf_dir, found=united(spark, sf_dir))
     cited = found.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", *context.citation(F.col("source"), F.col("page").cast("string"), F.col("text"))))).alias("citations")
     )
     made = context.contexts(context.distinct_texts(found))
-    short = context.compressed(F.col("text"), F.col("context"), tokens)
     talk = F.col("route") == "general_chat"
-    reply = F.when(talk, F.lit("Hello! Ask about the documents.")).otherwise(context.extractive_answer(F.col("text"), short, tokens))
-    return q.join(made, "query_id", "left").join(cited, "query_id", "left").select(
-        "query_id", F.col("text").alias("query"), reply.alias("answer"), "route", F.when(~talk, F.col("query_type")).alias("query_type"),
-        F.when(~talk, F.col("citations")).alias("citations"),
+    rows = understood(spark, sf_dir).join(made, "query_id", "left").join(cited, "query_id", "left")
+    short = F.when(~talk, context.compressed(F.col("question"), F.col("context"), tokens))
+    replied = generate.answered(rows.withColumn("context", short))
+    return replied.select(
+        "query_id", F.col("question").alias("query"), "language", F.when(talk, F.lit("Hello! Ask about the documents.")).otherwise(F.col("answer")).alias("answer"),
+        "route", F.when(~talk, F.col("query_type")).alias("query_type"), F.when(~talk, F.col("citations")).alias("citations"),
     )
 
 
