@@ -25,9 +25,10 @@ BROADCAST, MOST = 1_000_000, 200
 
 
 def trigrams(text: Column) -> Column:
-    padded = lambda w: F.concat(F.lit("_"), w, F.lit("_"))
-    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(padded(w), i, F.lit(3)))
-    return F.array_distinct(F.flatten(F.transform(F.array_distinct(tokens(F.coalesce(text, F.lit("")))), of)))
+    """The distinct trigrams of a text's words: at every character but a word's last two, what stands there and the two that follow."""
+    words = F.array_distinct(tokens(F.coalesce(text, F.lit(""))))
+    padded = F.concat(F.lit("_"), F.array_join(words, "_ _"), F.lit("_"))
+    return F.when(F.size(words) > 0, F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=([^ ]{3}))[^ ]"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
 
 
 @dataclass(frozen=True)

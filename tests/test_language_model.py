@@ -1,3 +1,6 @@
+import regex
+from pyspark.sql import functions as F
+
 from passagework.operators import language_model as m
 from passagework.plans import text_queries as q
 
@@ -27,3 +30,17 @@ def test_shuffled_model_gives_the_same(spark, data, monkeypatch):
     sent = found()
     monkeypatch.setattr(m, "BROADCAST", 0)
     assert found() == sent
+
+
+def test_trigrams(spark):
+    from passagework.operators.language_model import trigrams
+
+    texts = ["Ab a", "", None, "??", "😀 x", "a_b 𐐷𐐷𐐷 ab", "aaaa aaaa"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", trigrams(F.col("text")).alias("t"))
+    wanted = {}
+    for i, t in enumerate(texts):
+        made = []
+        for w in regex.findall(r"[\p{L}\p{N}_]+", (t or "").lower()):
+            made += [f"_{w}_"[j : j + 3] for j in range(len(w))]
+        wanted[i] = list(dict.fromkeys(made))
+    assert {r["i"]: r["t"] for r in rows.collect()} == wanted
