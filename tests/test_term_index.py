@@ -61,3 +61,21 @@ def test_an_addition_that_was_cut_off_is_made_again(spark, tmp_path, monkeypatch
     assert index.batches() == [0] and index.lengths().count() == 10
     assert index.add(df) == 10 and index.lengths().count() == 20
     assert rows(index.search(q, 20)) == rows(retrieve.sparse(q, df, 20))
+
+
+def test_memory_of_a_task_is_bounded_by_tokens(spark, tmp_path, monkeypatch):
+    """Whatever the batches that Spark makes, a segment holds few tokens, and each gives a question's best only."""
+    monkeypatch.setattr(term_index, "SEGMENT", 60)
+    monkeypatch.setattr(term_index, "ASKED", 2)
+    docs = [(i, f"all w{i % 5} " + "x " * (i % 7)) for i in range(500)] + [(1000, "all y " * 300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    q = spark.createDataFrame([(i, f"all w{i} y") for i in range(5)] + [(None, "all"), (7, "w1"), (7, "all")], "query_id long, text string")
+    index = TermIndex(spark, str(tmp_path / "ix"))
+    index.add(df)
+    sizes = [r["n"] for r in index.blocks().selectExpr("segment", "explode(tfs) t").groupBy("segment").agg({"t": "sum"}).withColumnRenamed("sum(t)", "n").collect()]
+    assert sorted(sizes)[-1] == 600 and sorted(sizes)[-2] <= 60
+    read = []
+    monkeypatch.setattr(term_index, "ranked", lambda scored, k: read.append(scored.groupBy("query_id").count().agg({"count": "max"}).first()[0]) or retrieve.ranked(scored, k))
+    for idf in (False, True):
+        assert rows(index.search(q, 3, idf)) == rows(retrieve.sparse(q.where("query_id is not null"), df, 3, idf))
+    assert max(read) <= 3 * len(sizes)
