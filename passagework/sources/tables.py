@@ -88,27 +88,28 @@ def chunk_forms(spark: SparkSession, path: str) -> DataFrame:
     return text.where("line <> ''").groupBy(F.col("file_path").alias("file"), F.col("file_size").alias("size")).agg(F.bool_and(own).alias("lines"))
 
 
-def read_chunks(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, lines: bool | None = None, only: DataFrame | None = None) -> DataFrame:
     """Chunk records with the file, its size and the place in it from 1: order by (file, pos) for the order of files.
 
     Files are JSON arrays, or hold one object or array a line. ``lines`` says which; where it is null, it is told for each file,
-    so both forms can lie in one folder. Files without text give no rows.
+    so both forms can lie in one folder. Files without text give no rows. ``only`` names the files that count (``file``).
     """
     if lines is None:
-        forms = chunk_forms(spark, path).select("file", F.col("lines").alias("_lines"))
-        both = [read_chunks(spark, path, form).join(forms.where(F.col("_lines") == form), "file", "left_semi") for form in (True, False)]
+        forms = staged(chunk_forms(spark, path), "forms")
+        both = [read_chunks(spark, path, form, forms.where(F.col("lines") == form).select("file")) for form in (True, False)]
         return both[0].unionByName(both[1])
+    named = lambda rows: rows if only is None else rows.join(only, "file", "left_semi")
     if lines:
         text = spark.read.option("recursiveFileLookup", True).text(path).select(
             F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"),
             F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
         )
         array = F.when(F.col("line").startswith("["), F.col("line")).otherwise(F.concat(F.lit("["), "line", F.lit("]")))
-        listed = text.where("line <> ''").select("file", "size", "at", F.posexplode(F.from_json(array, f"array<struct<{CHUNK_FIELDS}>>")).alias("nth", "c"))
+        listed = named(text.where("line <> ''")).select("file", "size", "at", F.posexplode(F.from_json(array, f"array<struct<{CHUNK_FIELDS}>>")).alias("nth", "c"))
         found = listed.select("c.*", "file", "size", F.struct("at", "nth").alias("at"))
     else:
         whole = spark.read.schema(CHUNK).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-        found = whole.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at"))
+        found = named(whole.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at")))
     return found.withColumn("pos", F.row_number().over(Window.partitionBy("file").orderBy("at")).cast("long")).drop("at")
 
 
@@ -123,19 +124,23 @@ def outputs(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
         return spark.createDataFrame([], "path string, size long, modified timestamp")
 
 
-def write_chunks(chunks: DataFrame, path: str, file_each: bool = False) -> None:
-    """Chunk records (``page_content``, ``metadata``) as JSON arrays in order of chunk_id, characters as they are.
+def write_chunks(chunks: DataFrame, path: str, each: int | None = None) -> None:
+    """Chunk records (``page_content``, ``metadata``) as JSON arrays, a document's in order of chunk_id, characters as they are.
 
-    A document's array is a line of its own, or, with ``file_each``, a file in a folder that bears the document's name.
+    A document's array is a line of its own. With ``each``, files hold one array over several lines, of about ``each`` documents
+    one after another, so that the number of files stays small; with 1, every document has a file of its own.
     """
-    record = F.struct("metadata.chunk_id", F.struct("page_content", "metadata").alias("r"))
-    arrays = chunks.groupBy(F.col("metadata.doc_id").alias("file")).agg(
-        F.to_json(F.transform(F.array_sort(F.collect_list(record)), lambda x: x["r"])).alias("value")
-    )  # a document's chunks
-    if file_each:
-        arrays.write.partitionBy("file").text(path)
+    record = F.struct("metadata.chunk_id", F.to_json(F.struct("page_content", "metadata")).alias("r"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(record)), lambda x: x["r"]), ",\n" if each else ",")
+    arrays = chunks.groupBy(F.col("metadata.doc_id").alias("file")).agg(joined.alias("value"))  # a document's chunks
+    if each:
+        n = max(1, -(-chunks.select("metadata.doc_id").distinct().count() // each))
+        group = F.col("file") if each == 1 else F.pmod(F.xxhash64("file"), F.lit(n))
+        whole = arrays.groupBy(group.alias("group")).agg(F.array_join(F.collect_list("value"), ",\n").alias("value"))
+        value = F.concat(F.lit("[\n"), "value", F.lit("\n]"))
+        whole.select(value.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     else:
-        arrays.select("value").write.text(path)
+        arrays.select(F.concat(F.lit("["), "value", F.lit("]")).alias("value")).write.text(path)
 
 
 class Store:

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from passagework.operators import stages, understand
-from passagework.sources.tables import chunk_forms, outputs, raw_files, read_chunks
+from passagework.sources.tables import chunk_forms, outputs, raw_files, read_chunks, write_chunks
 
 
 def record(i):
@@ -54,3 +54,21 @@ def test_stages_count_failures_and_empty_tables(spark, tmp_path):
         df = seen.watch(spark.createDataFrame(rows, "id int, text string"), "read", F.col("text").isNull())
         seen.watch(df.where("id is not null"), "keyed", F.length("text") > 5).write.parquet(f"file://{tmp_path}/{n}")
         assert [tuple(r) for r in seen.counts().orderBy("pos").collect()] == [(0, "read", len(rows), 1 if rows else 0), (1, "keyed", 2 if rows else 0, 0)]
+
+
+def test_array_files_hold_many_documents(spark, tmp_path):
+    """Files don't grow in number with the documents; a document's chunks stay in order."""
+    rows = [{"page_content": f"a\n{d} {i}", "metadata": {"doc_id": f"d{d}", "chunk_id": f"d{d}-{i:04d}", "chunk_index": i}} for d in range(60) for i in (2, 0, 1)]
+    chunks = spark.createDataFrame(rows, "page_content string, metadata struct<doc_id string, chunk_id string, chunk_index int>")
+    for each, most in ((20, 3), (1, 60)):
+        path = f"{tmp_path}/{each}"
+        write_chunks(chunks, f"file://{path}/arrays", each=each)
+        write_chunks(chunks, f"file://{path}/lines")
+        files = chunk_forms(spark, f"file://{path}").groupBy("lines").count().collect()
+        assert {r["lines"]: r["count"] for r in files}[False] <= most
+        found = read_chunks(spark, f"file://{path}")
+        seen = {}
+        for r in found.orderBy("file", "pos").collect():
+            assert r["page_content"] == f"a\n{r['metadata']['doc_id'][1:]} {r['metadata']['chunk_index']}"
+            seen.setdefault((r["file"], r["metadata"]["doc_id"]), []).append(r["metadata"]["chunk_index"])
+        assert len(seen) == 120 and set(map(tuple, seen.values())) == {(0, 1, 2)}
