@@ -44,3 +44,15 @@ def test_trigrams(spark):
             made += [f"_{w}_"[j : j + 3] for j in range(len(w))]
         wanted[i] = list(dict.fromkeys(made))
     assert {r["i"]: r["t"] for r in rows.collect()} == wanted
+
+
+def test_nothing_is_shuffled_and_few_trigrams_are_looked_up_at_a_time(spark, data, monkeypatch):
+    docs = q._docs(spark, data)
+    model = m.learned(docs)
+    rows = docs.select("doc_id", "text")
+    found = m.identified(rows, model)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    whole = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(m, "LOOKED_UP", 50)
+    assert sorted(map(tuple, m.identified(rows, model).collect())) == whole
