@@ -78,7 +78,8 @@ class VectorIndex:
             alike = rows.where(F.size("v") == length["n"]).select("id", "v")
             sample = staged(alike.orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLED), "sample")
             cells = min(CELLS, math.isqrt(length["rows"]))
-            model = KMeans(k=max(2, cells), seed=1, maxIter=20).fit(sample.select(array_to_vector(_unit(F.col("v"))).alias("features")))
+            dealt = sample.repartition(self.spark.sparkContext.defaultParallelism)  # it was written by one task
+            model = KMeans(k=max(2, cells), seed=1, maxIter=20).fit(dealt.select(array_to_vector(_unit(F.col("v"))).alias("features")))
             self.centres = np.array(model.clusterCenters())
         self.add(vectors)
         if length:
@@ -109,17 +110,20 @@ class VectorIndex:
         rows = vectors.where(retrieve.usable(F.col("v"), "id")).select("id", F.col("v").cast("array<float>").alias("v"), F.col("label").cast("string").alias("label"))
         new = rows.join(self._stored().select("id"), "id", "left_anti")
         placed = new.withColumn("cell", F.element_at(_cells(self.spark, self.centres, 1)("v"), 1))
-        # a cell's rows are dealt over several tasks, since one cell may hold most of them
-        dealt = placed.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(self.spark.sparkContext.defaultParallelism)))
+        # Ranges of equal size: small cells share a task and are one file each, a cell with most of the rows is dealt over several tasks.
+        dealt = placed.repartitionByRange(self.spark.sparkContext.defaultParallelism, "cell", F.xxhash64("id"))
         dealt.write.mode("append").partitionBy("cell").parquet(f"{self.path}/vectors")
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False, same: bool = False) -> DataFrame:
         """query_id, id, score, rank of the ``k`` best by (cosine descending, id), from (``query_id``, ``q``, and ``label`` if ``same``).
 
-        ``exact`` probes every cell. Cells and their queries meet in blocks of bounded size: a cell that many rows share, or that
+        ``exact`` reads every cell: all rows and queries meet in a grid of blocks of bounded size, whatever their cells, so small cells don't
+        each cost a block. Otherwise cells and their queries meet in blocks of bounded size: a cell that many rows share, or that
         many queries probe, is split over tasks. Only probed cells are read.
         """
-        n = len(self.centres) if exact else min(probes or self.probes, len(self.centres))
+        if exact:
+            return retrieve.dense(queries, self._stored(), k, "label" if same else None)
+        n = min(probes or self.probes, len(self.centres))
         label = (F.col("label").cast("string") if same else F.lit("")).alias("_label")
         asked = queries.where(retrieve.usable(F.col("q"), "query_id")).select(
             "query_id", "q", label, F.size("q").alias("_length"), F.explode(_cells(self.spark, self.centres, max(1, n))("q")).alias("cell")

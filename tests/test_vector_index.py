@@ -77,6 +77,28 @@ def test_additions_odd_vectors_and_empty_tables(spark, tmp_path):
     assert index.search(asked(v).limit(0), 5).count() == 0
 
 
+def test_small_cells_cost_a_file_each_and_exact_search_no_blocks(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)], i % 3) for i in range(900)], SCHEMA)
+    index = VectorIndex(spark, f"file://{tmp_path}/index").fit(v)
+    files = list((tmp_path / "index" / "vectors").rglob("*.parquet"))
+    assert len(files) <= len(index.centres) + spark.sparkContext.defaultParallelism
+    blocks, made = spark.sparkContext.accumulator(0), retrieve.cell_scores
+
+    def counted(keep):
+        run = made(keep)
+
+        def counting(left, right):
+            blocks.add(1)
+            return run(left, right)
+
+        return counting
+
+    monkeypatch.setattr(retrieve, "cell_scores", counted)
+    assert found(index.search(asked(v).where("id < 20"), 3, exact=True)) == found(retrieve.dense(asked(v).where("id < 20"), v, 3))
+    assert blocks.value <= 4  # of two searches
+
+
 @pytest.mark.parametrize("name", ["dense_recall"])
 def test_measured_recall(spark, data, name):
     rows = getattr(retrieval_queries, name)(spark, data).collect()
