@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from jobs.common import log, main
 from passagework.operators import retrieve, understand
 from passagework.operators.term_index import TermIndex
-from passagework.sources.tables import one_each, stored
+from passagework.sources.tables import one_each, staged, stored
 
 DEFAULTS = {"format": "parquet", "label": "all", "query_id": "item_id", "query_text": "text", "found": 10, "kept": 4}
 ANSWERS = "query_id long, route string, status long, rank long, id long, score double, relevance double, source string, label string, query_type string"
@@ -46,7 +46,7 @@ def run(spark: SparkSession, documents: str, questions: str, output: str, config
     given = spark.read.format(config["format"]).load(questions).select(F.col(config["query_id"]).cast("long").alias("query_id"), F.col(config["query_text"]).alias("text"))
     asked = understood(one_each(given, "query_id"))
     searched = asked.where("status = 200 and route = 'rag'").select("query_id", "text")
-    hits = index.search(searched, config["found"])
+    hits = staged(index.search(searched, config["found"]), "found")  # used three times
     texts = one_each(docs.select(F.col("doc_id").alias("id"), "text", "source").join(hits.select("id").distinct(), "id", "left_semi"), "id")
     judged = hits.join(texts, "id").join(searched.withColumnRenamed("text", "question"), "query_id").withColumn(
         "relevance", retrieve.overlap(F.col("question"), F.coalesce("text", F.lit("")))

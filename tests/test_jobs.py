@@ -126,3 +126,15 @@ def test_command_line(data, tmp_path):
 def test_jobs_import_nothing_of_the_training_operators():
     code = "import sys, jobs.queries, jobs.ingest_corpus, jobs.answer_questions; assert not [m for m in sys.modules if 'llm' in m or m == 'corpus_pipeline']"
     assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, timeout=100).returncode == 0
+
+
+def test_questions_are_searched_once(spark, tmp_path, monkeypatch):
+    """What the index finds is kept, since it is used several times."""
+    rows = [(i, f"alpha w{i % 3} beta", "s") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"file://{tmp_path}/d")
+    spark.createDataFrame([(1, "alpha w1"), (2, "w2")], "item_id long, text string").write.parquet(f"file://{tmp_path}/q")
+    plans, kept = [], answer_questions.staged
+    monkeypatch.setattr(answer_questions, "staged", lambda df, name: plans.append(df) or kept(df, name))
+    answer_questions.run(spark, f"file://{tmp_path}/d", f"file://{tmp_path}/q", f"file://{tmp_path}/out")
+    assert len(plans) == 1
+    assert answer_questions.answers(spark, f"file://{tmp_path}/out").where("id is not null").count() == 8
