@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,21 +13,40 @@ from ..functions.text import BLANK
 from ..shipping import ship
 
 SIZE, OVERLAP = 1000, 150
+#: Texts other than ASCII of more than so many windows are cut out of wide bytes, which cost more than searching in shorter ones.
+FAR = 32
 #: The splitter's overlap and marks for recognised text.
 OCR_OVERLAP, OCR_MARKS = 200, ("\n\n", "\n", "।", ".", " ", "")
 # The lengths by which paragraphs are merged.
 TARGET, MOST, LEAST = 1200, 2000, 200
 
 
-def fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, lang, source, idx, chunk: windows of ``size`` characters that share ``overlap``."""
-    step = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.length("text") - size) / step)).cast("int")
+def last_index(length: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """The idx of the last window of a text that isn't empty."""
+    return F.greatest(F.lit(0), F.ceil((length - size) / (size - overlap))).cast("int")
+
+
+def fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, lang, source, idx, chunk: windows of ``size`` characters that share ``overlap``; with the documents' columns ``keep``.
+
+    Windows of ASCII texts and of long ones are cut out of bytes of one width (1 or 4), so that none is searched for from the text's beginning.
+    The mark before the latter is what decoding takes away, so that a window's own one stays.
+    """
+    step, text, width = size - overlap, F.col("text"), F.col("_width")
+    n = F.length(text)
+    ascii_, long_ = F.octet_length(text) == n, n > FAR * size
+    wide = F.when(ascii_, text.cast("binary")).when(long_, F.encode(text, "UTF-32"))
+    cut = F.substring(F.col("_wide"), F.col("idx") * step * width + 1, width * size)
+    chunk = (
+        F.when(width == 1, cut.cast("string")).when(width == 4, F.decode(F.concat(F.unhex(F.lit("0000FEFF")), cut), "UTF-32"))
+        .otherwise(F.substring(text, F.col("idx") * step + 1, F.lit(size)))
+    )
     return (
-        docs.where(F.length("text") > 0)
-        .select("doc_id", "lang", "source", "text", F.explode(F.sequence(F.lit(0), last)).alias("idx"))
-        .select("doc_id", "lang", "source", F.col("idx").cast("long").alias("idx"),
-                F.substring(F.col("text"), F.col("idx") * step + 1, F.lit(size)).alias("chunk"))
+        docs.where(n > 0)
+        .select("doc_id", "lang", "source", *keep, "text", F.when(ascii_, 1).when(long_, 4).otherwise(0).alias("_width"), wide.alias("_wide"),
+                last_index(n, size, overlap).alias("_last"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("idx"))  # apart, since what stands beside a generator is computed for each of its rows
+        .select("doc_id", "lang", "source", *keep, F.col("idx").cast("long").alias("idx"), chunk.alias("chunk"))
     )
 
 
